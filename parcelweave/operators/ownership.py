@@ -2,42 +2,40 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelweave.operators.skew import salted_join
+from parcelweave.session import materialize
 
-MAX_DEPTH = 10
+MAX_DEPTH = 32
 
 
 def ownership_chain(beneficial_owners: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(entity_id, depth, owner_name, parent_entity_id, path) for every owner reachable from every entity.
 
     Depth 1 is the entity's own owners; each further level follows `parent_entity_id`. `path` lists the entities
-    passed, and an entity already on it ends the chain. One join per level extends all chains at once; the levels
-    are read off the finished chains, so no level is computed twice.
+    passed, and a parent already on it ends the chain. One join extends all chains by a level; each level is written
+    as a table, so the plan stays flat and the loop ends with the longest chain.
     """
     links = beneficial_owners.select("entity_id", "owner_name", "parent_entity_id").distinct()
-    step = F.struct("owner_name", "parent_entity_id")
-    chains = links.select(
-        "entity_id", F.array("entity_id").alias("path"), F.array(step).alias("steps"),
-        F.col("parent_entity_id").alias("tip"),
+    owners = links.select(
+        F.col("entity_id").alias("tip"), F.col("owner_name").alias("next_owner"),
+        F.col("parent_entity_id").alias("next_parent"),
     )
-    upper = links.select(
-        F.col("entity_id").alias("tip"), F.struct("owner_name", "parent_entity_id").alias("next_step"))
-    for _ in range(max_depth - 1):
-        open_tip = F.when(~F.array_contains("path", F.col("tip")), F.col("tip"))
-        chains = chains.withColumn("tip", open_tip)
-        chains = salted_join(chains, upper, ["tip"], "left")
-        grown = F.col("next_step").isNotNull()
-        chains = chains.select(
-            "entity_id",
-            F.when(grown, F.array_append("path", F.col("tip"))).otherwise(F.col("path")).alias("path"),
-            F.when(grown, F.array_append("steps", F.col("next_step"))).otherwise(F.col("steps")).alias("steps"),
-            F.when(grown, F.col("next_step.parent_entity_id")).alias("tip"),
+    level = links.select(
+        "entity_id", F.lit(1).alias("depth"), "owner_name", "parent_entity_id", F.array("entity_id").alias("path"))
+    levels = [materialize(level, "ownership")]
+    while len(levels) < max_depth and not levels[-1].isEmpty():
+        open_ends = (
+            levels[-1].filter(F.col("parent_entity_id").isNotNull())
+            .filter(~F.array_contains("path", F.col("parent_entity_id")))
+            .select("entity_id", "depth", "path", F.col("parent_entity_id").alias("tip"))
         )
-    levels = chains.select("entity_id", "path", F.posexplode("steps").alias("level", "step"))
-    return levels.select(
-        "entity_id", (F.col("level") + 1).alias("depth"), "step.owner_name", "step.parent_entity_id",
-        F.slice("path", F.lit(1), F.col("level") + 1).alias("path"),
-    ).distinct()
+        grown = salted_join(open_ends, owners, ["tip"]).select(
+            "entity_id", (F.col("depth") + 1).alias("depth"), F.col("next_owner").alias("owner_name"),
+            F.col("next_parent").alias("parent_entity_id"), F.array_append("path", F.col("tip")).alias("path"))
+        levels.append(materialize(grown, "ownership"))
+    return reduce(DataFrame.unionByName, levels)
