@@ -32,6 +32,16 @@ def trigrams(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(padded, F.lit("(?=(..[^ ]|.[^ ] ))"), F.lit(1)))
 
 
+def trigram_code(gram: Column) -> Column:
+    """A trigram as one number, 21 bits per character: set operations on numbers are several times faster."""
+    code = lambda i: F.ascii(F.substr(gram, F.lit(i), F.lit(1))).cast("long")
+    return code(1) * F.lit(1 << 42) + code(2) * F.lit(1 << 21) + code(3)
+
+
+def trigram_codes(c: Column) -> Column:
+    return F.transform(trigrams(c), trigram_code)
+
+
 def overlap_similarity(overlap: Column, left_size: Column, right_size: Column) -> Column:
     """Shared over united set size, rounded to single precision as the text search's similarity is."""
     union = (left_size + right_size - overlap).cast("double")
@@ -72,6 +82,10 @@ def english_stem(words: pd.Series) -> pd.Series:
     return words.map(stem_word, na_action="ignore")
 
 
+# Kept where it is written: the planner may otherwise repeat it in filters made from a join on its result.
+english_stem = english_stem.asNondeterministic()
+
+
 _VOWELS = "aeiouy"
 _DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
 _LI_ENDINGS = "cdeghkmnrt"

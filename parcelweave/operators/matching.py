@@ -9,6 +9,7 @@ from parcelweave.functions import text
 from parcelweave.functions.normalize import name_key
 from parcelweave.operators.set_join import similarity_pairs
 from parcelweave.operators.skew import salted_join
+from parcelweave.session import materialize, spread
 
 TRIGRAM_THRESHOLD = 0.70
 TOKEN_SET_THRESHOLD = 90
@@ -48,9 +49,9 @@ def _trigram_key(name: Column) -> Column:
 
 
 def _key_sets(df: DataFrame) -> DataFrame:
-    """Back from a key to its trigrams: every trigram is three characters."""
+    """Back from a key to its trigrams, as numbers: every trigram is three characters."""
     starts = F.sequence(F.lit(1), F.length("id") - 2, F.lit(3))
-    return df.select("id", F.transform(starts, lambda i: F.substr(F.col("id"), i, F.lit(3))).alias("tokens"))
+    return df.select("id", F.transform(starts, lambda i: text.trigram_code(F.substr(F.col("id"), i, F.lit(3)))).alias("tokens"))
 
 
 def best_trigram_match(names: DataFrame, entities: DataFrame, threshold: float = TRIGRAM_THRESHOLD) -> DataFrame:
@@ -59,12 +60,14 @@ def best_trigram_match(names: DataFrame, entities: DataFrame, threshold: float =
     Names and entities are first collapsed to distinct trigram sets. Sets equal on both sides have similarity 1 and
     are settled by an equi-join; only the rest goes through the similarity join.
     """
-    keyed = names.select("name").distinct().select("name", _trigram_key(F.col("name")).alias("id")).filter("id <> ''")
+    # The keys are written once: as a plain expression they would be made again for every filter and join on them.
+    keyed = materialize(
+        spread(names.select("name").distinct(), "name").select("name", _trigram_key(F.col("name")).alias("id")),
+        "name-keys").filter("id <> ''")
     left = keyed.select("id").distinct()
-    owners = (
-        entities.groupBy(_trigram_key(F.col("canonical_name")).alias("id"))
-        .agg(F.min("entity_id").alias("entity_id")).filter("id <> ''")
-    )
+    owners = materialize(
+        entities.select(_trigram_key(F.col("canonical_name")).alias("id"), "entity_id"), "entity-keys"
+    ).filter("id <> ''").groupBy("id").agg(F.min("entity_id").alias("entity_id"))
     equal = left.join(owners, "id").select("id", "entity_id", F.lit(1.0).alias("match_score"))
     rest = left.join(owners, "id", "left_anti")
     pairs = similarity_pairs(_key_sets(rest), _key_sets(owners), threshold)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelweave.functions import normalize as N
-from parcelweave.functions.text import similarity, trigrams
+from parcelweave.functions.text import similarity, trigram_codes
 from parcelweave.operators.portfolio import parcels_with_owner
 from parcelweave.operators.set_join import similarity_pairs
 from parcelweave.operators.text_match import text_match
@@ -28,7 +28,7 @@ def match_streets(streets: DataFrame, addresses: DataFrame) -> DataFrame:
         text_match(streets.select(F.col("street").alias("query")), addresses.select(F.col("address").alias("doc")))
         .toDF("street", "address"), "address-words")
     missed = streets.join(by_words, "street", "left_anti")
-    sets = lambda df, c: df.select(F.col(c).alias("id"), trigrams(F.col(c)).alias("tokens"))
+    sets = lambda df, c: df.select(F.col(c).alias("id"), trigram_codes(F.col(c)).alias("tokens"))
     by_trigrams = similarity_pairs(sets(missed, "street"), sets(addresses, "address"), SIMILARITY_THRESHOLD)
     return by_words.withColumn("sim", similarity(F.col("address"), F.col("street"))).unionByName(
         by_trigrams.toDF("street", "address", "sim"))

@@ -348,7 +348,7 @@ def closest_roads(a):
 
 
 @register("""SELECT request_id, entity_id, CAST(row_number() OVER (
-               PARTITION BY request_id ORDER BY total_sqft DESC, entity_id) AS INTEGER) AS size_rank, property_count
+               PARTITION BY request_id ORDER BY round(total_sqft, 2) DESC, entity_id) AS INTEGER) AS size_rank, property_count
              FROM owner_ranks JOIN summary USING (entity_id) WHERE property_count > 10""")
 def screen_owners(a):
     return S.screen_owners(_discovered(a), min_properties=10).select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelweave.functions.text import similarity, trigrams
+from parcelweave.functions.text import similarity, trigram_codes
 from parcelweave.operators.set_join import similarity_pairs
 from parcelweave.operators.text_match import text_match
 
@@ -24,7 +24,7 @@ def discovered_owners(results: DataFrame) -> DataFrame:
 def screen_owners(
     results: DataFrame, min_properties: int | None = None, loan_before: Column | None = None, top: int | None = None,
 ) -> DataFrame:
-    """Owners of each request ranked by total portfolio size.
+    """Owners of each request ranked by total portfolio size, to the hundredth so that sums in any order tie alike.
 
     Keeps owners with more than `min_properties` properties, and with a listed loan maturing before `loan_before`.
     """
@@ -35,7 +35,7 @@ def screen_owners(
         due = F.exists("properties_in_corridor",
                        lambda p: p["loan_maturity"].cast("date") < loan_before.cast("date"))
         owners = owners.filter(F.coalesce(due, F.lit(False)))
-    w = Window.partitionBy("request_id").orderBy(F.col("total_sqft").desc_nulls_last(), "entity_id")
+    w = Window.partitionBy("request_id").orderBy(F.round("total_sqft", 2).desc_nulls_last(), "entity_id")
     ranked = owners.withColumn("size_rank", F.row_number().over(w))
     return ranked.filter(F.col("size_rank") <= top) if top is not None else ranked
 
@@ -59,7 +59,7 @@ def find_entities(
     names = entities.select("canonical_name").distinct()
     by_words = text_match(asked.toDF("query"), names.toDF("doc")).toDF("name", "canonical_name").withColumn(
         "sim", similarity(F.col("name"), F.col("canonical_name")))
-    sets = lambda df, c: df.select(F.col(c).alias("id"), trigrams(F.col(c)).alias("tokens"))
+    sets = lambda df, c: df.select(F.col(c).alias("id"), trigram_codes(F.col(c)).alias("tokens"))
     by_trigrams = similarity_pairs(sets(asked, "name"), sets(names, "canonical_name"), threshold).toDF(
         "name", "canonical_name", "sim")
     pairs = by_words.unionByName(by_trigrams).distinct()

@@ -53,6 +53,15 @@ def workdir(spark: SparkSession) -> str:
     return _LOCAL_WORKDIRS[app_id]
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash-partition into the configured number of shuffle partitions, whatever the size.
+
+    For rows that are small but cost much work downstream: adaptive execution would gather them into a few tasks by
+    their bytes. A following aggregate or distinct on the same columns needs no shuffle of its own.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as a parquet table in the working folder and read it back.
 

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from parcelweave.operators.upsert import last_by_position, upsert_parcels
 from parcelweave.sources.addresses import SUFFIX, parse_addresses
-from parcelweave.sources.landed import POSITION, accepted, state_file_filter, with_position
+from parcelweave.sources.landed import POSITION, accepted, state_file_filter
 from parcelweave.sources.tables import Tables
 
 LATENESS = "1 day"
@@ -16,7 +16,7 @@ LATENESS = "1 day"
 
 def refresh_addresses(
     tables: Tables, path: str, checkpoint: str, as_of: Column, states: list[str] | None = None,
-    policy: str = "address",
+    policy: str = "address", suffix: str = SUFFIX,
 ) -> StreamingQuery:
     """Merge address files that came in since the last run into the parcels, then stop.
 
@@ -24,7 +24,7 @@ def refresh_addresses(
     the same rows, so a replayed batch does no harm.
     """
     spark = tables.spark
-    lines = spark.readStream.option("pathGlobFilter", state_file_filter(SUFFIX, states)).text(path)
+    lines = spark.readStream.option("pathGlobFilter", state_file_filter(suffix, states)).text(path)
     files = lines.select("value", "_metadata.file_path", "_metadata.file_block_start")
 
     def merge(batch: DataFrame, batch_id: int) -> None:
@@ -52,7 +52,7 @@ def daily_popularity(log: DataFrame) -> DataFrame:
 def keep_popularity(log: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Keep the daily counts of a log stream as a table: each batch adds the counts as they stand, by batch number."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id:09d}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id:09d}")
 
     return (
         daily_popularity(log).writeStream.outputMode("update").foreachBatch(write)
