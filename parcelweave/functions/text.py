@@ -68,7 +68,7 @@ def words(c: Column) -> Column:
     raw = F.regexp_extract_all(F.lower(c), F.lit(f"({_COMPOUND}|{_NUMBER}|{_WORD})"), F.lit(1))
     is_compound = lambda w: w.rlike(r"\p{L}.*-")
     parts = F.flatten(F.transform(F.filter(raw, is_compound), lambda w: F.split(w, "-")))
-    return F.array_except(F.array_distinct(F.concat(raw, parts)), F.array(*[F.lit(w) for w in STOP_WORDS]))
+    return F.array_except(F.array_distinct(F.concat(raw, parts)), F.split(F.lit(" ".join(STOP_WORDS)), " "))
 
 
 def is_stemmed(word: Column) -> Column:

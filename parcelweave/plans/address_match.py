@@ -13,6 +13,8 @@ from parcelweave.operators.text_match import text_match
 from parcelweave.session import materialize
 
 SIMILARITY_THRESHOLD = 0.3
+# Where the search over all places starts; most addresses have five places above it.
+FIRST_THRESHOLD = 0.5
 TOP_ROWS = 5
 
 
@@ -22,16 +24,83 @@ def parse_addresses(requests: DataFrame) -> DataFrame:
         "request_id", N.lookup_street(address).alias("street"), N.lookup_city(address).alias("asked_city"))
 
 
-def match_streets(streets: DataFrame, addresses: DataFrame) -> DataFrame:
-    """(street, address, sim) of distinct texts: word matches, or trigram matches for streets without any."""
-    by_words = materialize(
-        text_match(streets.select(F.col("street").alias("query")), addresses.select(F.col("address").alias("doc")))
-        .toDF("street", "address"), "address-words")
-    missed = streets.join(by_words, "street", "left_anti")
-    sets = lambda df, c: df.select(F.col(c).alias("id"), trigram_codes(F.col(c)).alias("tokens"))
-    by_trigrams = similarity_pairs(sets(missed, "street"), sets(addresses, "address"), SIMILARITY_THRESHOLD)
-    return by_words.withColumn("sim", similarity(F.col("address"), F.col("street"))).unionByName(
-        by_trigrams.toDF("street", "address", "sim"))
+def city_hits(asked: DataFrame, places: DataFrame) -> DataFrame:
+    """(asked_city, city): the cities whose name holds the asked one, case aside.
+
+    Every substring of a distinct city name is a key, so it is an equi-join; names are short.
+    """
+    cities = places.select("city").distinct().filter("city is not null")
+    starts = F.sequence(F.lit(1), F.length("city"))
+    substrings = F.flatten(F.transform(starts, lambda i: F.transform(
+        F.sequence(F.lit(1), F.length("city") - i + 1), lambda n: F.substr(F.lower("city"), i, n))))
+    keys = cities.filter(F.length("city") > 0).select("city", F.explode(F.array_distinct(substrings)).alias("part"))
+    wanted = asked.filter("asked_city <> ''").select("asked_city").distinct()
+    return wanted.join(keys, F.lower("asked_city") == F.col("part")).select("asked_city", "city")
+
+
+def _sets(df: DataFrame, text: str, *group: str) -> DataFrame:
+    """Trigram sets of the distinct texts, made once per text."""
+    sets = materialize(df.select(F.col(text).alias("id")).distinct().select(
+        "id", trigram_codes(F.col("id")).alias("tokens")), "address-sets")
+    if not group:
+        return sets
+    return df.select(F.col(text).alias("id"), F.col(group[0]).alias("grp")).distinct().join(sets, "id")
+
+
+def _best_places(matches: DataFrame) -> DataFrame:
+    """The places that can hold one of the five best rows: rank up to five, ties included."""
+    order = Window.partitionBy("street", "asked_city").orderBy(F.col("city_hit").desc(), F.col("sim").desc())
+    return matches.withColumn("_rank", F.rank().over(order)).filter(F.col("_rank") <= TOP_ROWS).drop("_rank")
+
+
+def match_places(asked: DataFrame, places: DataFrame) -> DataFrame:
+    """(street, asked_city, address, city, city_hit, sim): for each asked pair the places among its five best.
+
+    Streets matching an address by words use those matches only. The others go by trigram similarity from 0.3 up, in
+    steps that stop for a pair once five places are certain: places in the asked city first, as they rank before all
+    others; then every place at 0.5 or more; and at 0.3 or more for what is left.
+    """
+    columns = ["street", "asked_city", "address", "city", "city_hit", "sim"]
+    hits = city_hits(asked, places).withColumn("city_hit", F.lit(1))
+    by_words = materialize(text_match(
+        asked.select(F.col("street").alias("query")).distinct(),
+        places.select(F.col("address").alias("doc")).distinct()).toDF("street", "address"), "address-words")
+
+    def at_places(pairs: DataFrame, who: DataFrame) -> DataFrame:
+        return (
+            pairs.join(who, "street").join(places, "address").join(hits, ["asked_city", "city"], "left")
+            .withColumn("city_hit", F.coalesce("city_hit", F.lit(0))).select(columns)
+        )
+
+    found = _best_places(at_places(
+        by_words.withColumn("sim", similarity(F.col("address"), F.col("street"))), asked))
+    missed = asked.join(by_words.select("street").distinct(), "street", "left_anti")
+
+    in_city = missed.join(hits, "asked_city").select("street", "asked_city", "city")
+    city_places = places.join(hits.select("city").distinct(), "city", "left_semi")
+    near = similarity_pairs(
+        _sets(in_city, "street", "city"), _sets(city_places, "address", "city"), SIMILARITY_THRESHOLD
+    ).toDF("city", "street", "address", "sim")
+    city_matches = materialize(_best_places(
+        near.join(in_city, ["street", "city"]).withColumn("city_hit", F.lit(1)).select(columns)), "address-city")
+
+    def settled(matches: DataFrame) -> DataFrame:
+        return matches.groupBy("street", "asked_city").agg(F.count(F.lit(1)).alias("n")).filter(
+            F.col("n") >= TOP_ROWS).select("street", "asked_city")
+
+    found = found.unionByName(city_matches.join(settled(city_matches), ["street", "asked_city"], "left_semi"))
+    left = materialize(missed.join(settled(city_matches), ["street", "asked_city"], "left_anti"), "address-left")
+    all_places = _sets(places, "address")
+    for threshold in (FIRST_THRESHOLD, SIMILARITY_THRESHOLD):
+        near = similarity_pairs(_sets(left, "street"), all_places, threshold).toDF("street", "address", "sim")
+        # City places are known down to 0.3 already and rank first, so only the others are taken from this step.
+        others = at_places(near, left).filter("city_hit = 0")
+        known = city_matches.join(left, ["street", "asked_city"], "left_semi")
+        matches = materialize(_best_places(others.unionByName(known)), "address-step")
+        if threshold == SIMILARITY_THRESHOLD:
+            return found.unionByName(matches)
+        found = found.unionByName(matches.join(settled(matches), ["street", "asked_city"], "left_semi"))
+        left = materialize(left.join(settled(matches), ["street", "asked_city"], "left_anti"), "address-left")
 
 
 def ranked_matches(requests: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
@@ -42,15 +111,7 @@ def ranked_matches(requests: DataFrame, tables: dict[str, DataFrame]) -> DataFra
     """
     asked = requests.select("street", "asked_city").distinct()
     places = tables["parcels"].filter(F.col("address").isNotNull()).select("address", "city").distinct()
-    matches = match_streets(asked.select("street").distinct(), places.select("address").distinct())
-    hit = (F.col("asked_city") != "") & F.lower(F.coalesce("city", F.lit(""))).contains(F.lower("asked_city"))
-    key = Window.partitionBy("street", "asked_city")
-    order = [F.col("city_hit").desc(), F.col("sim").desc()]
-    best_places = (
-        matches.join(asked, "street").join(places, "address")
-        .withColumn("city_hit", hit.cast("int"))
-        .withColumn("_rank", F.rank().over(key.orderBy(*order))).filter(F.col("_rank") <= TOP_ROWS).drop("_rank")
-    )
+    best_places = match_places(materialize(asked, "address-asked"), materialize(places, "places"))
     owned = parcels_with_owner(
         tables["parcels"].select("parcel_id", "address", "city", "state"),
         tables["portfolio_edges"], tables["entities"])
@@ -58,8 +119,9 @@ def ranked_matches(requests: DataFrame, tables: dict[str, DataFrame]) -> DataFra
     rows = best_places.alias("m").join(owned.alias("o"), same_place).select(
         "street", "asked_city", "city_hit", "sim", "o.address", "o.city", "state", "parcel_id", "entity_id",
         "owner_name", "confidence")
-    order += [F.col("confidence").desc_nulls_last(), F.col("parcel_id"), F.col("entity_id")]
-    return rows.withColumn("rank", F.row_number().over(key.orderBy(*order))).filter(F.col("rank") <= TOP_ROWS)
+    order = Window.partitionBy("street", "asked_city").orderBy(
+        F.col("city_hit").desc(), F.col("sim").desc(), F.col("confidence").desc_nulls_last(), "parcel_id", "entity_id")
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= TOP_ROWS)
 
 
 def choose_row(ranked: DataFrame) -> DataFrame:
