@@ -12,7 +12,9 @@ from parcelweave.sources import addresses, landed, registry, roads, tax_lots
 from parcelweave.sources.tables import Tables
 from parcelweave.streaming import jobs as streaming
 
-AS_OF = F.lit("2024-01-31").cast("timestamp")
+
+def as_of():
+    return F.lit("2024-01-31").cast("timestamp")
 
 
 def feature(**changes):
@@ -32,15 +34,17 @@ def landed_addresses(tmp_path):
         feature(properties={"id": "p3", "address_levels": [{"value": "New Jersey"}], "postal_city": "X"}),
         "", feature(properties={"number": "1241"}),
     ]
-    (tmp_path / "nj_addresses.geojsonseq").write_text("\n".join(lines))
-    (tmp_path / "ny_addresses.geojsonseq").write_text(feature(properties={"id": "ny"}))
-    return str(tmp_path)
+    folder = tmp_path / "landed"
+    folder.mkdir()
+    (folder / "nj_addresses.geojsonseq").write_text("\n".join(lines))
+    (folder / "ny_addresses.geojsonseq").write_text(feature(properties={"id": "ny"}))
+    return str(folder)
 
 
 def test_read_addresses(spark, landed_addresses):
     rows = addresses.read_addresses(spark, landed_addresses, ["nj"])
     reasons = {r.outcome: r.n for r in landed.ingest_metrics(rows).collect()}
-    assert reasons == {"loaded": 6, "unparsable": 1, "not_point": 2, "no_address": 1, "no_state": 1}
+    assert reasons == {"loaded": 6, "unparsable": 1, "not_point": 1, "bad_coordinates": 1, "no_address": 1, "no_state": 1}
     good = upsert.last_by_position(landed.accepted(rows), "parcel_id", landed.POSITION)
     by_id = {r.parcel_id: r for r in good.collect()}
     assert set(by_id) == {"p1", "p2", "p3", "f1", "ov_-74.286100_40.557900"}
@@ -54,9 +58,9 @@ def test_stream_refresh_equals_batch_and_repeats_safely(spark, landed_addresses,
     stored = Tables(spark, str(tmp_path / "stream"))
     for _ in range(2):
         streaming.refresh_addresses(
-            stored, landed_addresses, str(tmp_path / "checkpoint"), AS_OF).awaitTermination()
+            stored, landed_addresses, str(tmp_path / "checkpoint"), as_of()).awaitTermination()
     batch = Tables(spark, str(tmp_path / "batch"))
-    resolution.load_addresses(batch, addresses.read_addresses(spark, landed_addresses), AS_OF)
+    resolution.load_addresses(batch, addresses.read_addresses(spark, landed_addresses), as_of())
     columns = ["parcel_id", "address", "city", "state", "zip", "property_type"]
     rows = [sorted(map(tuple, t.read("parcels").select(columns).collect())) for t in (stored, batch)]
     assert rows[0] == rows[1] and len(rows[0]) == 6
@@ -141,7 +145,7 @@ def test_discovery_result(spark, small_world):
          ("c", "Highway 9, NJ", "Retail", 3.0, None, 10)],
         "request_id string, corridor string, property_type string, lot_size_min_acres double, "
         "lot_size_max_acres double, max_results int")
-    results = discovery.discover(asked, small_world, AS_OF)
+    results = discovery.discover(asked, small_world, as_of())
     rows = {r.request_id: r for r in results.collect()}
     assert [rows[k].status for k in "abc"] == ["ok", "empty", "empty"]
     (owner,) = rows["a"].owners
@@ -169,14 +173,14 @@ def test_route_prefixes(spark, strict, expected):
 
 def test_profiles(spark, small_world):
     ids = spark.createDataFrame([("smith",), ("nobody",)], "entity_id string")
-    rows = {r.entity_id: r for r in profiles.profiles(ids, small_world, AS_OF, include_all=True).collect()}
+    rows = {r.entity_id: r for r in profiles.profiles(ids, small_world, as_of(), include_all=True).collect()}
     known, unknown = rows["smith"], rows["nobody"]
     assert [p.parcel_id for p in known.properties] == ["NJ_MIDDLESEX_0024_00001", "far"]
     assert known.registered_agent.name == "CT" and known.beneficial_owners[0].name == "John Smith"
     assert (unknown.canonical_name, unknown.contact_status, unknown.source, unknown.confidence) == (
         "Unknown Entity", "not_available", "not_found", 0.0)
     # A list over the nesting limit is left to the flat table, which holds every row.
-    capped = profiles.profiles(ids, small_world, AS_OF, include_all=True, max_nested=1).filter("found").first()
+    capped = profiles.profiles(ids, small_world, as_of(), include_all=True, max_nested=1).filter("found").first()
     assert capped.properties is None and not capped.properties_nested
     assert profiles.profile_properties(ids, small_world).count() == 2
 
@@ -185,7 +189,7 @@ def test_address_match(spark, small_world):
     asked = spark.createDataFrame(
         [("a", "1240 Highway 9, Woodbridge NJ"), ("b", "1240 Hwy 9, Woodbridge NJ"), ("c", "zzz qqq")],
         "request_id string, address string")
-    rows = {r.request_id: r for r in address_match.match_addresses(asked, small_world, AS_OF).collect()}
+    rows = {r.request_id: r for r in address_match.match_addresses(asked, small_world, as_of()).collect()}
     assert rows["a"].status == rows["b"].status == "found" and rows["c"].status == "not_found"
     assert rows["a"].entity_id == "smith" and rows["b"].parcel.parcel_id == "NJ_MIDDLESEX_0024_00001"
 
@@ -196,10 +200,10 @@ def test_resolution_over_stored_tables(spark, small_world, tmp_path, method):
     misspelt = small_world["parcels"].withColumn("owner_name_raw", F.lit("Smith Captal Holdings LLC"))
     tables.overwrite("parcels", misspelt)
     tables.overwrite("entities", small_world["entities"])
-    edges = resolution.resolve_entities(tables, None, AS_OF, method).collect()
+    edges = resolution.resolve_entities(tables, None, as_of(), method).collect()
     assert {(r.entity_id, r.method) for r in edges} == {("smith", "fuzzy")} and len(edges) == 2
     # A second run finds no new names and changes nothing.
-    resolution.resolve_entities(tables, None, AS_OF, method)
+    resolution.resolve_entities(tables, None, as_of(), method)
     assert tables.read("entity_aliases").count() == 1
     assert sorted(map(tuple, tables.read("portfolio_edges").collect())) == sorted(map(tuple, edges))
 
@@ -209,8 +213,8 @@ def test_upserts_are_idempotent(spark, small_world):
     new = parcels.limit(1).select("parcel_id", "address", "city", "state", "zip", "lat", "lon", "source").withColumn(
         "address", F.lit("1 New Road"))
     for policy in ("replace", "address", "enrich", "enrich_update"):
-        once = upsert.upsert_parcels(parcels, new, policy, AS_OF)
-        twice = upsert.upsert_parcels(once, new, policy, AS_OF)
+        once = upsert.upsert_parcels(parcels, new, policy, as_of())
+        twice = upsert.upsert_parcels(once, new, policy, as_of())
         assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
     with pytest.raises(ValueError):
-        upsert.upsert_parcels(parcels, new, "other", AS_OF)
+        upsert.upsert_parcels(parcels, new, "other", as_of())
