@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -53,6 +54,20 @@ def workdir(spark: SparkSession) -> str:
     return _LOCAL_WORKDIRS[app_id]
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application; called before a vectorised UDF is used."""
+    app_id = spark.sparkContext.applicationId
+    if app_id not in _SHIPPED:
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="parcelweave-"), "parcelweave")
+        shutil.make_archive(archive, "zip", os.path.dirname(package), os.path.basename(package))
+        spark.sparkContext.addPyFile(f"{archive}.zip")
+        _SHIPPED.add(app_id)
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Hash-partition into the configured number of shuffle partitions, whatever the size.
 
