@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelweave.functions import normalize as N
-from parcelweave.functions import text
 from parcelweave.operators import checks, contacts, matching, ownership, portfolio, spatial, text_match, upsert
 from parcelweave.operators.token_set_join import best_token_set_match
 from parcelweave.plans import address_match as AM
@@ -81,15 +80,8 @@ def words_sql(x: str) -> str:
 ROUTE_WORDS = ["Route ", "US ", "US Route ", "US Highway ", "Highway ", "US-", "NJ ", "NY "]
 _like_route = " OR ".join(f"r.road_name ILIKE '%{w}' || q.number || '%'" for w in ROUTE_WORDS)
 
-# Squared metres between a parcel p and a road r, as in the planar projection at the parcel.
+# First eccentricity squared of the WGS84 ellipsoid.
 _E2 = "0.0066943799901413165"
-DIST2 = f"""
-(SELECT (x1 + t * dx) * (x1 + t * dx) + (y1 + t * dy) * (y1 + t * dy)
- FROM (SELECT x1, y1, dx, dy, CASE WHEN dx * dx + dy * dy > 0
-         THEN greatest(0.0, least(1.0, -(x1 * dx + y1 * dy) / (dx * dx + dy * dy))) ELSE 0.0 END AS t
-       FROM (SELECT (lon1 - lon) * mx AS x1, (lat1 - lat) * my AS y1, (lon2 - lon1) * mx AS dx,
-                    (lat2 - lat1) * my AS dy))))
-"""
 
 CTES = f"""
 WITH {check_ctes()},
