@@ -70,7 +70,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     table = table.withColumn("_level", (F.col("_mix") - F.coalesce(F.sum("_cap").over(before), F.lit(0)))
                              / F.sum("_weight").over(onward))
     whole = Window.partitionBy("one")
-    table = table.withColumn("_level", F.min(F.when(F.col("_level") <= F.col("_full"), F.col("_level"))).over(whole))
+    table = table.withColumn("_level", F.max(F.when(F.col("_level") <= F.col("_full"), F.col("_level"))).over(whole))
     table = table.withColumns({
         "target": F.least(F.col("_cap").cast("double"), F.col("_weight") * F.col("_level")),
         "_n": F.greatest(F.lit(1), F.round(F.col("_mix") / BLOCK_WORDS)).cast("long")})
@@ -162,7 +162,7 @@ leveled AS (
   FROM capped),
 targets AS (
   SELECT source, rank, source_size,
-    least(cap::DOUBLE, weight * (SELECT min(lvl) FROM leveled WHERE lvl <= cap / weight)) AS target,
+    least(cap::DOUBLE, weight * (SELECT max(lvl) FROM leveled WHERE lvl <= cap / weight)) AS target,
     greatest(1, round(mix / {BLOCK_WORDS}))::BIGINT AS n, mix / greatest(1, round(mix / {BLOCK_WORDS}))::BIGINT AS block,
     least({MAX_SHARDS}, greatest(1, ceil(source_size / {SHARD_WORDS})))::BIGINT AS shards
   FROM leveled),

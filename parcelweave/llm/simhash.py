@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelweave.llm.components import components
@@ -85,28 +85,50 @@ def linked_fingerprints(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFr
     ).select("u", "v").distinct()
 
 
+def _classes(prints: DataFrame, max_bits: int) -> DataFrame:
+    """(_fp, root, component_id) for each distinct fingerprint of (_id, _fp); `root` names the component uniquely."""
+    nodes = materialize(prints.groupBy("_fp").agg(F.min("_id").alias("_least")), "fingerprint-nodes")
+    roots = materialize(components(linked_fingerprints(nodes, max_bits), "fingerprint-links"), "fingerprint-roots")
+    linked = nodes.join(roots, nodes["_fp"] == roots["node"])
+    named = linked.groupBy("root").agg(F.min("_least").alias("component_id"))
+    return nodes.join(linked.select("_fp", "root").join(named, "root"), "_fp", "left").select(
+        "_fp", F.coalesce("root", "_fp").alias("root"),
+        F.when(F.col("root").isNull(), F.col("_least")).otherwise(F.col("component_id")).alias("component_id"))
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS,
     max_bits: int = MAX_BITS, seed: int = SEED,
 ) -> DataFrame:
-    """`docs` without its text, plus `fingerprint` (16 hex digits), `component_id` and `keep`.
+    """`docs` without its text, plus `fingerprint` (16 hex digits) and `component_id`.
 
     Documents whose fingerprints differ by `max_bits` bits or fewer are linked; a component is named by its smallest
-    document id, and `keep` marks the rows of that id (repeated rows of it included). Fingerprints are made distinct
-    before the join, so copies cost one row each, not pairs. Texts without a word (null, empty, blank) have fingerprint
-    zero and are linked like any other. A null id is never the name of a component unless all its ids are null. An
-    input column named like a new one is replaced.
+    document id. Fingerprints are made distinct before the join, so copies cost one row each, not pairs. Texts without a
+    word (null, empty, blank) have fingerprint zero and are linked like any other. A null id is never the name of a
+    component unless all its ids are null. An empty table gives an empty result. An input column named like a new one
+    is replaced.
     """
     slim = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), carried(docs, text))
     prints = materialize(fingerprints(slim, "_text", shingle, seed), "fingerprints")
-    nodes = materialize(prints.groupBy("_fp").agg(F.min("_id").alias("_least")), "fingerprint-nodes")
-    roots = materialize(components(linked_fingerprints(nodes, max_bits), "fingerprint-links"), "fingerprint-roots")
-    linked = nodes.join(roots, nodes["_fp"] == roots["node"])
-    named = linked.groupBy("root").agg(F.min("_least").alias("component_id"))
-    classes = nodes.join(
-        linked.select("_fp", "root").join(named, "root").select("_fp", "component_id"), "_fp", "left",
-    ).select("_fp", F.coalesce("component_id", "_least").alias("component_id"))
-    out = prints.join(classes, "_fp")
+    out = prints.join(_classes(prints, max_bits), "_fp")
     return restored(out, docs.drop(text), {
-        "fingerprint": F.lower(F.lpad(F.hex("_fp"), 16, "0")), "component_id": F.col("component_id"),
-        "keep": F.col("_id").eqNullSafe(F.col("component_id"))})
+        "fingerprint": F.lower(F.lpad(F.hex("_fp"), 16, "0")), "component_id": F.col("component_id")})
+
+
+def deduplicated(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS,
+    max_bits: int = MAX_BITS, seed: int = SEED,
+) -> DataFrame:
+    """One document of each component, unchanged: the smallest id, of repeated ids the least text hash, of equal rows one.
+
+    Null ids count as the largest. The texts are shuffled once, for the join with the chosen rows.
+    """
+    keys = {"_none": F.col(doc_id).isNull(), "_id": F.coalesce(F.col(doc_id), F.lit(0)), "_tag": F.hash(text)}
+    rows = docs.select(*[v.alias(k) for k, v in keys.items()], F.struct("*").alias("_row"))
+    prints = materialize(fingerprints(
+        docs.select(*[v.alias(k) for k, v in keys.items()], F.col(text).alias("_text")), "_text", shingle, seed),
+        "fingerprints")
+    chosen = prints.join(_classes(prints, max_bits), "_fp").groupBy("root").agg(F.min(F.struct(*keys)).alias("c")).select("c.*")
+    first = Window.partitionBy(*keys).orderBy("_id")
+    kept = rows.join(chosen, list(keys)).withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return kept.select("_row.*")

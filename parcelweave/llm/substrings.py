@@ -196,13 +196,14 @@ def _counted(packed: DataFrame, window: int) -> DataFrame:
     return packed.mapInArrow(count, f"{schema_of(packed.select('_id', '_tag'))}, low bigint, high bigint")
 
 
-def _kept(met: DataFrame) -> DataFrame:
+def _kept(met: DataFrame, as_is: bool) -> DataFrame:
     """The text without the words of its ranges, and both counts."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in chunks(batch, "_text"):
-                words = split_words(texts_of(rows, "_text"))
+                texts = texts_of(rows, "_text")
+                words = split_words(texts)
                 ranges = rows.column("ranges")
                 sizes = _lengths(ranges)
                 base = np.repeat(words.first[:-1], sizes)
@@ -218,6 +219,8 @@ def _kept(met: DataFrame) -> DataFrame:
                 kept = [data[a:max(a, b - 1)] for a, b in zip(bounds, bounds[1:], strict=False)]
                 n = np.diff(words.first)
                 gone = n - np.diff(left[words.first])
+                if as_is:
+                    kept = [k if g else t for k, g, t in zip(kept, gone.tolist(), texts, strict=True)]
                 own = rows.drop_columns(["_text", "ranges"])
                 yield pa.RecordBatch.from_arrays(
                     [*own.columns, pa.array(n), pa.array(gone), pa.array(kept, pa.binary()).cast(pa.string())],
@@ -228,13 +231,14 @@ def _kept(met: DataFrame) -> DataFrame:
 
 def remove_repeats(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW_WORDS, mer: int = MER_WORDS,
-    hot_spans: int = HOT_SPANS,
+    hot_spans: int = HOT_SPANS, as_is: bool = False,
 ) -> DataFrame:
     """`docs` with `n_words`, `n_removed` and `kept`: the text without every word that lies in a repeated window.
 
     A window is `window` consecutive words of one text, compared byte by byte; it is repeated if its word sequence
     starts anywhere else, in the same text too. All its occurrences go, the first one included, and all windows are
     judged on the input. `kept` holds the remaining words joined by one space; null and blank texts give 0, 0 and ''.
+    With `as_is`, a text that loses nothing keeps its white space (null becomes ''). An empty table gives none.
     Rows repeated with one id are documents like any other, so they remove each other. An input column named like a
     new one is replaced.
     """
@@ -264,6 +268,6 @@ def remove_repeats(
     ranges = cold.union(hot).groupBy("_id", "_tag").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
     none = F.array().cast("array<struct<low:bigint,high:bigint>>")
     met = with_docs(ranges, "left").withColumn("ranges", F.coalesce("ranges", none))
-    out = _kept(met.drop("_tag"))
+    out = _kept(met.drop("_tag"), as_is)
     return restored(out, docs.drop(text), {"n_words": F.col("_n"), "n_removed": F.col("_gone"), "kept": F.col("_kept")},
                     **{doc_id: F.col("_id")})
