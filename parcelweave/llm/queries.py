@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelweave.llm import language, mixing, packing, simhash, substrings
+from parcelweave.llm import language, mixing, packing, quality, simhash, substrings
 from parcelweave.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,3 +53,9 @@ def packing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language.language_of(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op4_quality")
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    return quality.quality_of(docs, labels).select("doc_id", "held_out", "score", "predicted")
