@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from parcelweave.session import materialize, ship_package
 
-__all__ = ["materialize", "ship_package", "carried", "restored", "chunks", "texts_of", "table", "crc_of_id", "schema_of"]
+__all__ = ["materialize", "ship_package", "carried", "restored", "chunks", "texts_of", "table", "crc_of_id", "schema_of",
+           "labelled_sample"]
 
 # Text bytes that one vectorised step handles at once; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
@@ -65,3 +66,13 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """UTF-8 bytes of a text column; null is empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: str, sample: int) -> DataFrame:
+    """(at, text, label) of the first `sample` labelled documents by the hash of their id; of several labels the largest."""
+    known = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(
+        F.max(label).cast("double").alias("label"))
+    ids = docs.select(F.col(doc_id).alias("id")).distinct().join(known, "id")
+    chosen = ids.withColumn("at", F.xxhash64("id")).orderBy("at", "id").limit(sample)
+    return docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(
+        chosen, "id").select("at", "text", "label")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelweave.llm.frames import carried, chunks, crc_of_id, restored, schema_of, ship_package, texts_of
+from parcelweave.llm.frames import carried, chunks, crc_of_id, labelled_sample, restored, schema_of, ship_package, texts_of
 from parcelweave.llm.words import split_tokens, window_hashes, word_hashes
 
 BITS = 18
@@ -81,16 +81,6 @@ def _examples(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: str, sample: int) -> DataFrame:
-    """(at, text, label) of the first `sample` labelled documents by the hash of their id; of several labels the largest."""
-    known = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(
-        F.max(label).cast("double").alias("label"))
-    ids = docs.select(F.col(doc_id).alias("id")).distinct().join(known, "id")
-    chosen = ids.withColumn("at", F.xxhash64("id")).orderBy("at", "id").limit(sample)
-    return docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(
-        chosen, "id").select("at", "text", "label")
-
-
 def learn(
     docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text",
     sample: int = SAMPLE_DOCS,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelweave.llm import language, mixing, packing, quality, simhash, substrings
+from parcelweave.llm import language, mixing, packing, quality, simhash, substrings, toxicity
 from parcelweave.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,3 +59,9 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     return quality.quality_of(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op1_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    return toxicity.toxicity_of(docs, labels).select("doc_id", "held_out", "score", "predicted")
