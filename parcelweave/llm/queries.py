@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelweave.llm import language, mixing, packing, quality, search, simhash, substrings, toxicity
+from parcelweave.llm import language, mixing, packing, quality, search, simhash, substrings, toxicity, versions
 from parcelweave.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,3 +81,9 @@ WHERE rank <= 10
 def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return search.top_k(rows, rows.where("vec_id % 100 = 0"))
+
+
+@query("op6_fingerprints")
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return versions.fingerprint_versions(docs)
