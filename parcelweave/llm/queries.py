@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelweave.llm import language, mixing, packing, quality, search, simhash, substrings, toxicity, versions
+from parcelweave.llm import chat, language, mixing, packing, quality, search, simhash, substrings, toxicity, versions
 from parcelweave.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,3 +87,11 @@ def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return versions.fingerprint_versions(docs)
+
+
+@query("op5_chat_formatting")
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], stored.schema)
+    return chat.read_back(chat.format_windows(stored.unionByName(extra)))
