@@ -30,7 +30,7 @@ def jobs(a: Adapted) -> dict:
         F.col("o_totalprice").alias("lot_size_acres"))
     return {
         "corridor_discovery": lambda: discovery.discover(a.raw("corridor_requests"), t, as_of()),
-        "owner_profile_all": lambda: profiles.profiles(t["entities"], t, as_of(), include_all=True),
+        "owner_profile_all": lambda: profiles.profiles(t["entities"], t, as_of()),
         "address_match": lambda: address_match.match_addresses(a.raw("address_requests"), t, as_of()),
         "entity_resolution": lambda: resolution.resolve_names(t["parcels"], t["entities"], t["entity_aliases"]),
         "portfolio_recompute": lambda: resolution.recompute_edges(
@@ -39,7 +39,7 @@ def jobs(a: Adapted) -> dict:
         "upsert_address": lambda: upsert.upsert_parcels(t["parcels"], answers, "address", as_of()),
         "find_entities": lambda: screening.find_entities(
             a.source("part").select(F.col("p_name").alias("name")).distinct().select(
-                F.col("name").alias("request_id"), "name", F.lit("").alias("state")), t["entities"]),
+                F.col("name").alias("request_id"), "name", F.lit("").alias("state")), t["entities"], top=10),
         "prewarm_candidates": lambda: contacts.prewarm_candidates(
             t["query_log"], t["entities"], t["contacts"], as_of()),
         "ownership_chain": lambda: ownership_chain(a.raw("beneficial_owners")),

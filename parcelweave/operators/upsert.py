@@ -77,8 +77,12 @@ def _parcel_stamps(as_of: Column) -> dict[str, Column]:
     }
 
 
-def upsert_parcels(parcels: DataFrame, staging: DataFrame, policy: str, as_of: Column) -> DataFrame:
-    """New version of `parcels` after merging `staging` (one row per parcel_id) under a policy.
+def upsert_parcels(
+    parcels: DataFrame, staging: DataFrame, policy: str, as_of: Column, order: list[Column] | None = None,
+) -> DataFrame:
+    """New version of `parcels` after merging `staging` under a policy.
+
+    Of several staged rows of one id the first by `order` counts, by default the one with the greatest values.
 
     'replace'        every data column is overwritten, a missing type becomes 'Unknown'
     'address'        only address, city, state, zip, coordinates and source are overwritten
@@ -88,6 +92,8 @@ def upsert_parcels(parcels: DataFrame, staging: DataFrame, policy: str, as_of: C
     as_of = as_of.cast("timestamp")
     stamps = _parcel_stamps(as_of)
     available = set(staging.columns)
+    staging = pick_first(
+        staging, ["parcel_id"], order or [F.col(c).desc_nulls_last() for c in PARCEL_COLUMNS if c in available])
     staging = staging.select(
         "parcel_id",
         *[F.col(c) if c in available else F.lit(None).cast(parcels.schema[c].dataType).alias(c)

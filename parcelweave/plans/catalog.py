@@ -402,7 +402,56 @@ def resolve_names(a):
         "entity_id", "alias_name", rounded("match_score", 6), "source")
 
 
-@register()
+def _word_key(c: str) -> str:
+    return f"list_sort(list_distinct(list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')))"
+
+
+# Token-set score: the shared words against each side with them in front, and both sides against each other, in percent
+# of insert-and-delete similarity. Whole texts are compared only where the counts of each letter allow the score; their
+# longest common subsequence is then folded row by row over the letters of the left text.
+_TOKEN_SET = f"""
+, raw_names AS (SELECT DISTINCT owner_name_raw AS name FROM parcels WHERE owner_name_raw IS NOT NULL
+                AND owner_name_raw NOT IN (SELECT alias_name FROM entity_aliases)),
+name_keys AS (SELECT name, w, array_to_string(w, ' ') AS k FROM (SELECT name, {_word_key('name')} AS w FROM raw_names)),
+owner_keys AS (SELECT w, array_to_string(w, ' ') AS k, min(entity_id) AS entity_id FROM (
+    SELECT entity_id, {_word_key('canonical_name')} AS w FROM entities) GROUP BY w),
+letters AS (SELECT string_split('abcdefghijklmnopqrstuvwxyz0123456789 ', '') AS all_letters),
+left_keys AS (SELECT *, length(k) AS n, list_transform(all_letters, lambda c: n - length(replace(k, c, ''))) AS counts
+              FROM (SELECT DISTINCT w, k FROM name_keys WHERE k <> ''), letters),
+right_keys AS (SELECT *, length(k) AS n, list_transform(all_letters, lambda c: n - length(replace(k, c, ''))) AS counts
+               FROM (SELECT * FROM owner_keys WHERE k <> ''), letters),
+pairs AS (
+  SELECT l.k AS lk, r.entity_id, l.w AS lw, r.w AS rw, l.n AS ln, r.n AS rn, list_sort(list_intersect(l.w, r.w)) AS shared,
+         2 * least(l.n, r.n) >= 0.895 * (l.n + r.n) AND 2 * list_sum(list_transform(range(1, 38), lambda i:
+           least(l.counts[i], r.counts[i]))) >= 0.895 * (l.n + r.n) AS near
+  FROM left_keys l CROSS JOIN right_keys r),
+spelled AS (
+  SELECT lk, entity_id, ln, rn, near, array_to_string(shared, ' ') AS s, length(array_to_string(shared, ' ')) AS sn,
+         trim(array_to_string(list_concat(shared, list_filter(lw, lambda x: NOT list_contains(shared, x))), ' ')) AS a,
+         trim(array_to_string(list_concat(shared, list_filter(rw, lambda x: NOT list_contains(shared, x))), ' ')) AS b
+  FROM pairs WHERE near OR (len(shared) > 0 AND 2.21 * length(array_to_string(shared, ' ')) >= 1.78 * least(ln, rn))),
+common AS (
+  SELECT a, b, list_last(list_reduce(
+      list_prepend(list_transform(range(length(b) + 1), lambda i: 0::BIGINT),
+        list_transform(string_split(a, ''), lambda c: list_prepend(0::BIGINT,
+          list_transform(string_split(b, ''), lambda d: (CASE WHEN c = d THEN 1 ELSE 0 END)::BIGINT)))),
+      lambda above, hit: list_reduce(
+        list_prepend([0::BIGINT], list_transform(range(2, length(b) + 2), lambda j: [greatest(above[j], above[j - 1] + hit[j])])),
+        lambda done, x: list_append(done, greatest(x[1], list_last(done)))))) AS n
+  FROM (SELECT DISTINCT a, b FROM spelled WHERE near)),
+scored AS (
+  SELECT lk, entity_id, greatest(
+      CASE WHEN sn = 0 THEN 0 ELSE floor(200 * sn / (sn + least(ln, rn))::DOUBLE + 0.5) END,
+      coalesce(floor(200 * n / (ln + rn)::DOUBLE + 0.5), 0)) AS score
+  FROM spelled LEFT JOIN common USING (a, b)),
+chosen AS (SELECT lk, entity_id, score, row_number() OVER (PARTITION BY lk ORDER BY score DESC, entity_id) AS n
+           FROM scored WHERE score >= 90)
+SELECT name, entity_id, CAST(score / 100 AS DOUBLE) AS match_score
+FROM name_keys JOIN chosen ON lk = k WHERE n = 1
+"""
+
+
+@register(CTES + _TOKEN_SET)
 def best_token_set(a):
     t = a.tables()
     names = matching.unmatched_names(t["parcels"], t["entity_aliases"], case_insensitive=False)
@@ -465,7 +514,7 @@ SELECT name || '/' || state AS request_id, rank, entity_id, round(sim, 6) AS sim
   SELECT s.name, s.state, entity_id, sim, CAST(row_number() OVER (
            PARTITION BY s.name, s.state ORDER BY sim DESC, entity_id) AS INTEGER) AS rank
   FROM searches s JOIN pairs USING (name) JOIN entities e USING (canonical_name)
-  WHERE (s.state = '' OR e.jurisdiction = 'US-' || s.state) AND (sim >= 0.3 OR all_words)) WHERE rank <= 10
+  WHERE (s.state = '' OR e.jurisdiction = 'US-' || s.state) AND (sim >= 0.3 OR all_words))
 """
 
 
@@ -544,19 +593,16 @@ def address_split(a):
 
 _PROFILE = """
 , ids AS (SELECT entity_id FROM entities UNION SELECT 'sos_ny_c' || c_custkey FROM customer),
-bo AS (SELECT entity_id, string_agg(owner_name, ',' ORDER BY owner_name) AS owners FROM beneficial_owners GROUP BY 1),
-listed AS (SELECT entity_id, count(*) AS n, string_agg(parcel_id, ',' ORDER BY state, city, parcel_id) AS parcels
-           FROM edges JOIN parcels USING (parcel_id) GROUP BY 1)
+bo AS (SELECT entity_id, count(*) AS n FROM beneficial_owners GROUP BY 1)
 SELECT i.entity_id, coalesce(e.canonical_name, 'Unknown Entity') AS canonical_name,
        coalesce(e.entity_type, 'Unknown') AS entity_type, coalesce(e.jurisdiction, 'Unknown') AS jurisdiction,
        coalesce(e.status, 'unknown') AS status,
-       CASE WHEN e.entity_id IS NULL THEN '' ELSE coalesce(bo.owners, '') END AS beneficial_owners,
+       CASE WHEN e.entity_id IS NULL THEN 0 ELSE coalesce(bo.n, 0) END AS n_beneficial_owners,
        l.name AS contact_name,
        CASE WHEN e.entity_id IS NULL THEN 'not_available' WHEN l.entity_id IS NULL THEN 'pending'
             ELSE 'available' END AS contact_status,
        coalesce(s.property_count, 0) AS property_count, round(s.total_sqft, 2) AS total_sqft,
        coalesce(s.states_present, '') AS states_present, coalesce(s.property_types, '') AS property_types,
-       coalesce(listed.parcels, '') AS parcels,
        CASE WHEN e.entity_id IS NULL THEN 'not_found' ELSE 'sos' END AS source,
        CASE WHEN e.entity_id IS NULL OR DATE '2024-01-31' - e.updated_on > 1 THEN 'stale' ELSE 'fresh' END
          AS data_freshness,
@@ -564,7 +610,6 @@ SELECT i.entity_id, coalesce(e.canonical_name, 'Unknown Entity') AS canonical_na
        CAST(CASE WHEN e.entity_id IS NULL THEN 0 ELSE 1 END AS DOUBLE) AS confidence
 FROM ids i LEFT JOIN entities e USING (entity_id) LEFT JOIN summary s USING (entity_id)
 LEFT JOIN live l ON l.entity_id = e.entity_id LEFT JOIN bo ON bo.entity_id = e.entity_id
-LEFT JOIN listed ON listed.entity_id = i.entity_id
 """
 
 
@@ -573,26 +618,33 @@ def owner_profile(a):
     t = tables_of(a)
     ids = t["entities"].select("entity_id").unionByName(
         a.source("customer").select(F.concat(F.lit("sos_ny_c"), "c_custkey").alias("entity_id")))
-    names = lambda c, f: F.array_join(F.transform(c, lambda x: x[f]), ",")
-    return P.profiles(ids, t, as_of(), include_all=True).select(
-        "entity_id", "canonical_name", "entity_type", "jurisdiction", "status",
-        names("beneficial_owners", "name").alias("beneficial_owners"), F.col("contact.name").alias("contact_name"),
+    return P.profiles(ids, t, as_of()).select(
+        "entity_id", "canonical_name", "entity_type", "jurisdiction", "status", "n_beneficial_owners",
+        F.col("contact.name").alias("contact_name"),
         "contact_status", "portfolio_summary.property_count",
         F.round("portfolio_summary.total_sqft", 2).alias("total_sqft"),
         F.array_join("portfolio_summary.states_present", ",").alias("states_present"),
         F.array_join("portfolio_summary.property_types", ",").alias("property_types"),
-        names("properties", "parcel_id").alias("parcels"), "source", "data_freshness", "freshness_secs", "confidence")
+        "source", "data_freshness", "freshness_secs", "confidence")
+
+
+@register("""SELECT entity_id, owner_name AS name, 'Member' AS role, CAST(NULL AS DOUBLE) AS ownership_pct
+             FROM beneficial_owners JOIN entities USING (entity_id)""")
+def profile_owners(a):
+    t = tables_of(a)
+    return P.profile_owners(t["entities"], t)
 
 
 @register("""SELECT entity_id, parcel_id, address, city, state, zip, lot_size_acres, building_sqft, property_type,
                     last_sale_price, CAST(last_sale_date AS VARCHAR) AS last_sale_date,
+                    strftime(last_sale_date + INTERVAL 120 MONTH, '%Y-%m-%d') AS loan_maturity,
                     lat AS latitude, lon AS longitude
              FROM edges JOIN parcels USING (parcel_id)""")
 def profile_properties(a):
     t = tables_of(a)
     return P.profile_properties(t["entities"], t).select(
         "entity_id", "parcel_id", "address", "city", "state", "zip", "lot_size_acres", "building_sqft",
-        "property_type", "last_sale_price", "last_sale_date", "latitude", "longitude")
+        "property_type", "last_sale_price", "last_sale_date", "loan_maturity", "latitude", "longitude")
 
 
 @register("""SELECT entity_id, CAST((DATE '2024-01-31' - updated_on) * 86400 AS BIGINT) AS freshness_secs,
@@ -645,6 +697,10 @@ def _landed_contacts(a):
                     ).otherwise(F.array().cast("array<struct<name: string, title: string>>"))
     profile = c.filter(key % 2 == 0).select(entity, F.to_json(F.struct(
         F.concat(F.lit("Company "), "c_custkey").alias("name"), people.alias("people_also_viewed"))).alias("response"))
+    # Answers that are no JSON, null or empty give no contact.
+    turn = F.substring_index("entity_id", "_", -1).cast("long")
+    profile = profile.withColumn("response", F.when(turn % 20 == 2, "{bad").when(turn % 20 == 12, "<html>no</html>").when(
+        turn % 20 == 4, F.lit(None)).when(turn % 20 == 14, " ").otherwise(F.col("response")))
     mail = F.struct(
         F.concat(F.lit("u"), "c_custkey", F.lit("@example.com")).alias("value"), F.lit("personal").alias("type"),
         (key % 101).cast("double").alias("confidence"),
@@ -655,6 +711,7 @@ def _landed_contacts(a):
                              "last_name: string, position: string>>")
     emails = c.filter(key % 3 == 0).select(entity, F.to_json(F.struct(F.struct(
         F.when(key % 4 == 0, no_mail).otherwise(F.array(mail)).alias("emails")).alias("data"))).alias("response"))
+    emails = emails.withColumn("response", F.when(turn % 30 == 3, "{bad").otherwise(F.col("response")))
     return profile, emails
 
 
@@ -671,7 +728,8 @@ _FOUND = """
               WHEN has_profile THEN 0.75 ELSE CAST(c_custkey % 101 AS DOUBLE) / 100 END AS DOUBLE) AS confidence,
          CASE WHEN has_profile AND has_email THEN 'proxycurl+hunter' WHEN has_profile THEN 'proxycurl'
               ELSE 'hunter' END AS source
-  FROM (SELECT *, c_custkey % 2 = 0 AS has_profile, c_custkey % 3 = 0 AND c_custkey % 4 <> 0 AS has_email,
+  FROM (SELECT *, c_custkey % 2 = 0 AND c_custkey % 20 NOT IN (2, 4, 12, 14) AS has_profile,
+               c_custkey % 3 = 0 AND c_custkey % 4 <> 0 AND c_custkey % 30 <> 3 AS has_email,
                CASE WHEN c_custkey % 5 = 0 THEN c_name ELSE 'Company ' || c_custkey END AS profile_name
         FROM customer JOIN entities ON entity_id = 'sos_ny_' || c_custkey)
   WHERE has_profile OR has_email)

@@ -14,11 +14,12 @@ from parcelweave.functions import normalize as N
 from parcelweave.operators import upsert
 from parcelweave.plans import resolution as R
 from parcelweave.plans.adapters import as_of
-from parcelweave.plans.catalog import CTES, _discovered, register
-from parcelweave.plans.discovery import parse_requests, served_owners
+from parcelweave.plans import profiles, serving
+from parcelweave.plans.catalog import CTES, _FOUND, _discovered, _landed_contacts, register, tables_of
+from parcelweave.plans.discovery import parse_requests
 from parcelweave.plans.resolution import landed_details
 from parcelweave.session import workdir
-from parcelweave.sources import addresses, landed, registry, roads, tax_lots
+from parcelweave.sources import addresses, landed, registry, roads, tax_lots, vendor
 from parcelweave.sources.tables import Tables
 from parcelweave.streaming import jobs as streaming
 
@@ -260,14 +261,16 @@ def _property_answers(a):
             F.when(key % 5 == 0, F.concat(F.lit(" FULL "), "o_custkey", F.lit(" "))).alias("fullname"),
             F.when(key % 5 == 1, F.lit("")).otherwise("DOE").alias("lastname"),
             F.when(key % 5 == 1, F.lit("")).otherwise("JO").alias("firstname")).alias("owner1")).alias("owner"))
-    answer = F.when(key % 10 == 9, F.lit('{"property": []}')).otherwise(
+    answer = F.when(key % 10 == 9, F.lit('{"property": []}')).when(key % 30 == 8, "{bad").when(
+        key % 30 == 18, "<html>error</html>").when(key % 30 == 28, F.lit(None)).otherwise(
         F.to_json(F.struct(F.array(detail).alias("property"))))
     return o.select(F.concat(F.lit("p_"), key, F.lit("_1")).alias("parcel_id"), answer.alias("response"), key)
 
 
 _DETAILS = """
 , details AS (
-  SELECT 'p_' || o_orderkey || '_1' AS parcel_id, o_orderkey, o_orderkey % 10 <> 9 AS found,
+  SELECT 'p_' || o_orderkey || '_1' AS parcel_id, o_orderkey, o_orderkey % 10 NOT IN (8, 9) AS found,
+         CASE WHEN o_orderkey % 30 IN (8, 18) THEN 'malformed' WHEN o_orderkey % 10 IN (8, 9) THEN 'not_found' END AS failed,
          CASE WHEN o_orderkey % 5 = 0 THEN 'FULL ' || o_custkey WHEN o_orderkey % 5 = 1 THEN NULL ELSE 'JO DOE' END
            AS owner_name_raw,
          CASE o_orderkey % 9 WHEN 0 THEN 'Retail' WHEN 1 THEN 'Office' WHEN 2 THEN 'Industrial' WHEN 3 THEN 'Multifamily'
@@ -284,10 +287,26 @@ _DETAILS = """
 @register(CTES + _DETAILS + """
 SELECT d.parcel_id, d.owner_name_raw, d.property_type, d.lot_size_acres, d.building_sqft, d.last_sale_date,
        d.last_sale_price, CASE WHEN d.owner_name_raw IS NULL THEN 'no_owner' ELSE 'enriched' END AS outcome
-FROM details d JOIN parcels p USING (parcel_id) WHERE found AND p.owner_name_raw IS NULL""")
+FROM details d JOIN parcels p USING (parcel_id) WHERE found AND p.owner_name_raw IS NULL
+UNION ALL
+SELECT d.parcel_id, NULL, 'Unknown', NULL, NULL, NULL, NULL, failed
+FROM details d JOIN parcels p USING (parcel_id) WHERE NOT found AND p.owner_name_raw IS NULL""")
 def property_details(a):
     wanted = R.enrichment_candidates(a.tables()["parcels"], limit=None)
-    return landed_details(wanted, _property_answers(a)).filter("found").drop("found")
+    return landed_details(wanted, _property_answers(a)).drop("found")
+
+
+@register("""SELECT kind, outcome, count(*) AS n FROM (
+               SELECT 'property' AS kind, CASE WHEN o_orderkey % 30 IN (8, 18) THEN 'malformed'
+                        WHEN o_orderkey % 30 = 28 THEN 'empty' ELSE 'answered' END AS outcome FROM orders
+               UNION ALL SELECT 'profile', CASE WHEN c_custkey % 20 IN (2, 12) THEN 'malformed'
+                        WHEN c_custkey % 20 IN (4, 14) THEN 'empty' ELSE 'answered' END FROM customer WHERE c_custkey % 2 = 0
+               UNION ALL SELECT 'email', CASE WHEN c_custkey % 30 = 3 THEN 'malformed' ELSE 'answered' END
+                         FROM customer WHERE c_custkey % 3 = 0)
+             GROUP BY ALL""")
+def vendor_answer_metrics(a):
+    profile, email = _landed_contacts(a)
+    return vendor.answer_metrics(property=_property_answers(a), profile=profile, email=email)
 
 
 @register(CTES + _DETAILS + """
@@ -301,7 +320,7 @@ SELECT parcel_id, coalesce(p.owner_name_raw, CASE WHEN found THEN d.owner_name_r
        CASE WHEN p.owner_name_raw IS NULL AND found THEN d.last_sale_date ELSE p.last_sale_date END AS last_sale_date
 FROM parcels p LEFT JOIN details d USING (parcel_id)""")
 def owner_enrichment(a):
-    after = R.enrich_parcels(a.tables()["parcels"], _property_answers(a), as_of(), limit=None)
+    after = R.enrich_parcels(a.tables()["parcels"], _property_answers(a), as_of())
     return after.select("parcel_id", "owner_name_raw", "property_type", "lot_size_acres", "building_sqft",
                         "last_sale_date")
 
@@ -325,13 +344,15 @@ def stream_popularity(a):
     return streaming.read_popularity(a.spark, f"{root}/out")
 
 
-@register("""SELECT 'owner_profile' AS tool_name, entity_id, corridor, count(*) AS n FROM (
+@register("""SELECT 'investor_discovery' AS tool_name, entity_id, corridor, count(*) AS n FROM (
                SELECT entity_id, road || ', ' || road_state AS corridor FROM owner_ranks JOIN asked USING (request_id))
-             GROUP BY ALL""")
+             GROUP BY ALL
+             UNION ALL SELECT 'owner_profile', entity_id, NULL, 1 FROM entities""")
 def served_log(a):
-    """Owners served by discovery, appended to the query log and read back."""
-    tables = Tables(a.spark, _scratch(a, "log"))
-    tables.append_query_log("owner_profile", served_owners(_discovered(a)))
+    """Owners served by discovery and profiles served, appended to the query log and read back."""
+    tables, t = Tables(a.spark, _scratch(a, "log")), tables_of(a)
+    serving.log_discovery(tables, _discovered(a))
+    serving.log_profiles(tables, profiles.profiles(t["entities"], t, as_of()), as_of())
     return tables.read("query_log").groupBy("tool_name", "entity_id", "corridor").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -344,3 +365,64 @@ def stored_recompute(a):
         tables.overwrite(name, domain[name])
     R.recompute_portfolio(tables, "rebuild")
     return R.recompute_portfolio(tables, "merge")
+
+
+@register(CTES + _FOUND + """
+SELECT coalesce(c.entity_id, f.entity_id) AS entity_id, coalesce(f.name, c.name) AS name,
+       coalesce(f.confidence, c.confidence) AS confidence, coalesce(f.source, 'hunter') AS source
+FROM contacts c FULL OUTER JOIN found f ON c.entity_id = f.entity_id""")
+def contact_refresh(a):
+    """Every landed answer merged into the stored contacts, however many there are."""
+    tables, t = Tables(a.spark, _scratch(a, "contacts")), a.tables()
+    for name in ("entities", "contacts"):
+        tables.overwrite(name, t[name])
+    return R.refresh_contacts(tables, *_landed_contacts(a), as_of()).select("entity_id", "name", "confidence", "source")
+
+
+@register("SELECT road_name, state, count(*) AS n FROM (SELECT DISTINCT road_name, state, lat1, lon1, lat2, lon2 FROM roads) GROUP BY ALL")
+def load_roads(a):
+    """Roads loaded twice into a stored table; the second load adds nothing."""
+    tables = Tables(a.spark, _scratch(a, "roads"))
+    rows = a.tables()["roads"].withColumn("road_key", F.sha2(F.to_json(F.struct("road_name", "state", "geom")), 256))
+    for _ in range(2):
+        R.load_roads(tables, rows, as_of())
+    return tables.read("roads").groupBy("road_name", "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(CTES + _LOTS + """
+SELECT parcel_id, owner_name_raw, lot_size_acres, property_type FROM parcels
+UNION ALL SELECT parcel_id, owner_name_raw, lot_size_acres, property_type FROM lots WHERE reject_reason IS NULL""")
+def load_tax_lots(a):
+    """Tax lots merged into stored parcels, twice with the same outcome."""
+    tables = Tables(a.spark, _scratch(a, "lots"))
+    tables.overwrite("parcels", a.tables()["parcels"])
+    lots = tax_lots.parse_tax_lots(_raw_lots(a).select(
+        "*", F.lit("f").alias("_file"), F.lit(0).alias("_block"), F.lit(0).alias("_row")))
+    for _ in range(2):
+        after = R.load_tax_lots(tables, lots, as_of())
+    return after.select("parcel_id", "owner_name_raw", "lot_size_acres", "property_type")
+
+
+@register("""SELECT parcel_id, state FROM parcels WHERE state IN ('NJ', 'PA')""")
+def states_selected(a):
+    """Stored parcels of some states; the folders of the others are not read."""
+    tables = Tables(a.spark, _scratch(a, "states"))
+    tables.overwrite("parcels", a.tables()["parcels"])
+    return tables.read("parcels", ["nj", "pa"]).select("parcel_id", "state")
+
+
+@register(CTES + _LOTS + """
+SELECT 'before' AS outcome, (SELECT count(*) FROM parcels) AS n
+UNION ALL SELECT 'after', (SELECT count(*) FROM parcels) + (SELECT count(*) FROM lots WHERE reject_reason IS NULL)
+UNION ALL SELECT 'added', (SELECT count(*) FROM lots WHERE reject_reason IS NULL)
+UNION ALL SELECT 'rejected ' || reject_reason, count(*) FROM lots WHERE reject_reason IS NOT NULL GROUP BY 1""")
+def job_metrics(a):
+    """What a tax-lot load did: rows before and after, rows added, rows rejected by reason."""
+    tables = Tables(a.spark, _scratch(a, "metrics"))
+    before = tables.overwrite("parcels", a.tables()["parcels"])
+    lots = tax_lots.parse_tax_lots(_raw_lots(a).select(
+        "*", F.lit("f").alias("_file"), F.lit(0).alias("_block"), F.lit(0).alias("_row")))
+    after = R.load_tax_lots(tables, lots, as_of())
+    rejected = landed.ingest_metrics(landed.rejected(lots)).select(
+        F.concat(F.lit("rejected "), "outcome").alias("outcome"), "n")
+    return landed.change_metrics(before, after, "parcel_id").unionByName(rejected)

@@ -12,6 +12,7 @@ from parcelweave.operators.token_set_join import best_token_set_match
 from parcelweave.sources import vendor
 from parcelweave.sources.landed import POSITION, accepted
 from parcelweave.sources.tables import Tables
+from parcelweave.sources.tax_lots import commercial_lots
 
 # Alias sources of the two matching methods.
 ALIAS_SOURCES = {"trigram": "trgm", "token_set": "fuzzball"}
@@ -36,7 +37,8 @@ def resolve_names(
     else:
         raise ValueError(f"unknown matching method: {method}")
     found = M.new_aliases(matches, ALIAS_SOURCES[method])
-    return U.append_new(aliases, found, ["entity_id", "alias_name"], {"alias_name": F.upper})
+    fold = {"alias_name": F.upper} if method == "trigram" else {}
+    return U.append_new(aliases, found, ["entity_id", "alias_name"], fold)
 
 
 def recompute_edges(
@@ -61,21 +63,26 @@ def enrichment_candidates(
 
 
 def landed_details(candidates: DataFrame, answers: DataFrame) -> DataFrame:
-    """Flat vendor details of the candidates, one row per parcel, with `outcome` enriched, no_owner or not_found."""
+    """Flat vendor details of the candidates, one row per parcel.
+
+    `outcome` is enriched, no_owner, not_found or malformed; of several answers one with a property is taken.
+    """
     details = vendor.flatten_property_detail(answers.join(candidates, "parcel_id", "left_semi"))
     details = U.pick_first(
         details, ["parcel_id"], [F.col(c).desc_nulls_last() for c in details.columns if c != "parcel_id"])
-    outcome = F.when(~F.col("found"), "not_found").when(F.col("owner_name_raw").isNull(), "no_owner").otherwise(
+    outcome = F.when(F.col("state") == "malformed", "malformed").when(~F.col("found"), "not_found").when(F.col("owner_name_raw").isNull(), "no_owner").otherwise(
         "enriched")
-    return details.withColumn("outcome", outcome)
+    return details.withColumn("outcome", outcome).drop("state")
 
 
 def enrich_parcels(
     parcels: DataFrame, answers: DataFrame, as_of: Column, states: list[str] | None = None,
-    limit: int | None = ENRICHMENT_LIMIT,
 ) -> DataFrame:
-    """Parcels after taking owner, type, size and sale from the landed answers of the candidates."""
-    details = landed_details(enrichment_candidates(parcels, states, limit), answers).filter("found")
+    """Parcels after taking owner, type, size and sale from every landed answer for a parcel without owner.
+
+    The limit of `enrichment_candidates` chooses what to buy; what has been bought is merged whole.
+    """
+    details = landed_details(enrichment_candidates(parcels, states, None), answers).filter("found")
     return U.upsert_parcels(parcels, details.drop("found", "outcome"), "enrich_update", as_of)
 
 
@@ -117,16 +124,26 @@ def recompute_portfolio(tables: Tables, mode: str = "merge") -> DataFrame:
 
 def refresh_contacts(
     tables: Tables, profile_answers: DataFrame, email_answers: DataFrame, as_of: Column,
-    limit: int = C.PREWARM_LIMIT,
 ) -> DataFrame:
-    candidates = C.prewarm_candidates(
-        tables.read("query_log"), tables.read("entities"), tables.read("contacts"), as_of, limit)
-    found = find_contacts(candidates, profile_answers, email_answers)
+    """Merge every landed answer of a known entity; `contacts.prewarm_candidates` chooses whom to ask for."""
+    found = find_contacts(tables.read("entities"), profile_answers, email_answers)
     return tables.overwrite("contacts", U.upsert_contacts(tables.read("contacts"), found, as_of))
 
 
+def load_roads(tables: Tables, rows: DataFrame, as_of: Column) -> DataFrame:
+    """Append the roads that are not in the table yet, by name, state and line."""
+    fresh = U.append_new(tables.read("roads"), rows.withColumn("ingested_at", as_of.cast("timestamp")), ["road_key"])
+    tables.append("roads", fresh)
+    return tables.read("roads")
+
+
+def load_tax_lots(tables: Tables, lots: DataFrame, as_of: Column) -> DataFrame:
+    """Commercial lots fill owner, size and type of known parcels and add new ones."""
+    staging = commercial_lots(lots)
+    return tables.overwrite("parcels", U.upsert_parcels(tables.read("parcels"), staging, "enrich", as_of))
+
+
 def enrich_owners(
     tables: Tables, answers: DataFrame, as_of: Column, states: list[str] | None = None,
-    limit: int | None = ENRICHMENT_LIMIT,
 ) -> DataFrame:
-    return tables.overwrite("parcels", enrich_parcels(tables.read("parcels"), answers, as_of, states, limit))
+    return tables.overwrite("parcels", enrich_parcels(tables.read("parcels"), answers, as_of, states))

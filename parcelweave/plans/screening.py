@@ -49,11 +49,11 @@ def compare_corridors(results: DataFrame) -> DataFrame:
 
 
 def find_entities(
-    requests: DataFrame, entities: DataFrame, threshold: float = 0.3, top: int = 10,
+    requests: DataFrame, entities: DataFrame, threshold: float = 0.3, top: int | None = None,
 ) -> DataFrame:
     """Entities by name within a state: requests(request_id, name, state), '' for every state.
 
-    A name matches by its words or by trigram similarity; the most similar come first.
+    A name matches by its words or by trigram similarity; the most similar come first, all of them unless `top`.
     """
     asked = requests.select("name").distinct()
     names = entities.select("canonical_name").distinct()
@@ -68,9 +68,10 @@ def find_entities(
         F.explode(F.array(F.coalesce(F.regexp_replace(F.upper("jurisdiction"), "^US-", ""), F.lit("?")), F.lit("")))
         .alias("state"))
     w = Window.partitionBy("request_id").orderBy(F.col("sim").desc(), "entity_id")
-    return (
+    ranked = (
         requests.select("request_id", "name", F.upper("state").alias("state")).join(pairs, "name")
         .join(located, ["canonical_name", "state"])
-        .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+        .withColumn("rank", F.row_number().over(w))
         .select("request_id", "rank", "entity_id", "canonical_name", "sim")
     )
+    return ranked.filter(F.col("rank") <= top) if top is not None else ranked

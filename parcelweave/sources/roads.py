@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelweave.sources.landed import state_file_filter
+
 EXTRACT = (
     "elements array<struct<type: string, id: bigint, tags: map<string, string>, "
     "geometry: array<struct<lat: double, lon: double>>>>"
@@ -31,11 +33,16 @@ def parse_ways(extracts: DataFrame, state) -> DataFrame:
     ).dropDuplicates(["road_key"])
 
 
-def read_roads(spark: SparkSession, path: str, state: str | None = None) -> DataFrame:
-    """Roads of the extract files in `path`. Without `state`, it is the file name up to the first '_' or '.'.
+def read_roads(
+    spark: SparkSession, path: str, state: str | None = None, states: list[str] | None = None,
+) -> DataFrame:
+    """Roads of the extract files in `path`, or of the files of some `states` by the beginning of their names.
+
+    Without `state`, a road's state is the file name up to the first '_' or '.'.
 
     One extract document is one JSON value and so one task; land one file per state or smaller area.
     """
-    docs = spark.read.schema(EXTRACT).option("multiLine", True).json(path)
+    docs = spark.read.schema(EXTRACT).option("multiLine", True).option(
+        "pathGlobFilter", state_file_filter("", states)).json(path)
     from_name = F.regexp_extract(F.col("_metadata.file_name"), r"^([^_.]+)", 1)
     return parse_ways(docs, F.lit(state) if state else from_name)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelweave.functions import normalize as N
@@ -22,12 +24,30 @@ EMAIL_SEARCH = (
 )
 
 
+def answer_state() -> Column:
+    """'empty', 'malformed' (text that is no JSON, such as an error page) or 'answered' for the column `response`."""
+    blank = F.coalesce(N.trim_space(F.col("response")), F.lit("")) == ""
+    return F.when(blank, "empty").when(F.get_json_object("response", "$").isNull(), "malformed").otherwise("answered")
+
+
+def answer_metrics(**answers: DataFrame) -> DataFrame:
+    """(kind, outcome, n): how many answers of each kind are empty, malformed or answered."""
+    counted = [df.groupBy(answer_state().alias("outcome")).agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(kind).alias("kind"), "outcome", "n") for kind, df in answers.items()]
+    return reduce(DataFrame.unionByName, counted)
+
+
+def _read(schema: str) -> Column:
+    """The parsed answer; malformed and empty ones are null."""
+    return F.when(answer_state() == "answered", F.from_json("response", schema))
+
+
 def flatten_property_detail(answers: DataFrame) -> DataFrame:
-    """(parcel_id, response) → enrichment attributes; `found` is false where the answer has no property."""
-    p = F.get(F.from_json("response", PROPERTY_DETAIL)["property"], F.lit(0))
+    """(parcel_id, response) → enrichment attributes and the answer's `state`; `found` is false without a property."""
+    p = F.get(_read(PROPERTY_DETAIL)["property"], F.lit(0))
     owner = p["owner"]["owner1"]
     return answers.select(
-        "parcel_id", p.isNotNull().alias("found"),
+        "parcel_id", p.isNotNull().alias("found"), answer_state().alias("state"),
         N.vendor_owner_name(owner["fullname"], owner["firstname"], owner["lastname"]).alias("owner_name_raw"),
         N.vendor_property_type(p["summary"]["proptype"], p["summary"]["propSubType"]).alias("property_type"),
         N.vendor_lot_acres(p["lot"]["lotsize1"], p["lot"]["lotsize2"]).alias("lot_size_acres"),
@@ -39,7 +59,7 @@ def flatten_property_detail(answers: DataFrame) -> DataFrame:
 
 def flatten_company_profiles(answers: DataFrame) -> DataFrame:
     """(entity_id, response) → person and company name; one row per entity."""
-    r = F.from_json("response", COMPANY_PROFILE)
+    r = _read(COMPANY_PROFILE)
     person = F.get(r["people_also_viewed"], F.lit(0))
     rows = answers.select("entity_id", r.alias("r"), person.alias("p")).filter("r is not null").select(
         "entity_id", F.col("p.name").alias("person_name"), F.col("p.title").alias("person_title"),
@@ -49,7 +69,7 @@ def flatten_company_profiles(answers: DataFrame) -> DataFrame:
 
 def flatten_email_searches(answers: DataFrame) -> DataFrame:
     """(entity_id, response) → first e-mail found; entities without one have no row."""
-    top = F.get(F.from_json("response", EMAIL_SEARCH)["data"]["emails"], F.lit(0))
+    top = F.get(_read(EMAIL_SEARCH)["data"]["emails"], F.lit(0))
     rows = answers.select("entity_id", top.alias("m")).filter("m is not null").select(
         "entity_id", "m.first_name", "m.last_name", "m.position", F.col("m.value").alias("email"),
         F.col("m.confidence").alias("email_confidence"))

@@ -9,10 +9,9 @@ from pyspark.sql.streaming import StreamingQuery
 from parcelweave.operators.upsert import last_by_position, upsert_parcels
 from parcelweave.sources.addresses import SUFFIX, parse_addresses
 from parcelweave.sources.landed import POSITION, accepted, state_file_filter
+from parcelweave.session import materialize
 from parcelweave.sources.tables import Tables
 
-LATENESS = "1 day"
-
 
 def refresh_addresses(
     tables: Tables, path: str, checkpoint: str, as_of: Column, states: list[str] | None = None,
@@ -20,8 +19,8 @@ def refresh_addresses(
 ) -> StreamingQuery:
     """Merge address files that came in since the last run into the parcels, then stop.
 
-    Every batch writes a new table version from the current one. Merging the same batch again after a failure gives
-    the same rows, so a replayed batch does no harm.
+    A batch rewrites only the states it touches: those of its rows and those its parcels were in before. Merging the
+    same batch again after a failure gives the same rows, so a replayed batch does no harm.
     """
     spark = tables.spark
     lines = spark.readStream.option("pathGlobFilter", state_file_filter(suffix, states)).text(path)
@@ -31,8 +30,15 @@ def refresh_addresses(
         rows = parse_addresses(batch.select(
             "value", F.col("file_path").alias("_file"), F.col("file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_row")))
-        staging = last_by_position(accepted(rows), "parcel_id", POSITION)
-        tables.overwrite("parcels", upsert_parcels(tables.read("parcels"), staging, policy, as_of))
+        staging = materialize(last_by_position(accepted(rows), "parcel_id", POSITION), "refresh-batch")
+        parcels = tables.read("parcels")
+        before = parcels.join(staging.select("parcel_id"), "parcel_id", "left_semi")
+        touched = [r["state"] for r in staging.select("state").union(before.select("state")).distinct().collect()]
+        if None in touched:  # rows without a state have no folder of their own name
+            tables.overwrite("parcels", upsert_parcels(parcels, staging, policy, as_of))
+        elif touched:
+            merged = upsert_parcels(parcels.filter(F.col("state").isin(touched)), staging, policy, as_of)
+            tables.replace_states("parcels", merged, touched)
 
     return (
         files.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
@@ -41,26 +47,24 @@ def refresh_addresses(
 
 
 def daily_popularity(log: DataFrame) -> DataFrame:
-    """Queries per entity and day of a log stream; rows more than a day behind the newest are dropped."""
-    return (
-        log.filter(F.col("entity_id").isNotNull()).withWatermark("queried_at", LATENESS)
-        .groupBy(F.window("queried_at", "1 day"), "entity_id").agg(F.count(F.lit(1)).alias("n_queries"))
-        .select(F.col("window.start").cast("date").alias("day"), "entity_id", "n_queries")
-    )
+    """Queries per entity and day."""
+    return log.filter(F.col("entity_id").isNotNull()).groupBy(
+        F.to_date("queried_at").alias("day"), "entity_id").agg(F.count(F.lit(1)).alias("n_queries"))
 
 
 def keep_popularity(log: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Keep the daily counts of a log stream as a table: each batch adds the counts as they stand, by batch number."""
+    """Keep the daily counts of a log stream as a table of increments, one folder per batch number.
+
+    There is no watermark and no state: a row counts whenever it comes, and a replayed batch overwrites its own folder.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id:09d}")
+        daily_popularity(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id:09d}")
 
     return (
-        daily_popularity(log).writeStream.outputMode("update").foreachBatch(write)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
 def read_popularity(spark: SparkSession, out: str) -> DataFrame:
-    """The newest count of each day and entity."""
-    rows = spark.read.parquet(out)
-    return rows.groupBy("day", "entity_id").agg(F.max_by("n_queries", "batch").alias("n_queries"))
+    """The count of each day and entity over all batches."""
+    return spark.read.parquet(out).groupBy("day", "entity_id").agg(F.sum("n_queries").alias("n_queries"))

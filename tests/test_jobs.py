@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelweave.operators import upsert
-from parcelweave.plans import address_match, discovery, profiles, resolution, screening
+from parcelweave.plans import address_match, discovery, profiles, resolution, screening, serving
 from parcelweave.schemas import TABLES
 from parcelweave.sources import addresses, landed, registry, roads, tax_lots
 from parcelweave.sources.tables import Tables
@@ -64,7 +64,7 @@ def test_stream_refresh_equals_batch_and_repeats_safely(spark, landed_addresses,
     columns = ["parcel_id", "address", "city", "state", "zip", "property_type"]
     rows = [sorted(map(tuple, t.read("parcels").select(columns).collect())) for t in (stored, batch)]
     assert rows[0] == rows[1] and len(rows[0]) == 6
-    assert stored.current_path("parcels").endswith("v000000001")
+    assert stored.current_path("parcels").endswith("v000000001")  # the second run found no new file
 
 
 def test_read_roads(spark, tmp_path):
@@ -173,16 +173,89 @@ def test_route_prefixes(spark, strict, expected):
 
 def test_profiles(spark, small_world):
     ids = spark.createDataFrame([("smith",), ("nobody",)], "entity_id string")
-    rows = {r.entity_id: r for r in profiles.profiles(ids, small_world, as_of(), include_all=True).collect()}
+    rows = {r.entity_id: r for r in profiles.profiles(ids, small_world, as_of()).collect()}
     known, unknown = rows["smith"], rows["nobody"]
-    assert [p.parcel_id for p in known.properties] == ["NJ_MIDDLESEX_0024_00001", "far"]
-    assert known.registered_agent.name == "CT" and known.beneficial_owners[0].name == "John Smith"
+    assert sorted(r.parcel_id for r in profiles.profile_properties(ids, small_world).collect()) == [
+        "NJ_MIDDLESEX_0024_00001", "far"]
+    assert known.registered_agent.name == "CT" and known.n_beneficial_owners == 1
+    assert [r.name for r in profiles.profile_owners(ids, small_world).collect()] == ["John Smith"]
     assert (unknown.canonical_name, unknown.contact_status, unknown.source, unknown.confidence) == (
         "Unknown Entity", "not_available", "not_found", 0.0)
-    # A list over the nesting limit is left to the flat table, which holds every row.
-    capped = profiles.profiles(ids, small_world, as_of(), include_all=True, max_nested=1).filter("found").first()
-    assert capped.properties is None and not capped.properties_nested
-    assert profiles.profile_properties(ids, small_world).count() == 2
+    assert known.portfolio_summary.property_count == 2
+
+
+def test_serving_writes_the_log(spark, small_world, tmp_path):
+    tables = Tables(spark, str(tmp_path / "served"))
+    for name, rows in small_world.items():
+        tables.overwrite(name, rows)
+    asked = spark.createDataFrame([("a", "Highway 9, New Jersey", "retail", 0.0, None, 10)],
+                                  "request_id string, corridor string, property_type string, lot_size_min_acres double, "
+                                  "lot_size_max_acres double, max_results int")
+    serving.serve_discovery(tables, asked, as_of())
+    serving.serve_profiles(tables, spark.createDataFrame([("smith",), ("nobody",)], "entity_id string"), as_of())
+    log = sorted((r.tool_name, r.entity_id) for r in tables.read("query_log").collect())
+    assert log == [("investor_discovery", "smith"), ("owner_profile", "smith")]
+
+
+def test_refresh_rewrites_only_the_states_it_touches(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path / "t"))
+    old = spark.createDataFrame(
+        [("p1", "NJ"), ("p2", "NY"), ("moved", "PA"), ("stays", "CT")], "parcel_id string, state string").withColumns({
+            "address": F.lit("1 A"), "city": F.lit("X"), "zip": F.lit("1"), "property_type": F.lit("Retail")})
+    tables.overwrite("parcels", old)
+
+    def files():
+        return {str(f.relative_to(tmp_path)) for f in (tmp_path / "t" / "parcels").rglob("*.parquet")}
+
+    before = files()
+    landed_at = tmp_path / "landed"
+    landed_at.mkdir()
+    (landed_at / "nj.geojsonseq").write_text("\n".join([feature(), feature(properties={"id": "moved"})]))
+    streaming.refresh_addresses(tables, str(landed_at), str(tmp_path / "c"), as_of()).awaitTermination()
+    after = files()
+    kept = {f for f in before if "state=NY" in f or "state=CT" in f}
+    assert kept and kept <= after and not any("state=PA" in f for f in after)
+    assert sorted((r.parcel_id, r.state) for r in tables.read("parcels").collect()) == [
+        ("moved", "NJ"), ("p1", "NJ"), ("p2", "NY"), ("stays", "CT")]
+
+
+def test_appends_add_files_and_prune_drops_versions(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path / "t"))
+    alias = lambda n: spark.createDataFrame([(f"e{n}", "A", 0.9, "trgm")], TABLES["entity_aliases"])
+    for n in range(3):
+        tables.append("entity_aliases", alias(n))
+    folders = sorted(f.name for f in (tmp_path / "t" / "entity_aliases").iterdir())
+    assert folders == ["v000000001", "v000000001-000001", "v000000001-000002"]
+    assert tables.read("entity_aliases").count() == 3
+    tables.compact("entity_aliases")
+    tables.prune("entity_aliases")
+    assert [f.name for f in (tmp_path / "t" / "entity_aliases").iterdir()] == ["v000000002"]
+    assert tables.read("entity_aliases").count() == 3
+
+
+def test_late_log_files_count(spark, tmp_path):
+    for day in (20, 21, 5):
+        rows = spark.sql(f"SELECT 'e' AS entity_id, TIMESTAMP'2024-01-{day:02d} 10:00:00' AS queried_at")
+        rows.write.mode("append").parquet(str(tmp_path / "log"))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "log"))
+        streaming.keep_popularity(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    got = {r.day.day: r.n_queries for r in streaming.read_popularity(spark, str(tmp_path / "out")).collect()}
+    assert got == {5: 1, 20: 1, 21: 1}
+
+
+def test_every_landed_answer_is_merged(spark, small_world):
+    parcels = small_world["parcels"].limit(1).drop("owner_name_raw", "parcel_id").crossJoin(
+        spark.range(700).selectExpr("concat('p', id) AS parcel_id")).withColumn("owner_name_raw", F.lit(None).cast("string"))
+    answers = parcels.select("parcel_id", F.lit(
+        '{"property": [{"owner": {"owner1": {"fullname": "DOE"}}}]}').alias("response"))
+    after = resolution.enrich_parcels(parcels.select(*small_world["parcels"].columns), answers, as_of())
+    assert after.filter("owner_name_raw = 'DOE'").count() == 700
+
+
+def test_repeated_staged_rows_give_one_parcel(spark, small_world):
+    parcels = small_world["parcels"]
+    twice = parcels.limit(1).union(parcels.limit(1)).withColumn("address", F.lit("2 B"))
+    assert upsert.upsert_parcels(parcels, twice, "address", as_of()).count() == 2
 
 
 def test_address_match(spark, small_world):

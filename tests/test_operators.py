@@ -11,6 +11,7 @@ from parcelweave.operators import checks, contacts, matching, ownership, spatial
 from parcelweave.operators.set_join import similarity_pairs
 from parcelweave.operators.skew import salted_join
 from parcelweave.operators.token_set_join import token_set_pairs
+from parcelweave.sources import vendor
 
 WORDS = "smith holdings llc capital trust main street group inc partners abel bell of a".split()
 FORCED = {"small_bytes": 0, "hot_rows": 10, "salts": 4}
@@ -174,6 +175,26 @@ def test_ownership_chain_stops_at_cycles(spark):
     assert sorted((r.depth, r.owner_name) for r in rows) == [(1, "A"), (2, "B"), (2, "B2"), (3, "C")]
 
 
+def test_ownership_chain_has_no_depth_limit(spark):
+    links = spark.createDataFrame([(f"e{i}", f"O{i}", f"e{i + 1}") for i in range(40)],
+                                  "entity_id string, owner_name string, parent_entity_id string")
+    assert ownership.ownership_chain(links).filter("entity_id = 'e0'").count() == 40
+    cut = ownership.ownership_chain(links, max_depth=3).filter("entity_id = 'e0' OR entity_id = 'e38'").collect()
+    assert sorted((r.entity_id, r.depth, r.truncated) for r in cut) == [
+        ("e0", 1, False), ("e0", 2, False), ("e0", 3, True), ("e38", 1, False), ("e38", 2, False)]
+
+
+def test_malformed_answers_give_no_contact(spark):
+    answers = spark.createDataFrame(
+        [("a", "{bad"), ("b", "<html>x</html>"), ("c", None), ("d", " "), ("e", '{"name": "N"}'), ("f", "{}")],
+        "entity_id string, response string")
+    got = vendor.flatten_company_profiles(answers).collect()
+    assert sorted(r.entity_id for r in got) == ["e", "f"]
+    assert vendor.flatten_email_searches(answers).count() == 0
+    counts = {r.outcome: r.n for r in vendor.answer_metrics(profile=answers).collect()}
+    assert counts == {"malformed": 2, "empty": 2, "answered": 2}
+
+
 def test_table_checks_find_faults(spark):
     entities = spark.createDataFrame([("e", "A", "LLC", "active"), ("e", None, "Club", "active")],
                                      "entity_id string, canonical_name string, entity_type string, status string")
