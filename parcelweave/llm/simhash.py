@@ -86,14 +86,18 @@ def linked_fingerprints(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFr
 
 
 def _classes(prints: DataFrame, max_bits: int) -> DataFrame:
-    """(_fp, root, component_id) for each distinct fingerprint of (_id, _fp); `root` names the component uniquely."""
+    """(_fp, root, component_id) for each distinct fingerprint of (_id, _fp); `root` names the component uniquely.
+
+    A written table: a join with it then shuffles both sides, so that a fingerprint of very many copies can be split.
+    """
     nodes = materialize(prints.groupBy("_fp").agg(F.min("_id").alias("_least")), "fingerprint-nodes")
     roots = materialize(components(linked_fingerprints(nodes, max_bits), "fingerprint-links"), "fingerprint-roots")
     linked = nodes.join(roots, nodes["_fp"] == roots["node"])
     named = linked.groupBy("root").agg(F.min("_least").alias("component_id"))
-    return nodes.join(linked.select("_fp", "root").join(named, "root"), "_fp", "left").select(
+    classes = nodes.join(linked.select("_fp", "root").join(named, "root"), "_fp", "left").select(
         "_fp", F.coalesce("root", "_fp").alias("root"),
         F.when(F.col("root").isNull(), F.col("_least")).otherwise(F.col("component_id")).alias("component_id"))
+    return materialize(classes, "fingerprint-classes")
 
 
 def near_duplicates(

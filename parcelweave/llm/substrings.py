@@ -7,7 +7,8 @@ the corpus has no repeated window: its text stays where it is. In the bucket, wi
 neighbours are settled on their bytes.
 
 A minimiser of more than `HOT_SPANS` occurrences (a passage or group of copies that may hold a third of all rows) is no
-bucket of its own: its windows are counted one by one, as 128-bit digests, with partial sums before the shuffle.
+bucket of its own: its packed strings are counted as a whole first, and windows of the distinct ones by their digests,
+with partial sums before each shuffle.
 """
 
 from __future__ import annotations
@@ -78,13 +79,13 @@ def _minimisers(docs: DataFrame, window: int, mer: int) -> DataFrame:
 
 
 def _pack(met: DataFrame, window: int) -> DataFrame:
-    """(bucket, packed, _id, _tag, word) for the super-k-mers listed in `cold`."""
+    """(bucket, packed, _id, _tag, word, n) for the super-k-mers listed in `spans`."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in chunks(batch, "_text"):
                 words = split_words(texts_of(rows, "_text"))
-                lists = rows.column("cold")
+                lists = rows.column("spans")
                 sizes = _lengths(lists)
                 text = np.repeat(np.arange(len(sizes)), sizes)
                 flat = lists.flatten()
@@ -97,35 +98,54 @@ def _pack(met: DataFrame, window: int) -> DataFrame:
                 of = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
                     [flat.field(0), pa.array(packed, pa.binary()), rows.column("_id").take(of),
-                     rows.column("_tag").take(of), pa.array(at // 64)],
-                    names=["bucket", "packed", "_id", "_tag", "word"])
+                     rows.column("_tag").take(of), pa.array(at // 64), pa.array(at % 64)],
+                    names=["bucket", "packed", "_id", "_tag", "word", "n"])
 
-    return met.mapInArrow(pack, f"bucket bigint, packed binary, {schema_of(met.select('_id', '_tag'))}, word bigint")
+    own = schema_of(met.select("_id", "_tag"))
+    return met.mapInArrow(pack, f"bucket bigint, packed binary, {own}, word bigint, n bigint")
 
 
-def _digests(met: DataFrame, window: int) -> DataFrame:
-    """(digest, _id, _tag, word) for each window of the super-k-mers listed in `hot`."""
+def _digests(strings: DataFrame, window: int) -> DataFrame:
+    """(digest, times, _id, _tag, word) for each window of distinct packed strings."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in chunks(batch, "_text"):
-                words = split_words(texts_of(rows, "_text"))
-                lists = rows.column("hot")
-                sizes = _lengths(lists)
-                at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                n = at % 64
-                text = np.repeat(np.repeat(np.arange(len(sizes)), sizes), n)
-                word = np.repeat(at // 64 - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                first = words.first[text] + word
+            for rows in chunks(batch, "packed"):
+                words = split_words(texts_of(rows, "packed"))
+                n = np.diff(words.first) - window + 1
+                text = np.repeat(np.arange(len(n)), n)
+                nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                first = words.first[text] + nth
                 data, make = words.data, xxhash.xxh3_128_digest
                 found = [make(data[a:b]) for a, b in zip(
                     words.starts[first].tolist(), words.ends[first + window - 1].tolist(), strict=True)]
-                of = pa.array(text)
+                of = rows.select(["times", "_id", "_tag"]).take(pa.array(text))
+                word = rows.column("word").to_numpy()[text] + nth
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found, pa.binary()), rows.column("_id").take(of), rows.column("_tag").take(of),
-                     pa.array(word)], names=["digest", "_id", "_tag", "word"])
+                    [pa.array(found, pa.binary()), *of.columns, pa.array(word)],
+                    names=["digest", "times", "_id", "_tag", "word"])
+
+    return strings.mapInArrow(digest, f"digest binary, {schema_of(strings.select('times', '_id', '_tag'))}, word bigint")
 
-    return met.mapInArrow(digest, f"digest binary, {schema_of(met.select('_id', '_tag'))}, word bigint")
+
+def _crowded(packed: DataFrame, window: int) -> DataFrame:
+    """(_id, _tag, low, high) for packed strings whose minimisers are too frequent for a bucket.
+
+    Equal strings are counted first, with partial sums: a string that occurs again is repeated as a whole. Windows are
+    compared between distinct strings only, as 128-bit digests. What is joined back is a written table, so that the join
+    has a shuffle on both sides and a crowded digest can be split between tasks.
+    """
+    name = F.unhex(F.md5("packed")).alias("name")
+    strings = materialize(packed.groupBy("packed").agg(
+        F.count("*").alias("times"), F.min("_id").alias("_id"), F.min("_tag").alias("_tag"), F.min("word").alias("word")),
+        "crowded-strings")
+    whole = packed.select(name, "_id", "_tag", F.col("word").alias("low"), (F.col("word") + F.col("n") + window - 1).alias("high"))
+    whole = whole.join(strings.where("times > 1").select(name), "name", "left_semi").drop("name")
+    windows = _digests(strings, window)
+    again = materialize(windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "crowded-windows")
+    single = windows.where("times = 1").join(again, "digest", "left_semi").select(
+        "_id", "_tag", F.col("word").alias("low"), (F.col("word") + window).alias("high"))
+    return whole.union(single)
 
 
 def _lengths(lists: pa.ListArray) -> np.ndarray:
@@ -248,10 +268,11 @@ def remove_repeats(
     slim = docs.select(F.col(doc_id).alias("_id"), F.hash(text).alias("_tag"), F.col(text).alias("_text"),
                        carried(docs, doc_id, text))
     spans = _minimisers(slim, window, mer)
-    buckets = spans.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = materialize(spans.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "minimisers")
+    span = F.struct("bucket", "at")
     live = materialize(spans.join(buckets, "bucket").groupBy("_id", "_tag").agg(
-        F.collect_set(F.when(F.col("n") <= hot_spans, F.struct("bucket", "at"))).alias("cold"),
-        F.collect_set(F.when(F.col("n") > hot_spans, F.col("at"))).alias("hot")), "minimisers")
+        F.collect_set(F.when(F.col("n") <= hot_spans, span)).alias("cold"),
+        F.collect_set(F.when(F.col("n") > hot_spans, span)).alias("hot")), "live-minimisers")
 
     def with_docs(found: DataFrame, how: str) -> DataFrame:
         """Joins on id and text hash, a null id being an id; the shuffled documents are the same in each join."""
@@ -259,12 +280,11 @@ def remove_repeats(
         on = slim["_id"].eqNullSafe(found["_id2"]) & (slim["_tag"] == found["_tag2"])
         return slim.join(found, on, how).drop("_id2", "_tag2")
 
-    packed = _pack(with_docs(live.where("size(cold) > 0").select("_id", "_tag", "cold"), "inner"), window)
-    cold = _counted(packed.repartition("bucket").sortWithinPartitions("bucket"), window)
-    windows = _digests(with_docs(live.where("size(hot) > 0").select("_id", "_tag", "hot"), "inner"), window)
-    again = windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    hot = windows.join(again, "digest", "left_semi").select(
-        "_id", "_tag", F.col("word").alias("low"), (F.col("word") + window).alias("high"))
+    def packed(kind: str) -> DataFrame:
+        return _pack(with_docs(live.where(F.size(kind) > 0).select("_id", "_tag", F.col(kind).alias("spans")), "inner"), window)
+
+    cold = _counted(packed("cold").drop("n").repartition("bucket").sortWithinPartitions("bucket"), window)
+    hot = _crowded(packed("hot").drop("bucket"), window)
     ranges = cold.union(hot).groupBy("_id", "_tag").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
     none = F.array().cast("array<struct<low:bigint,high:bigint>>")
     met = with_docs(ranges, "left").withColumn("ranges", F.coalesce("ranges", none))
