@@ -1,14 +1,14 @@
 """Exact removal of repeated word windows by super-k-mers.
 
 Every window of `window` words has a minimiser: the least hash among its runs of `MER_WORDS` words. Consecutive windows
-that share one minimiser occurrence travel to the bucket of its hash as one packed string. Equal windows have equal
+that share one minimiser occurrence are one packed string, whose bucket is that hash. Equal windows have equal
 minimisers, so they meet in one bucket, and no occurrence covers two equal windows, so a minimiser that occurs once in
-the corpus has no repeated window: its text stays where it is. In the bucket, windows are sorted by hash and equal
-neighbours are settled on their bytes.
+the corpus has no repeated window. Strings of one bucket with one 64-bit hash are equal: a string that occurs again is
+repeated as a whole, in however many copies. Of the different strings of a bucket one each travels there, where windows
+are sorted by hash and equal neighbours are settled on their bytes.
 
-A minimiser of more than `HOT_SPANS` occurrences (a passage or group of copies that may hold a third of all rows) is no
-bucket of its own: its packed strings are counted as a whole first, and windows of the distinct ones by their digests,
-with partial sums before each shuffle.
+A bucket of more than `HOT_SPANS` different strings (around a passage that a third of all rows may hold) is not sorted
+in one task: its windows are counted one by one, as 128-bit digests, with partial sums before the shuffle.
 """
 
 from __future__ import annotations
@@ -63,23 +63,30 @@ def _spans(words: Words, window: int, mer: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _minimisers(docs: DataFrame, window: int, mer: int) -> DataFrame:
-    """(bucket, _id, _tag, at): `at` is the first word of a super-k-mer times 64 plus its number of windows."""
+    """(bucket, name, _id, _tag, at): minimiser and hash of the packed string of each super-k-mer, whose first word times
+    64 plus its number of windows is `at`."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in chunks(batch, "_text"):
-                text, at, n, value = _spans(split_words(texts_of(rows, "_text")), window, mer)
+                words = split_words(texts_of(rows, "_text"))
+                text, at, n, value = _spans(words, window, mer)
+                first = words.first[text] + at
+                data, name = words.data, xxhash.xxh3_64_intdigest
+                names = np.fromiter((name(data[a:b]) for a, b in zip(
+                    words.starts[first].tolist(), words.ends[first + n + window - 2].tolist(), strict=True)),
+                    dtype=np.uint64, count=len(first))
                 of = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(value), rows.column("_id").take(of), rows.column("_tag").take(of), pa.array(at * 64 + n)],
-                    names=["bucket", "_id", "_tag", "at"])
+                    [pa.array(value), pa.array(names.view(np.int64)), rows.column("_id").take(of),
+                     rows.column("_tag").take(of), pa.array(at * 64 + n)], names=["bucket", "name", "_id", "_tag", "at"])
 
     kept = docs.select("_id", "_tag", "_text")
-    return kept.mapInArrow(find, f"bucket bigint, {schema_of(kept, ('_text',))}, at bigint")
+    return kept.mapInArrow(find, f"bucket bigint, name bigint, {schema_of(kept, ('_text',))}, at bigint")
 
 
 def _pack(met: DataFrame, window: int) -> DataFrame:
-    """(bucket, packed, _id, _tag, word, n) for the super-k-mers listed in `spans`."""
+    """(bucket, packed, times, _id, _tag, word) for the super-k-mers listed in `spans`."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,12 +104,12 @@ def _pack(met: DataFrame, window: int) -> DataFrame:
                     words.starts[first].tolist(), words.ends[last].tolist(), strict=True)]
                 of = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
-                    [flat.field(0), pa.array(packed, pa.binary()), rows.column("_id").take(of),
-                     rows.column("_tag").take(of), pa.array(at // 64), pa.array(at % 64)],
-                    names=["bucket", "packed", "_id", "_tag", "word", "n"])
+                    [flat.field(0), pa.array(packed, pa.binary()), flat.field(2), rows.column("_id").take(of),
+                     rows.column("_tag").take(of), pa.array(at // 64)],
+                    names=["bucket", "packed", "times", "_id", "_tag", "word"])
 
     own = schema_of(met.select("_id", "_tag"))
-    return met.mapInArrow(pack, f"bucket bigint, packed binary, {own}, word bigint, n bigint")
+    return met.mapInArrow(pack, f"bucket bigint, packed binary, times bigint, {own}, word bigint")
 
 
 def _digests(strings: DataFrame, window: int) -> DataFrame:
@@ -129,23 +136,15 @@ def _digests(strings: DataFrame, window: int) -> DataFrame:
 
 
 def _crowded(packed: DataFrame, window: int) -> DataFrame:
-    """(_id, _tag, low, high) for packed strings whose minimisers are too frequent for a bucket.
+    """(_id, _tag, low, high) for distinct packed strings whose minimisers have too many of them for a bucket.
 
-    Equal strings are counted first, with partial sums: a string that occurs again is repeated as a whole. Windows are
-    compared between distinct strings only, as 128-bit digests. What is joined back is a written table, so that the join
-    has a shuffle on both sides and a crowded digest can be split between tasks.
+    What is joined back is a written table, so that the join has a shuffle on both sides and a crowded digest can be
+    split between tasks.
     """
-    name = F.unhex(F.md5("packed")).alias("name")
-    strings = materialize(packed.groupBy("packed").agg(
-        F.count("*").alias("times"), F.min("_id").alias("_id"), F.min("_tag").alias("_tag"), F.min("word").alias("word")),
-        "crowded-strings")
-    whole = packed.select(name, "_id", "_tag", F.col("word").alias("low"), (F.col("word") + F.col("n") + window - 1).alias("high"))
-    whole = whole.join(strings.where("times > 1").select(name), "name", "left_semi").drop("name")
-    windows = _digests(strings, window)
+    windows = _digests(packed, window)
     again = materialize(windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "crowded-windows")
-    single = windows.where("times = 1").join(again, "digest", "left_semi").select(
+    return windows.where("times = 1").join(again, "digest", "left_semi").select(
         "_id", "_tag", F.col("word").alias("low"), (F.col("word") + window).alias("high"))
-    return whole.union(single)
 
 
 def _lengths(lists: pa.ListArray) -> np.ndarray:
@@ -194,6 +193,8 @@ def _counted(packed: DataFrame, window: int) -> DataFrame:
 
         def settle(rows: pa.Table) -> pa.RecordBatch:
             text, first, n = _repeated(rows.column("packed").to_pylist(), window)
+            single = rows.column("times").to_numpy()[text] == 1  # the others are repeated as a whole
+            text, first, n = text[single], first[single], n[single]
             of = pa.array(text)
             low = rows.column("word").to_numpy()[text] + first
             chosen = rows.select(["_id", "_tag"]).take(of)
@@ -268,11 +269,17 @@ def remove_repeats(
     slim = docs.select(F.col(doc_id).alias("_id"), F.hash(text).alias("_tag"), F.col(text).alias("_text"),
                        carried(docs, doc_id, text))
     spans = _minimisers(slim, window, mer)
-    buckets = materialize(spans.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "minimisers")
-    span = F.struct("bucket", "at")
-    live = materialize(spans.join(buckets, "bucket").groupBy("_id", "_tag").agg(
-        F.collect_set(F.when(F.col("n") <= hot_spans, span)).alias("cold"),
-        F.collect_set(F.when(F.col("n") > hot_spans, span)).alias("hot")), "live-minimisers")
+    buckets = materialize(spans.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "minimisers")
+    live = materialize(spans.join(buckets, "bucket"), "live-spans")
+    strings = materialize(live.groupBy("bucket", "name").agg(
+        F.count("*").alias("times"), F.min(F.struct("_id", "_tag", "at")).alias("one")), "span-strings")
+    whole = live.join(strings.where("times > 1").select("bucket", "name"), ["bucket", "name"], "left_semi").select(
+        "_id", "_tag", F.expr("at div 64").alias("low"), F.expr(f"at div 64 + at % 64 + {window - 1}").alias("high"))
+    mixed = materialize(strings.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "mixed-minimisers")
+    span = F.struct("bucket", "one.at", "times")
+    lists = materialize(strings.join(mixed, "bucket").groupBy("one._id", "one._tag").agg(
+        F.collect_list(F.when(F.col("n") <= hot_spans, span)).alias("cold"),
+        F.collect_list(F.when(F.col("n") > hot_spans, span)).alias("hot")), "span-lists")
 
     def with_docs(found: DataFrame, how: str) -> DataFrame:
         """Joins on id and text hash, a null id being an id; the shuffled documents are the same in each join."""
@@ -281,11 +288,11 @@ def remove_repeats(
         return slim.join(found, on, how).drop("_id2", "_tag2")
 
     def packed(kind: str) -> DataFrame:
-        return _pack(with_docs(live.where(F.size(kind) > 0).select("_id", "_tag", F.col(kind).alias("spans")), "inner"), window)
+        return _pack(with_docs(lists.where(F.size(kind) > 0).select("_id", "_tag", F.col(kind).alias("spans")), "inner"), window)
 
-    cold = _counted(packed("cold").drop("n").repartition("bucket").sortWithinPartitions("bucket"), window)
-    hot = _crowded(packed("hot").drop("bucket"), window)
-    ranges = cold.union(hot).groupBy("_id", "_tag").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
+    cold = _counted(packed("cold").repartition("bucket").sortWithinPartitions("bucket"), window)
+    hot = _crowded(packed("hot"), window)
+    ranges = whole.union(cold).union(hot).groupBy("_id", "_tag").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
     none = F.array().cast("array<struct<low:bigint,high:bigint>>")
     met = with_docs(ranges, "left").withColumn("ranges", F.coalesce("ranges", none))
     out = _kept(met.drop("_tag"), as_is)
