@@ -7,68 +7,40 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Below this estimated size a join needs no salting: any one task can hold the whole side.
-SMALL_SIDE_BYTES = 256 * 1024 * 1024
-# A key with fewer rows than this fits one task.
-HOT_ROWS = 500_000
-# At most this many keys are treated as hot, which bounds the broadcast table of hot keys.
-MAX_HOT_KEYS = 1_000
-SALTS = 64
+from parcelweave.session import materialize
 
+# Rows of one key that one task should join.
+ROWS_PER_SALT = 500_000
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of the plan, or None where it cannot be asked for."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:
-        return None
 
+def key_salts(df: DataFrame, keys: list[str], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """(keys, _salts) for every key with more than `rows_per_salt` rows: the tasks it is cut into.
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The keys with at least `hot_rows` rows, largest first, never more than MAX_HOT_KEYS of them."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    return (
-        counts.filter(F.col("n_rows") >= hot_rows)
-        .orderBy(F.col("n_rows").desc(), *keys).limit(MAX_HOT_KEYS).select(*keys)
-    )
+    Counted with partial sums over the key columns alone, and written, so that its size is known to the planner.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_salt)
+    return materialize(counts.select(*keys, F.ceil(F.col("_n") / rows_per_salt).cast("int").alias("_salts")), "key-salts")
 
 
 def salted_join(
-    big: DataFrame,
-    small: DataFrame,
-    keys: list[str],
-    how: str = "inner",
-    residual: Column | None = None,
-    small_bytes: int = SMALL_SIDE_BYTES,
-    hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
+    big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", residual: Column | None = None,
+    rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
-    """Equi-join on `keys` plus `residual`, `big` on the left, hot keys of `big` spread over `salts` tasks.
+    """Equi-join on `keys` plus `residual`, `big` on the left, frequent keys of `big` spread over several tasks.
 
-    Rows of a hot key in `big` get a random-looking salt from their content and the matching rows of `small` are
-    repeated once per salt. Other keys are untouched. Column names must differ between the sides except `keys`.
-    Every row of `big` meets each matching row of `small` exactly once, so inner, left, semi and anti all hold.
+    Rows of a frequent key in `big` get a random-looking salt from their content and the matching rows of `small` are
+    repeated once per salt; the number of salts follows the key's own count, and there is no limit to such keys. Column
+    names must differ between the sides except `keys`. Every row of `big` meets each matching row of `small` exactly
+    once, so inner, left, semi and anti all hold.
     """
-    s = small.select(
-        *[F.col(k).alias(f"_s_{k}") for k in keys], *[c for c in small.columns if c not in keys]
-    )
-    conditions = [F.col(k) == F.col(f"_s_{k}") for k in keys]
-    size = estimated_bytes(big)
-    if size is None or size > small_bytes:
-        hot = hot_keys(big, keys, hot_rows)
-        row_hash = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)).cast("int")
-        hot_big = hot.withColumn("_hot", F.lit(True))
-        big = (
-            big.join(F.broadcast(hot_big), keys, "left")
-            .withColumn("_salt", F.when(F.col("_hot"), row_hash).otherwise(0)).drop("_hot")
-        )
-        hot_small = hot.select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.lit(True).alias("_hot"))
-        all_salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        s = (
-            s.join(F.broadcast(hot_small), [f"_s_{k}" for k in keys], "left")
-            .withColumn("_s_salt", F.explode(all_salts)).drop("_hot")
-        )
-        conditions.append(F.col("_salt") == F.col("_s_salt"))
+    hot = key_salts(big, keys, rows_per_salt)
+    row_hash = F.xxhash64(*[F.col(c) for c in big.columns])
+    big = big.join(hot, keys, "left").withColumn(
+        "_salt", F.coalesce(F.pmod(row_hash, F.col("_salts")), F.lit(0))).drop("_salts")
+    s = small.join(hot, keys, "left").withColumn(
+        "_s_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    s = s.select(*[F.col(k).alias(f"_s_{k}") for k in keys], *[c for c in s.columns if c not in keys])
+    conditions = [F.col(k) == F.col(f"_s_{k}") for k in keys] + [F.col("_salt") == F.col("_s_salt")]
     if residual is not None:
         conditions.append(residual)
     joined = big.join(s, reduce(lambda a, b: a & b, conditions), how)

@@ -14,7 +14,7 @@ from parcelweave.operators.token_set_join import token_set_pairs
 from parcelweave.sources import vendor
 
 WORDS = "smith holdings llc capital trust main street group inc partners abel bell of a".split()
-FORCED = {"small_bytes": 0, "hot_rows": 10, "salts": 4}
+FORCED = {"rows_per_salt": 10}
 
 
 def names(seed, n=150):
