@@ -87,11 +87,34 @@ def address_ingest_metrics(a):
     return landed.ingest_metrics(addresses.parse_addresses(_feature_lines(a)))
 
 
-@register(CTES + _FEATURES + """
-, loaded AS (SELECT parcel_id, address, city, state, zip FROM (
+# Features that share a coordinate id differ only in what the file order decides, so their number, town and zip are left out.
+_LOADED = """
+, loaded AS (SELECT parcel_id, state, CASE WHEN starts_with(parcel_id, 'ov_') THEN '' ELSE address END AS address,
+                    CASE WHEN starts_with(parcel_id, 'ov_') THEN '' ELSE city END AS city,
+                    CASE WHEN starts_with(parcel_id, 'ov_') THEN '' ELSE zip END AS zip FROM (
     SELECT *, row_number() OVER (PARTITION BY parcel_id ORDER BY o_orderkey DESC) AS n
     FROM features WHERE reject_reason IS NULL) WHERE n = 1)
-SELECT parcel_id, state FROM loaded""")
+SELECT parcel_id, address, city, state, zip FROM loaded"""
+
+
+def _loaded(parcels):
+    own = ~F.col("parcel_id").startswith("ov_")
+    return parcels.select(
+        "parcel_id", "state", *[F.when(own, F.col(c)).otherwise("").alias(c) for c in ("address", "city", "zip")])
+
+
+@register(CTES + _FEATURES + _LOADED)
+def load_addresses(a):
+    """Staging reloaded and merged into stored parcels, twice with the same outcome."""
+    tables = Tables(a.spark, _scratch(a, "addresses"))
+    rows = addresses.parse_addresses(_feature_lines(a).select(
+        "value", F.lit("f").alias("_file"), F.lit(0).alias("_block"), F.col("o_orderkey").alias("_row")))
+    for _ in range(2):
+        after = R.load_addresses(tables, rows, as_of())
+    return _loaded(after)
+
+
+@register(CTES + _FEATURES + _LOADED)
 def address_stream_refresh(a):
     """Address files taken in by the stream, merged into an empty parcels table."""
     root = _scratch(a, "refresh")
@@ -100,7 +123,7 @@ def address_stream_refresh(a):
     query = streaming.refresh_addresses(
         tables, f"{root}/landed", f"{root}/checkpoint", as_of(), suffix=".txt")
     query.awaitTermination()
-    return tables.read("parcels").select("parcel_id", "state")
+    return _loaded(tables.read("parcels"))
 
 
 @register("SELECT parcel_id FROM parcels WHERE lat BETWEEN 38.9284 AND 41.3574 AND lon BETWEEN -75.5593 AND -73.8977")
@@ -426,3 +449,39 @@ def job_metrics(a):
     rejected = landed.ingest_metrics(landed.rejected(lots)).select(
         F.concat(F.lit("rejected "), "outcome").alias("outcome"), "n")
     return landed.change_metrics(before, after, "parcel_id").unionByName(rejected)
+
+
+@register("""SELECT CAST(p_partkey AS VARCHAR) AS filing_number, p_name AS name,
+                    CASE p_partkey % 2 WHEN 0 THEN 'LLC' ELSE 'Trust' END AS entity_type, 'active' AS status,
+                    '2020-01-02' AS incorporated_date, 'Agent ' || p_partkey AS registered_agent_name,
+                    p_partkey || ' Elm St, Ames, IA, 50010' AS registered_agent_address, '' AS filing_url FROM part""")
+def registry_second_layout(a):
+    """The other state's raw layout; it has no filing address."""
+    key = F.col("p_partkey")
+    raw = a.source("part").select(
+        key.cast("string").alias("corp_number"), F.col("p_name").alias("legal_name"),
+        F.when(key % 2 == 0, "LIMITED LIABILITY COMPANY").otherwise("BUSINESS TRUST").alias("corporation_type"),
+        F.lit("2020-01-02T00:00:00").alias("effective_date"), F.concat(F.lit("Agent "), key).alias("registered_agent"),
+        F.concat(key, F.lit(" Elm St")).alias("ra_address_1"), F.lit("Ames").alias("ra_city"), F.lit("IA").alias("ra_state"),
+        F.lit("50010").alias("ra_zip"))
+    return registry.standardize_registry(raw, "ia")
+
+
+@register("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'NY' WHEN 1 THEN 'NJ' ELSE 'XX' END AS road_state
+             FROM orders""")
+def corridor_state_names(a):
+    """Full state names, abbreviations and unknown text after the comma of a corridor."""
+    key = F.col("o_orderkey")
+    text = F.concat(F.lit("Broadway, "), F.when(key % 3 == 0, " new york ").when(key % 3 == 1, "New Jersey").otherwise("xx"))
+    return a.source("orders").select("o_orderkey", N.corridor_state(text).alias("road_state"))
+
+
+@register("""SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'active' WHEN 1 THEN 'active' WHEN 2 THEN 'dissolved'
+                    WHEN 3 THEN 'dissolved' WHEN 4 THEN 'suspended' WHEN 5 THEN 'suspended' ELSE 'unknown' END AS status
+             FROM orders""")
+def registry_statuses(a):
+    """Every known status text, an unknown and a missing one."""
+    texts = F.array(*[F.lit(t) for t in ("Active", "good standing", "DISSOLVED", "cancelled", "Suspended", "revoked", "other", None)])
+    key = F.col("o_orderkey")
+    return a.source("orders").select(
+        "o_orderkey", N.entity_status(F.element_at(texts, (key % 8 + 1).cast("int"))).alias("status"))
