@@ -31,9 +31,9 @@ MAX_SEGMENTS = 256
 MAX_LOSS_TOKENS = 4096
 END_ID = 2
 POOL_PIECES = 20_000
-# Entries of the token caches of one Python worker; a cache starts anew when it is full.
-CACHED_WORDS = 300_000
-CACHED_PIECES = 600_000
+# Entries of the token caches of one task; a cache starts anew when it is full.
+CACHED_WORDS = 200_000
+CACHED_PIECES = 400_000
 # Text bytes whose distinct words are looked up together.
 LOOKUP_BYTES = 4 << 20
 
@@ -83,6 +83,9 @@ class WordTokens:
                 self.words[word] = found
         return found
 
+    def forget(self) -> None:
+        self.words, self.pieces = {}, {}
+
     def _special(self, text: str) -> bool:
         """Added tokens may join or split words, and U+001C to U+001F are white space to str.split() alone."""
         return ("<" in text and any(t in text.lower() for t in self.added)) or bool(SPLITS_MORE.search(text))
@@ -189,26 +192,32 @@ def pack_pieces(
                 [*(c.chunk(0) for c in own.columns), *map(pa.array, facts.T.copy()), pa.array(sequence), pa.array(offset)],
                 names=[*own.schema.names, "_start", "_length", "_crc", "_all", "_loss", "_sequence", "_offset"])
 
-        for batch in batches:
-            for rows in chunks(batch, text, LOOKUP_BYTES):
-                ids, masks = pieces_of(rows)
-                of, facts = [], []
-                for i, (row, mask) in enumerate(zip(ids, masks, strict=True)):
-                    total = len(row)
-                    for start in range(0, total, length):
-                        part = row[start:start + length]
-                        n = len(part)
-                        loss = n if mask is None else int(mask[start:start + n].sum())
-                        of.append(i)
-                        facts.append((start, n, zlib.crc32(part.tobytes()), total, loss))
-                if of:
-                    waiting.append((rows.drop_columns([text]).take(pa.array(of)), np.array(facts, dtype=np.int64)))
-                    held += len(of)
-                if held >= pool:
-                    yield settle()
-                    waiting, held = [], 0
-        if held:
-            yield settle()
+        try:
+            for batch in batches:
+                for rows in chunks(batch, text, LOOKUP_BYTES):
+                    ids, masks = pieces_of(rows)
+                    of, facts = [], []
+                    for i, (row, mask) in enumerate(zip(ids, masks, strict=True)):
+                        total = len(row)
+                        for start in range(0, total, length):
+                            part = row[start:start + length]
+                            n = len(part)
+                            loss = n if mask is None else int(mask[start:start + n].sum())
+                            of.append(i)
+                            facts.append((start, n, zlib.crc32(part.tobytes()), total, loss))
+                    if of:
+                        waiting.append((rows.drop_columns([text]).take(pa.array(of)), np.array(facts, dtype=np.int64)))
+                        held += len(of)
+                    if held >= pool:
+                        yield settle()
+                        waiting, held = [], 0
+            if held:
+                yield settle()
+        finally:
+            # A Python worker goes on to tasks of other stages, which need its memory.
+            for tokens in _LOADED.values():
+                tokens.forget()
+            pa.default_memory_pool().release_unused()
 
     new = "_start bigint, _length bigint, _crc bigint, _all bigint, _loss bigint, _sequence bigint, _offset bigint"
     return docs.mapInArrow(run, schema_of(docs, (text,), new))
