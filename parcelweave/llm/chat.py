@@ -222,3 +222,49 @@ def read_back(windows: DataFrame) -> DataFrame:
 
     return rows.mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, "
                                 "formatted_chars bigint")
+
+
+# The same windows for DuckDB, turn by turn; `costs` and `chars` hold the history and then the open span, `held` of them
+# history. Two turns of conversation -7 are added to the table.
+CHECK_SQL = f"""
+WITH RECURSIVE said AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM said),
+sized AS (
+  SELECT conv_id, k, role = 'system' AND k = 1 AS leads, (strlen(text) + {BYTES_A_TOKEN - 1}) // {BYTES_A_TOKEN} + {MARK_TOKENS} AS cost,
+         length(regexp_replace(text, '([\\\\\\[<])', '..', 'g')) + CASE role
+           WHEN 'system' THEN {sum(map(len, MARKS["system"]))} WHEN 'user' THEN {sum(map(len, MARKS["user"]))}
+           WHEN 'assistant' THEN {sum(map(len, MARKS["assistant"]))}
+           ELSE {sum(map(len, OTHER))} + length(regexp_replace(role, '([\\\\\\[<])', '..', 'g')) END AS chars
+  FROM turns),
+walk AS (
+  SELECT conv_id, k, leads, CASE WHEN leads THEN cost ELSE 0 END AS lead_cost, CASE WHEN leads THEN chars ELSE 0 END AS lead_chars,
+         0::BIGINT AS number, 0::BIGINT AS held, [cost] AS costs, [chars] AS sizes, {BUDGET_TOKENS}::BIGINT AS room, 0::BIGINT AS done
+  FROM sized WHERE k = 1
+  UNION ALL
+  SELECT conv_id, k, leads, lead_cost, lead_chars, number + CASE WHEN fits THEN 0 ELSE 1 END,
+         CASE WHEN fits THEN held ELSE len(costs) + 1 - cut END,
+         list_append(CASE WHEN fits THEN costs ELSE costs[cut:] END, cost),
+         list_append(CASE WHEN fits THEN sizes ELSE sizes[cut:] END, chars),
+         CASE WHEN fits THEN room ELSE {BUDGET_TOKENS} - lead_cost - coalesce(list_sum(costs[cut:]), 0)::BIGINT END,
+         CASE WHEN fits THEN done ELSE done + list_sum(sizes)::BIGINT + CASE WHEN number > 0 THEN lead_chars ELSE 0 END END
+  FROM (
+    SELECT w.* EXCLUDE (k), s.k, s.cost, s.chars,
+           coalesce(list_sum(w.costs[w.held + 1:]), 0) + s.cost <= w.room AS fits,
+           list_filter(range(CASE WHEN w.number = 0 AND w.leads THEN 2 ELSE 1 END, len(w.costs) + 2),
+                       lambda p: coalesce(list_sum(w.costs[p:]), 0) <= {HISTORY_TOKENS})[1] AS cut
+    FROM walk w JOIN sized s ON s.conv_id = w.conv_id AND s.k = w.k + 1)),
+ends AS (
+  SELECT conv_id, done + list_sum(sizes)::BIGINT + CASE WHEN number > 0 THEN lead_chars ELSE 0 END AS formatted_chars
+  FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) = 1),
+read AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+         coalesce(sum(length(text)) FILTER (role = '{TARGET}'), 0)::BIGINT AS loss_chars,
+         sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = '{TARGET}'), '')) AS loss_sha256
+  FROM turns GROUP BY conv_id)
+SELECT * FROM read JOIN ends USING (conv_id)
+"""

@@ -31,7 +31,21 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 
-@query("op10_substring_dedup")
+@query("op10_substring_dedup", f"""
+WITH texts AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + {substrings.WINDOW_WORDS - 1}], ' ') AS s
+  FROM texts, unnest(range(1, len(ws) - {substrings.WINDOW_WORDS - 2})) AS t(i)),
+repeated AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT DISTINCT doc_id, pos FROM repeated, unnest(range(i, i + {substrings.WINDOW_WORDS})) AS t(pos)),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM texts),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text
+  FROM words ANTI JOIN covered USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, len(ws)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+""")
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substrings.remove_repeats(docs).select(
@@ -89,7 +103,7 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.fingerprint_versions(docs)
 
 
-@query("op5_chat_formatting")
+@query("op5_chat_formatting", chat.CHECK_SQL)
 def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
