@@ -1,7 +1,7 @@
 """Quality by logistic regression on hashed word n-grams, trained with follow-the-regularised-leader updates.
 
-Tokens are runs of letters, digits or other signs, as they are written; features are hashes of one and two tokens, each
-worth its share of a text's n-grams. A score is a sparse dot product with the weights.
+Tokens are runs of letters, digits or other signs, as they are written; features are hashes of one and two tokens, and
+marks for tokens that repeat at once, each worth its share of a text's n-grams. A score is a sparse dot product with the weights.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelweave.llm.frames import carried, chunks, crc_of_id, labelled_sample, restored, schema_of, ship_package, texts_of
-from parcelweave.llm.words import split_tokens, window_hashes, word_hashes
+from parcelweave.llm.words import mix, split_tokens, window_hashes, word_hashes
 
 BITS = 18
 # Labelled documents that the weights are learned from: those first in the order of the id's hash.
@@ -23,6 +23,7 @@ SAMPLE_DOCS = 16_000
 # Independent learners, whose weights are averaged.
 SHARDS = 4
 PASSES = 3
+REPEATS = mix(np.array([1, 2], dtype=np.uint64))
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 SCALE = 16.0
 
@@ -37,8 +38,11 @@ def _features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     borders = tokens.first[1:-1] - 1
     inside[borders[(borders >= 0) & (borders < len(two))]] = False
     text = np.repeat(np.arange(len(texts)), counts)
-    slots = np.concatenate((one, two[inside])) >> np.uint64(64 - BITS)
-    of = np.concatenate((text, text[:-1][inside] if len(text) else text))
+    # A token that is one or two places behind its like is, whatever it says, the same n-gram.
+    again = [text[n:][(one[n:] == one[:-n]) & (text[n:] == text[:-n])] for n in (1, 2)]
+    marks = np.repeat(REPEATS, [len(a) for a in again])
+    slots = np.concatenate((one, two[inside], marks)) >> np.uint64(64 - BITS)
+    of = np.concatenate((text, text[:-1][inside] if len(text) else text, *again))
     order = np.argsort(of, kind="stable")
     return slots[order].astype(np.int64), np.bincount(of, minlength=len(texts))
 
