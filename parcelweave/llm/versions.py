@@ -26,6 +26,8 @@ from parcelweave.llm.words import mix
 CELLS = 12
 GROWTH = 4
 TABLES = 3
+# Cells per digest at which peeling nearly always succeeds.
+ROOM = 1.4
 # A longer line is cut at its sentence ends.
 LINE_CHARS = 200
 # Ranges of the document order for each shuffle partition, and at most.
@@ -33,7 +35,8 @@ RANGES_A_PARTITION = 4
 MAX_RANGES = 20_000
 
 SENTENCE = re.compile(r"(?<=[.!?]) ")
-SALTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+SALTS = np.array([[0x9E3779B97F4A7C15], [0xC2B2AE3D27D4EB4F], [0x165667B19E3779F9]], dtype=np.uint64)
+OFFSETS = np.arange(TABLES)[:, None]
 CHECK = np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -72,12 +75,10 @@ class Sketch:
 
     def add(self, keys: np.ndarray, signs: np.ndarray | int = 1) -> Sketch:
         part = self.cells // TABLES
-        checks = _checks(keys)
-        for j, salt in enumerate(SALTS):
-            at = (mix(keys ^ salt) % np.uint64(part)).astype(np.int64) + j * part
-            np.add.at(self.counts, at, np.broadcast_to(np.asarray(signs, dtype=np.int32), at.shape))
-            np.bitwise_xor.at(self.keys, at, keys)
-            np.bitwise_xor.at(self.checks, at, checks)
+        at = ((mix(keys ^ SALTS) % np.uint64(part)).view(np.int64) + OFFSETS * part).ravel()
+        np.add.at(self.counts, at, np.tile(signs, TABLES) if np.ndim(signs) else np.int32(signs))
+        np.bitwise_xor.at(self.keys, at, np.tile(keys, TABLES))
+        np.bitwise_xor.at(self.checks, at, np.tile(_checks(keys), TABLES))
         return self
 
     def minus(self, other: Sketch) -> Sketch:
@@ -124,14 +125,18 @@ class Version:
     def differing(self, other: Version) -> tuple[np.ndarray, np.ndarray]:
         """Digests of one version only, peeled from sketches of growing size.
 
-        A table of many times the digests fails only if two of them share all cells; then they are compared directly.
+        After the smallest sketch the next is large enough even if nothing is shared, then each is GROWTH times the one
+        before. A table of many times the digests fails only if two of them share all cells; then they are compared
+        directly.
         """
-        cells = CELLS
-        while cells <= 64 * (len(self.keys) + len(other.keys)) + CELLS:
+        total, cells = len(self.keys) + len(other.keys), CELLS
+        while cells <= 64 * total + CELLS:
             found = self.sketch(cells).minus(other.sketch(cells)).peel()
             if found is not None:
                 return found
             cells *= GROWTH
+            while cells < ROOM * total:
+                cells *= GROWTH
         return np.setdiff1d(self.keys, other.keys), np.setdiff1d(other.keys, self.keys)
 
     def likeness(self, other: Version) -> float:
