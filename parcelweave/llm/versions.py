@@ -1,15 +1,17 @@
-"""Document fingerprints as invertible Bloom lookup sketches of paragraph digests.
+"""Document fingerprints as invertible Bloom lookup sketches of the digests of a text's pieces.
 
 A sketch is a table of cells; a digest is added to three of them (count, xor of digests, xor of checks). Sketches of two
-versions subtract cell by cell, equal paragraphs vanish, and peeling cells that hold one digest recovers those that
-differ. If peeling stops early, larger sketches are tried.
+versions subtract cell by cell, equal pieces vanish, and peeling cells that hold one digest recovers those that differ.
+If peeling stops early, larger sketches are tried.
+
+A piece is a line, cut at its sentence ends and then at borders that the characters before them choose, so that a change
+moves no border further on.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,33 +30,76 @@ GROWTH = 4
 TABLES = 3
 # Cells per digest at which peeling nearly always succeeds.
 ROOM = 1.4
-# A longer line is cut at its sentence ends.
-LINE_CHARS = 200
+# A border inside a sentence is chosen by the hash of so many characters before it, one in BORDERS of them; none lies
+# nearer than LEAST_CHARS to another one or to the sentence's ends. What is still longer than MOST_CHARS is cut evenly.
+REACH = 6
+BORDERS = 16
+LEAST_CHARS = 12
+MOST_CHARS = 96
 # Ranges of the document order for each shuffle partition, and at most.
 RANGES_A_PARTITION = 4
 MAX_RANGES = 20_000
 
-SENTENCE = re.compile(r"(?<=[.!?]) ")
+STOPS = [ord(c) for c in ".!?"]
+WIDE_STOPS = [ord(c) for c in "。！？"]
 SALTS = np.array([[0x9E3779B97F4A7C15], [0xC2B2AE3D27D4EB4F], [0x165667B19E3779F9]], dtype=np.uint64)
 OFFSETS = np.arange(TABLES)[:, None]
 CHECK = np.uint64(0xFF51AFD7ED558CCD)
 
 
-def paragraphs(text: str) -> list[str]:
-    out = []
-    for line in text.split("\n"):
-        if len(line) > LINE_CHARS:
-            out += SENTENCE.split(line)
-        elif line:
-            out.append(line)
-    return out
+def _chosen(points: np.ndarray) -> np.ndarray:
+    """Positions whose REACH characters before them choose a border."""
+    n = len(points) - REACH + 1
+    if n <= 0:
+        return np.empty(0, dtype=np.int64)
+    hashes = points[:n].copy()
+    for i in range(1, REACH):
+        hashes *= np.uint32(0x01000193)
+        hashes ^= points[i:n + i]
+    hashes ^= hashes >> np.uint32(15)
+    hashes *= np.uint32(0x85EBCA6B)
+    return np.flatnonzero(hashes < np.uint32((1 << 32) // BORDERS)) + REACH
+
+
+def _borders(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces; line feeds and the space after a sentence belong to none."""
+    gap = points == 0x0A
+    gap[1:] |= (points[1:] == 0x20) & np.logical_or.reduce([points[:-1] == c for c in STOPS])
+    gaps = np.flatnonzero(gap)
+    wide = np.flatnonzero(points >= 0x3000)
+    wide = wide[np.isin(points[wide], WIDE_STOPS)] + 1 if len(wide) else wide
+    starts = np.sort(np.concatenate(([0], gaps + 1, wide)))
+    ends = np.sort(np.concatenate((gaps, wide, [len(points)])))
+    full = ends > starts
+    starts, ends = starts[full], ends[full]
+    inner = _chosen(points)
+    if len(inner) and len(starts):
+        within = np.maximum(np.searchsorted(starts, inner, "right") - 1, 0)
+        own = inner - starts[within] >= REACH  # chosen by characters of its own sentence
+        inner, within = inner[own], within[own]
+        kept = (inner - starts[within] >= LEAST_CHARS) & (ends[within] - inner >= LEAST_CHARS)
+        kept[1:] &= (np.diff(inner) >= LEAST_CHARS) | (np.diff(within) > 0)
+        inner = inner[kept]
+        starts, ends = np.sort(np.concatenate((starts, inner))), np.sort(np.concatenate((ends, inner)))
+    parts = -(-(ends - starts) // MOST_CHARS)
+    if len(parts) and parts.max() > 1:
+        first = np.repeat(np.cumsum(parts) - parts, parts)
+        at = np.repeat(starts, parts) + (np.arange(len(first)) - first) * MOST_CHARS
+        starts, ends = at, np.minimum(at + MOST_CHARS, np.repeat(ends, parts))
+    return starts, ends
+
+
+def pieces(text: str) -> list[str]:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    starts, ends = _borders(points)
+    return [text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 def digests(text: str) -> np.ndarray:
-    """A 64-bit digest per paragraph; the second and later ones of equal paragraphs differ by their number."""
+    """A 64-bit digest per piece; the second and later ones of equal pieces differ by their number."""
     seen: dict[str, int] = {}
     out = []
-    for p in paragraphs(text):
+    for p in pieces(text):
         n = seen[p] = seen.get(p, -1) + 1
         out.append(xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass"), n))
     return np.array(out, dtype=np.uint64)
@@ -140,7 +185,7 @@ class Version:
         return np.setdiff1d(self.keys, other.keys), np.setdiff1d(other.keys, self.keys)
 
     def likeness(self, other: Version) -> float:
-        """Shared paragraphs over all: 1 for equal sets, also for two texts without a paragraph."""
+        """Shared pieces over all: 1 for equal sets, also for two texts without a piece."""
         only = sum(map(len, self.differing(other)))
         total = len(self.keys) + len(other.keys)
         return (total - only) / (total + only) if total else 1.0
@@ -182,7 +227,7 @@ def fingerprint_versions(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     The edited text of a document replaces its last floor(n / 2) code points by the first as many (or all) of the next
     document in descending id order, nulls last; the last is followed by the first. Rows of one id go by text hash.
-    Null is the empty text: no paragraph, likeness 1 to another empty one and 0 to all others. Rows are dealt in
+    Null is the empty text: no piece, likeness 1 to another empty one and 0 to all others. Rows are dealt in
     ranges of the order and streamed, two texts at a time. An empty table gives an empty result. An input column named
     like a new one is replaced.
     """

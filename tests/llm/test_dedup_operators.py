@@ -157,6 +157,33 @@ def test_repeated_paragraphs_count():
     assert versions.Version("").likeness(versions.Version("a")) == 0.0
 
 
+def test_a_kept_half_is_found_again_in_texts_of_few_lines():
+    rng = random.Random(7)
+    spoken = " ".join(f"word{rng.randrange(10_000)}" for _ in range(400))
+    texts = {
+        "short line": spoken[:199], "one sentence": spoken[:600], "one paragraph": spoken,
+        "sentences": ". ".join(spoken[i:i + 70] for i in range(0, 1_400, 70)),
+        "no spaces": "".join(rng.choices("0123456789abcdef", k=1_000)),
+        "cjk": "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(500)), "one character": "a" * 1_000}
+    for name, text in texts.items():
+        half, other = len(text) // 2, "".join(rng.choices("ghijklmnop ", k=len(text) // 2))
+        own, edited = versions.Version(text), versions.Version(text[:len(text) - half] + other)
+        kept = np.intersect1d(own.keys, edited.keys)
+        assert len(kept) >= 2, name
+        assert own.likeness(edited) == pytest.approx(len(kept) / len(np.union1d(own.keys, edited.keys))), name
+        assert max(map(len, versions.pieces(text))) <= versions.MOST_CHARS
+    assert versions.Version(spoken).likeness(versions.Version("x " + spoken)) > 0.9  # borders do not move
+
+
+def test_pieces_do_not_depend_on_other_sentences():
+    sentence = "the quick brown fox jumps over the lazy dog and runs away from the farm into the dark forest at night."
+    alone = versions.pieces(sentence)
+    assert len(alone) > 1 and "".join(alone) == sentence
+    assert versions.pieces(f"Before. {sentence}\n\nAfter it") == ["Before.", *alone, "After it"]
+    assert versions.pieces("日本。語！ab") == ["日本。", "語！", "ab"]
+    assert versions.pieces("") == versions.pieces("\n") == []
+
+
 def test_versions_against_plain_order(spark, awkward):
     rows = [(r[0], r[1] or "") for r in plain.AWKWARD if r[0] not in (None, 6)]
     docs = plain.documents(spark, [(*r, "en", "s") for r in rows])
