@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from parcelweave.llm.frames import carried, restored, schema_of, ship_package
 from parcelweave.llm.words import mix
 
-# Cells of the sketch that is the fingerprint; a retry has GROWTH times as many.
-CELLS = 12
+# Cells of the sketch that is the fingerprint: they peel some 85 differing digests, more than two versions of a text of
+# usual length differ by. A retry has GROWTH times as many, the first one GROWTH times until all digests of both fit.
+CELLS = 120
 GROWTH = 4
 TABLES = 3
 # Cells per digest at which peeling nearly always succeeds.
@@ -45,6 +46,7 @@ WIDE_STOPS = [ord(c) for c in "。！？"]
 SALTS = np.array([[0x9E3779B97F4A7C15], [0xC2B2AE3D27D4EB4F], [0x165667B19E3779F9]], dtype=np.uint64)
 OFFSETS = np.arange(TABLES)[:, None]
 CHECK = np.uint64(0xFF51AFD7ED558CCD)
+CELL = np.dtype([("n", "<i4"), ("key", "<u8"), ("check", "<u4")])
 
 
 def _chosen(points: np.ndarray) -> np.ndarray:
@@ -148,8 +150,16 @@ class Sketch:
             return None
         return np.concatenate(first), np.concatenate(second)
 
+    @classmethod
+    def read(cls, stored: str) -> Sketch:
+        """The sketch that a fingerprint column holds."""
+        cells = np.frombuffer(base64.b64decode(stored), dtype=CELL)
+        out = cls(len(cells))
+        out.counts, out.keys, out.checks = cells["n"].copy(), cells["key"].copy(), cells["check"].copy()
+        return out
+
     def __str__(self) -> str:
-        cells = np.empty(self.cells, dtype=[("n", "<i4"), ("key", "<u8"), ("check", "<u4")])
+        cells = np.empty(self.cells, dtype=CELL)
         cells["n"], cells["key"], cells["check"] = self.counts, self.keys, self.checks
         return base64.b64encode(cells.tobytes()).decode()
 

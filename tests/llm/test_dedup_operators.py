@@ -175,6 +175,20 @@ def test_a_kept_half_is_found_again_in_texts_of_few_lines():
     assert versions.Version(spoken).likeness(versions.Version("x " + spoken)) > 0.9  # borders do not move
 
 
+def test_stored_fingerprints_compare_versions_without_their_texts(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"word{rng.randrange(10_000)}" for _ in range(170)) for _ in range(3)]  # of usual length, 1,500 characters
+    docs = plain.documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)], clashing=False)
+    for r in versions.fingerprint_versions(docs).collect():
+        text, following = texts[r["doc_id"]], texts[r["doc_id"] - 1]
+        half = len(text) // 2
+        own, edited = versions.digests(text), versions.digests(text[:len(text) - half] + following[:half])
+        found = versions.Sketch.read(r["fingerprint"]).minus(versions.Sketch.read(r["edited_fingerprint"])).peel()
+        assert found is not None
+        assert set(found[0].tolist()) == set(np.setdiff1d(own, edited).tolist())
+        assert set(found[1].tolist()) == set(np.setdiff1d(edited, own).tolist())
+
+
 def test_pieces_do_not_depend_on_other_sentences():
     sentence = "the quick brown fox jumps over the lazy dog and runs away from the farm into the dark forest at night."
     alone = versions.pieces(sentence)
