@@ -3,6 +3,9 @@
 The mix is cut into blocks of equal words. Blocks go to sources by the highest quotients target / (2k - 1), and a
 source's blocks go to its shards in the same way, by their sizes. A shard lists its documents in a seeded order and the
 mix takes its first blocks, going round a second time where the quota is larger than the shard.
+
+A source whose target is a few blocks only would be rounded too roughly, to none at the least; its blocks are single
+words, and the other sources share what is left of the mix.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_REPEATS = 2
 BLOCK_WORDS = 128
+# A source with a target of fewer blocks is settled in words.
+SMALL_BLOCKS = 8
 # A shard holds about so many words, so that no window sorts more; beyond the most shards a source may have, they grow.
 SHARD_WORDS = 65_536
 MAX_SHARDS = 100_000
@@ -72,13 +77,18 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     whole = Window.partitionBy("one")
     table = table.withColumn("_level", F.max(F.when(F.col("_level") <= F.col("_full"), F.col("_level"))).over(whole))
     table = table.withColumns({
-        "target": F.least(F.col("_cap").cast("double"), F.col("_weight") * F.col("_level")),
-        "_n": F.greatest(F.lit(1), F.round(F.col("_mix") / BLOCK_WORDS)).cast("long")})
-    table = materialize(table.withColumn("block", F.col("_mix") / F.col("_n")), "mix-sources")
-    seats = _seats(table.where("target > 0").select("one", "rank", F.col("target").alias("votes"), F.col("_n").alias("n")),
+        "target": F.least(F.col("_cap").cast("double"), F.col("_weight") * F.col("_level"))})
+    table = table.withColumn("_small", F.col("target") < SMALL_BLOCKS * BLOCK_WORDS)
+    table = table.withColumn("_rest", F.col("_mix") - F.coalesce(F.sum(F.when(F.col("_small"), F.col("target"))).over(whole), F.lit(0)))
+    table = table.withColumns({
+        "_n": F.greatest(F.lit(1), F.round(F.col("_rest") / BLOCK_WORDS)).cast("long"),
+        "_words": F.when(F.col("_small") & (F.col("target") > 0), F.greatest(F.lit(1), F.round("target")).cast("long"))})
+    table = materialize(table.withColumn("block", F.coalesce(
+        F.col("target") / F.col("_words"), F.col("_rest") / F.col("_n"))), "mix-sources")
+    seats = _seats(table.where("NOT _small").select("one", "rank", F.col("target").alias("votes"), F.col("_n").alias("n")),
                    ["one"], "rank")
     return table.join(seats, ["one", "rank"], "left").select(
-        "source", "rank", "source_size", "target", "block", F.coalesce("seats", F.lit(0)).alias("blocks"),
+        "source", "rank", "source_size", "target", "block", F.coalesce("_words", "seats", F.lit(0)).alias("blocks"),
         F.least(F.lit(MAX_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS))).cast("int").alias("shards"))
 
 

@@ -136,6 +136,22 @@ def test_mix_of_awkward_rows(spark, awkward):
     assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, mixing.mixed_sizes(awkward).collect()), key=repr)
 
 
+def test_every_source_meets_its_target(spark, awkward):
+    rng = random.Random(4)
+    tail = [(f"t{i}", rng.choice([1, 3, 40, 45, 90, 200, 700])) for i in range(60)]
+    rows = [(i, " ".join(["w"] * n), "en", source) for i, (source, n) in enumerate([*tail, *tail, *[("big", 900)] * 40])]
+    for docs in (plain.documents(spark, rows, clashing=False), awkward):
+        sizes, taken = Counter(), Counter()
+        for r in docs.select("source", "text").collect():
+            sizes[r["source"]] += len(plain.words(r["text"]))
+        want = plain.targets(sizes)
+        for r in mixing.mixed_documents(docs).select("source", "text").collect():
+            taken[r["source"]] += len(plain.words(r["text"]))
+        for source, target in want.items():
+            allowed = 1 if target < mixing.SMALL_BLOCKS * mixing.BLOCK_WORDS else target / mixing.SMALL_BLOCKS
+            assert abs(taken[source] - target) <= allowed, source
+
+
 def test_mixed_documents_hold_what_is_taken(spark, awkward):
     taken = Counter()
     for r in mixing.mixed_sizes(awkward.where("doc_id <> 6 AND doc_id IS NOT NULL")).collect():
