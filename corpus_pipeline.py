@@ -14,11 +14,11 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; those without a letter go, and a missing language is filled in."""
+    """Documents with a letter; a missing language is filled in, with `und` where no profile could be learned."""
     train = docs.select("doc_id", "text", "lang").where(~language.held_out())
     profiles = language.learn_profiles(train, "doc_id", "text", "lang")
     slim = docs.select("text", carried(docs, "text", name="_doc"))
-    known = language.predict(slim, profiles, with_text=True).where(F.col("lang_pred") != language.UNKNOWN)
+    known = language.predict(slim, profiles, with_text=True).where("has_letter")
     own = {"text": F.col("text"), "lang": F.coalesce(F.col("_doc")["lang"], F.col("lang_pred"))}
     return restored(known, docs, {}, name="_doc", **own)
 

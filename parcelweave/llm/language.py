@@ -47,6 +47,10 @@ def _grams(symbols: np.ndarray) -> np.ndarray:
     return np.concatenate((a[a != 1], two, three))
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and len(_symbols(text)) > 0
+
+
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of a text and their counts, block by block for very long texts."""
     symbols = _symbols(text)
@@ -141,7 +145,7 @@ class Ranks:
 def predict(
     docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", size: int = PROFILE_GRAMS, with_text: bool = False,
 ) -> DataFrame:
-    """`docs`, without its text unless `with_text`, with `lang_pred` and `score`.
+    """`docs`, without its text unless `with_text`, with `lang_pred` and `score`; `with_text` also adds `has_letter`.
 
     The language is the profile of least distance, ties by name; the score is the second distance over the sum of both:
     0.5 for a tie, near 1 for a clear case. Null, empty and letterless texts, and all texts if no profile was learned,
@@ -155,16 +159,20 @@ def predict(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [ranks.predict(t.as_py()) for t in batch.column("_text")]
+            # A score above 0 needs a letter, so only the others are looked at again.
+            lettered = [x > 0 or with_text and has_letter(t.as_py()) for (_, x), t in zip(found, batch.column("_text"), strict=True)]
             own = batch.drop_columns(list(drop)) if drop else batch
             yield pa.RecordBatch.from_arrays(
-                [*own.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
-                names=[*own.schema.names, "_lang", "_score"])
+                [*own.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64()),
+                 pa.array(lettered, pa.bool_())],
+                names=[*own.schema.names, "_lang", "_score", "_letter"])
 
     slim = docs.select(F.col(text).alias("_text"), carried(docs, text))
-    out = slim.mapInArrow(score, schema_of(slim, drop, "_lang string, _score double"))
-    own = {text: F.col("_text")} if with_text else {}
-    return restored(out, docs if with_text else docs.drop(text), {
-        "lang_pred": F.col("_lang"), "score": F.col("_score")}, **own)
+    out = slim.mapInArrow(score, schema_of(slim, drop, "_lang string, _score double, _letter boolean"))
+    new = {"lang_pred": F.col("_lang"), "score": F.col("_score")}
+    if not with_text:
+        return restored(out, docs.drop(text), new)
+    return restored(out, docs, new | {"has_letter": F.col("_letter")}, **{text: F.col("_text")})
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -3,11 +3,13 @@ import sys
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import corpus_pipeline  # noqa: E402
 import plain  # noqa: E402
+from parcelweave.llm import language  # noqa: E402
 
 ROWS = [r for r in plain.AWKWARD if r[0] not in (6,)] + [(100 + i, f"clean text number {i} " + f"word{i} " * 9, "en", "a") for i in range(30)]
 
@@ -65,6 +67,19 @@ def test_run_over_a_folder(spark, tmp_path):
         "language ID", "SimHash near-dedup", "substring dedup", "mixing", "packing"]
 
 
+def test_texts_with_letters_stay_without_a_profile(spark, tmp_path):
+    letters = Counter((r[0], r[1]) for r in ROWS if any(c.isalpha() for c in r[1] or ""))
+    bare = plain.documents(spark, [(*r[:2], None, r[3]) for r in ROWS], clashing=False)
+    labelled = plain.documents(spark, [(*r[:2], "und", r[3]) for r in ROWS], clashing=False)
+    only_held = bare.withColumn("lang", F.when(language.held_out(), F.lit("en")))
+    for docs in (bare, labelled, only_held):
+        kept = corpus_pipeline.language_id(spark, docs, str(tmp_path)).collect()
+        assert Counter((r["doc_id"], r["text"]) for r in kept) == letters
+        assert {r["lang"] for r in kept} <= {"und", "en"}
+    bare.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
 def test_an_empty_corpus(spark, tmp_path):
     docs = plain.documents(spark, [])
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
