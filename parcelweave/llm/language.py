@@ -17,6 +17,8 @@ from parcelweave.llm.frames import carried, chunks, crc_of_id, restored, schema_
 PROFILE_GRAMS = 300
 # Documents of a language that its profile is learned from: those first in the order of the id's hash.
 SAMPLE_DOCS = 2_000
+# Ids are first counted by the leading bits of their hash, so that only those near the sample are sorted.
+BUCKET_BITS = 16
 UNKNOWN = "und"
 BLOCK = 1 << 20
 _LETTERS: list[np.ndarray] = []
@@ -76,6 +78,24 @@ def _most_frequent(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarra
     return keys[np.lexsort((keys, -counts))[:size]]
 
 
+def _near_ids(known: DataFrame, sample: int) -> DataFrame:
+    """(lang, at, id, n) of (lang, at, id): one row an id with its count, up to the hash bucket that fills the sample."""
+    bucket = F.shiftright("at", 64 - BUCKET_BITS)
+    before = Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = known.groupBy("lang", bucket.alias("bucket")).agg(F.count("*").alias("n")).withColumn(
+        "before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < sample).groupBy("lang").agg(
+        F.max("bucket").alias("last"))
+    return known.join(F.broadcast(cuts), "lang").where(bucket <= F.col("last")).groupBy("lang", "at", "id").agg(
+        F.count("*").alias("n"))
+
+
+def _first_ids(known: DataFrame, sample: int) -> DataFrame:
+    """(lang, id) of the first `sample` rows of each language of (lang, at, id), in the order of `at` and id."""
+    before = Window.partitionBy("lang").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, -1)
+    return _near_ids(known, sample).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(
+        F.col("before") < sample).select("lang", "id")
+
+
 def learn_profiles(
     docs: DataFrame, doc_id: str, text: str, lang: str, size: int = PROFILE_GRAMS, sample: int = SAMPLE_DOCS,
 ) -> dict[str, list[int]]:
@@ -83,10 +103,9 @@ def learn_profiles(
     ship_package(docs.sparkSession)
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id)).alias("at"), F.col(doc_id).alias("id"))
-    first = Window.partitionBy("lang").orderBy("at", "id")
-    chosen = known.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample).select("lang", "id")
+    chosen = _first_ids(known, sample)
     texts = docs.select(F.col(lang).alias("lang"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    texts = texts.join(chosen.distinct(), ["lang", "id"], "left_semi").select("lang", "text")
+    texts = texts.join(chosen, ["lang", "id"], "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -204,6 +204,20 @@ def plain_grams(text):
     return out
 
 
+def test_first_ids_against_a_full_sort(spark):
+    rows = [(lang, i) for i in range(3_000) for lang in ("en", "fr")[:1 + (i % 7 == 0)]] + [("en", 5)] * 900 + [("de", None)] * 3
+    known = spark.createDataFrame(rows, "lang string, id bigint").selectExpr("lang", "xxhash64(id) AS at", "id").repartition(4)
+    held = {}
+    for r in known.collect():
+        held.setdefault(r["lang"], []).append((r["at"], r["id"] is not None, r["id"]))
+    for sample in (1, 50, 1_500, 10_000):
+        got = language._first_ids(known, sample)
+        want = {(lang, i) for lang, found in held.items() for _, _, i in sorted(found, key=lambda x: x[:2])[:sample]}
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    many = spark.range(300_000).selectExpr("'en' AS lang", "xxhash64(id) AS at", "id")
+    assert 100 <= language._near_ids(many, 100).count() < 200  # all that one task sorts
+
+
 def test_long_texts_are_counted_in_blocks(monkeypatch):
     text = "Ein Wort, zwei Wörter; " * 50
     whole = language.gram_counts(text)
