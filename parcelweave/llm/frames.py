@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 from parcelweave.session import materialize, ship_package
 
 __all__ = ["materialize", "ship_package", "carried", "restored", "chunks", "texts_of", "table", "crc_of_id", "schema_of",
-           "labelled_sample"]
+           "labelled_sample", "released"]
 
 # Text bytes that one vectorised step handles at once; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
@@ -68,6 +71,27 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+@contextmanager
+def released(*forget) -> Iterator[None]:
+    """Calls `forget` and gives memory back at the end of a task: its Python worker goes on to tasks of other stages."""
+    try:
+        yield
+    finally:
+        for call in forget:
+            call()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _trim()
+
+
+def _trim() -> None:
+    """Ask the C library, where it can, to return freed heap pages to the system."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: str, sample: int) -> DataFrame:
     """(at, text, label) of the first `sample` labelled documents by the hash of their id; of several labels the largest."""
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelweave.llm import chat, language, mixing, packing, quality, search, simhash, substrings, toxicity, versions
+from parcelweave.llm import (
+    alignment, chat, codes, language, mixing, packing, pages, quality, search, simhash, substrings, toxicity, versions,
+)
 from parcelweave.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,3 +111,22 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], stored.schema)
     return chat.read_back(chat.format_windows(stored.unionByName(extra)))
+
+
+@query("op12_token_alignment")
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align_tokenizers(
+        docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op13_vector_codes", codes.CHECK_SQL)
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return codes.vector_codes(rows).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+@query("op11_html_extraction")
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return pages.main_text(rows).select("page_id", "url", "text", "n_chars")
