@@ -9,14 +9,17 @@ updated.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +29,17 @@ from parcelweave.llm.frames import carried, chunks, materialize, released, resto
 
 # Pairs that hold more than this part of all links are looked up in a shared table; there are no more of them than that.
 SHARED_PAIRS = 1 << 16
-# A text longer than this is given to the tokenizers in pieces, cut between words, where no token can cross.
-PIECE_CHARS = 1 << 16
+# Texts are given to the tokenizers word by word, cut at a single space between two words, where no token can cross; words
+# are kept for a task, so many at most, and looked up together for so many bytes of text.
+CACHED_WORDS = 200_000
+MAX_CACHED_CHARS = 64
+LOOKUP_BYTES = 4 << 20
+ID_DIGITS = 6
+# Fixed value: the pattern by which byte-level tokenizers split a text before merging.
+BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+MAX_RANKED_CHARS = 256
+# Ends that the first probe along a diagonal compares; shorter runs are followed end by end.
+PROBE = 8
 BETWEEN_WORDS = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
 
 
@@ -41,16 +53,16 @@ def align(ends_a: array, ends_b: array) -> tuple[list[tuple[int, int, int]], lis
     n_a, n_b = len(ends_a), len(ends_b)
     while i < n_a:
         most = min(n_a - i, n_b - j)
-        n, step, grows = 0, 1, True
-        while step and n < most:
-            step = min(step, most - n)
-            low = i + n
-            if ends_a[low:low + step] == ends_b[j + n:j + n + step]:
+        n, step = 0, PROBE
+        while step <= most - n and ends_a[i + n:i + n + step] == ends_b[j + n:j + n + step]:
+            n += step
+            step *= 2
+        while step > PROBE:
+            step //= 2
+            if step <= most - n and ends_a[i + n:i + n + step] == ends_b[j + n:j + n + step]:
                 n += step
-                step = step * 2 if grows else step // 2
-            else:
-                grows = False
-                step //= 2
+        while n < most and ends_a[i + n] == ends_b[j + n]:
+            n += 1
         if n:
             runs.append((i, j, n))
             i, j = i + n, j + n
@@ -74,18 +86,29 @@ def align(ends_a: array, ends_b: array) -> tuple[list[tuple[int, int, int]], lis
     return runs, groups, link_a, link_b
 
 
-def grouped(ids_a: list[str], ids_b: list[str], runs: list[tuple], groups: list[tuple]) -> str:
-    """`a1,a2|b1;a3|b2`: the ids of all groups in order."""
-    out: list[str] = []
-    others = iter(groups)
-    other = next(others, None)
-    for i, j, n in [*runs, (len(ids_a), len(ids_b), 0)]:
-        while other is not None and other[0] < i:
-            a, past_a, b, past_b = other
-            out.append(f"{','.join(ids_a[a:past_a])}|{','.join(ids_b[b:past_b])}")
-            other = next(others, None)
-        out.extend(map("|".join, zip(ids_a[i:i + n], ids_b[j:j + n], strict=True)))
-    return ";".join(out)
+def _gather(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begins[k], begins[k] + 1, ... (sizes[k] of them) for each k."""
+    return np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def grouped(ids_a: np.ndarray, ids_b: np.ndarray, past_a: np.ndarray, past_b: np.ndarray) -> bytes:
+    """`a1,a2|b1;a3|b2`: the ids of all groups, group k ending before ids_a[past_a[k]] and ids_b[past_b[k]]."""
+    n_a, n_b = (np.diff(past, prepend=0) for past in (past_a, past_b))
+    ids = np.empty(len(ids_a) + len(ids_b), dtype=np.int64)
+    mark = np.full(len(ids), ord(","), dtype=np.uint8)
+    ids[np.arange(len(ids_a)) + np.repeat(past_b - n_b, n_a)] = ids_a
+    ids[np.arange(len(ids_b)) + np.repeat(past_a, n_b)] = ids_b
+    mark[past_a + past_b - n_b - 1] = ord("|")
+    mark[past_a + past_b - 1] = ord(";")
+    signs = np.empty((len(ids), ID_DIGITS + 1), dtype=np.uint8)
+    rest = ids.astype(np.int32)
+    for at in range(ID_DIGITS - 1, -1, -1):
+        rest, digit = np.divmod(rest, 10)
+        signs[:, at] = digit + ord("0")
+    signs[:, ID_DIGITS] = mark
+    lengths = np.searchsorted(10 ** np.arange(1, ID_DIGITS), ids, side="right") + 1
+    shown = np.arange(ID_DIGITS + 1) >= (ID_DIGITS - lengths)[:, None]
+    return signs[shown].tobytes()[:-1]
 
 
 def _byte_of() -> dict[str, int]:
@@ -111,39 +134,74 @@ class TokenPair:
                         for i, p in enumerate(names)]
         self.sizes_a = np.array([len(x) for x in self.bytes_a], dtype=np.int64)
         self.sizes_b = np.array([len(x) for x in self.bytes_b], dtype=np.int64)
-        self.names = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
-
-    def ids(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of each text by both tokenizers."""
-        parts, of = [], []
-        for n, text in enumerate(texts):
-            for part in _cut(text):
-                parts.append(part)
-                of.append(n)
-        out: list[tuple[list[int], list[int]]] = [([], []) for _ in texts]
-        found_a = self.a.encode_batch([" " + p for p in parts], add_special_tokens=False)
-        for n, a, b in zip(of, found_a, self.b.encode(parts, num_threads=1), strict=True):
-            out[n][0].extend(a.ids)
-            out[n][1].extend(b)
+        self.ranked = self._as_ranks(json.loads(byte_level))
+        if max(len(self.bytes_a), len(self.bytes_b)) > 10**ID_DIGITS:
+            raise ValueError("a vocabulary of more than a million tokens")
+        self.words: dict[str, tuple[bytes, bytes] | None] = {}
+
+    def forget(self) -> None:
+        self.words = {}
+
+    def _as_ranks(self, spec: dict) -> tiktoken.Encoding | None:
+        """The same vocabulary as ranks, which encode faster, if its merges are numbered in their order."""
+        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        vocabulary, added = spec["model"]["vocab"], {t["content"] for t in spec["added_tokens"]}
+        made = [vocabulary.get(left + right) for left, right in merges]
+        if made != list(range(256, 256 + len(made))) or not spec["pre_tokenizer"].get("use_regex") or spec["normalizer"]:
+            return None
+        ranks = {self.bytes_a[i]: i for token, i in vocabulary.items() if token not in added}
+        return tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL_SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def _byte_level(self, word: str) -> list[int]:
+        if self.ranked is not None and len(word) <= MAX_RANKED_CHARS:
+            return self.ranked.encode_ordinary(word)
+        return self.a.encode(word, add_special_tokens=False).ids
+
+    def _encoded(self, words: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """The ids of each word by both tokenizers, as 32-bit numbers; None if its bytes are not spelled out."""
+        raw = [(" " + w).encode() for w in words]
+        lengths = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        spelled, ids = np.ones(len(words), dtype=bool), []
+        lists_a = [self._byte_level(" " + w) for w in words]
+        for lists, table, sizes in ((lists_a, self.bytes_a, self.sizes_a), (self.b.encode(words, num_threads=1), self.bytes_b, self.sizes_b)):
+            flat = np.fromiter(chain.from_iterable(lists), dtype=np.int32)
+            past = np.concatenate(([0], np.cumsum(np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)))))
+            spelled &= np.diff(np.concatenate(([0], np.cumsum(sizes[flat])))[past]) == lengths
+            if b"".join(map(table.__getitem__, flat.tolist())) != b"".join(raw):
+                spelled &= [b"".join(map(table.__getitem__, x)) == r for x, r in zip(lists, raw, strict=True)]
+            held, bounds = flat.tobytes(), (4 * past).tolist()
+            ids.append([held[x:y] for x, y in zip(bounds, bounds[1:], strict=False)])
+        return [(a, b) if ok else None for a, b, ok in zip(*ids, spelled.tolist(), strict=True)]
+
+    def _of_words(self, words: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """The ids of each different word, looked up or encoded."""
+        new = [w for w in words if w not in self.words]
+        if len(self.words) + len(new) > CACHED_WORDS:
+            self.words, new = {}, words
+        found = dict(zip(new, self._encoded(new), strict=True))
+        out = [found[w] if w in found else self.words[w] for w in words]
+        self.words.update((w, ids) for w, ids in found.items() if len(w) <= MAX_CACHED_CHARS)
         return out
 
-    def same(self, text: str, a: list[int], b: list[int]) -> bool:
-        """Whether both tokenizations spell the text after a space."""
-        raw = b" " + text.encode()
-        return b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b))
-
-
-def _cut(text: str) -> Iterator[str]:
-    """Parts of a long text, cut at a single space between two words; the space is the one both tokenizers add."""
-    start = 0
-    while len(text) - start > PIECE_CHARS:
-        gap = BETWEEN_WORDS.search(text, start + PIECE_CHARS)
-        if not gap:
-            break
-        yield text[start:gap.start()]
-        start = gap.end()
-    if start < len(text):
-        yield text[start:]
+    def ids(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of each text by both tokenizers; none if one of them does not spell out its bytes."""
+        lists = [BETWEEN_WORDS.split(t) if t else [] for t in texts]
+        words = pa.array(list(chain.from_iterable(lists)), pa.string()).dictionary_encode()
+        found = self._of_words(words.dictionary.to_pylist())
+        code = words.indices.to_numpy()
+        past = np.concatenate(([0], np.cumsum([len(x) for x in lists], dtype=np.int64)))
+        missing = np.concatenate(([0], np.cumsum(np.array([f is None for f in found], dtype=np.int64)[code])))
+        whole = missing[past[1:]] == missing[past[:-1]]
+        sides = []
+        for side in (0, 1):
+            held = [f[side] if f else b"" for f in found]
+            sizes = np.fromiter(map(len, held), dtype=np.int64, count=len(held)) // 4
+            begins = np.cumsum(sizes) - sizes
+            n = sizes[code]
+            flat = np.frombuffer(b"".join(held), dtype=np.int32)[_gather(begins[code], n)].astype(np.int64)
+            bounds = np.concatenate(([0], np.cumsum(n)))[past].tolist()
+            sides.append([flat[x:y if ok else x] for x, y, ok in zip(bounds, bounds[1:], whole.tolist(), strict=False)])
+        return list(zip(*sides, strict=True))
 
 
 _LOADED: dict[int, TokenPair] = {}
@@ -156,22 +214,20 @@ def _pair(byte_level: str, pieces: bytes) -> TokenPair:
     return _LOADED[key]
 
 
-def _aligned_text(tokens: TokenPair, text: str, a: list[int], b: list[int]) -> tuple:
+def _aligned_text(tokens: TokenPair, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple:
     """n_a, n_b, n_groups, n_links, digest of the groups, distinct id pairs linked, and how often each is."""
-    if not a or not tokens.same(text, a, b):
+    if not len(ids_a):
         return 0, 0, 0, 0, "", np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    ids_a, ids_b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
     runs, groups, link_a, link_b = align(
         array("q", np.cumsum(tokens.sizes_a[ids_a]).tobytes()), array("q", np.cumsum(tokens.sizes_b[ids_b]).tobytes()))
-    names = tokens.names.__getitem__
-    digest = hashlib.sha256(grouped(list(map(names, a)), list(map(names, b)), runs, groups).encode()).hexdigest()
     first = np.array(runs, dtype=np.int64).reshape(-1, 3)
-    before = np.cumsum(first[:, 2]) - first[:, 2]
-    nth = np.arange(first[:, 2].sum()) - np.repeat(before, first[:, 2])
-    at_a = np.concatenate((np.repeat(first[:, 0], first[:, 2]) + nth, np.array(link_a, dtype=np.int64)))
-    at_b = np.concatenate((np.repeat(first[:, 1], first[:, 2]) + nth, np.array(link_b, dtype=np.int64)))
+    others = np.array(groups, dtype=np.int64).reshape(-1, 4)
+    one_a, one_b = _gather(first[:, 0], first[:, 2]), _gather(first[:, 1], first[:, 2])
+    past_a, past_b = (np.sort(np.concatenate((one + 1, others[:, k]))) for one, k in ((one_a, 1), (one_b, 3)))
+    digest = hashlib.sha256(grouped(ids_a, ids_b, past_a, past_b)).hexdigest()
+    at_a, at_b = np.concatenate((one_a, np.frombuffer(link_a, dtype=np.int64))), np.concatenate((one_b, np.frombuffer(link_b, dtype=np.int64)))
     pairs, times = np.unique(ids_a[at_a] * len(tokens.bytes_b) + ids_b[at_b], return_counts=True)
-    return len(a), len(b), len(nth) + len(groups), len(at_a), digest, pairs, times
+    return len(ids_a), len(ids_b), len(past_a), len(at_a), digest, pairs, times
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -187,11 +243,11 @@ def _aligned(docs: DataFrame, byte_level: str, pieces: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _pair(*shared.value)
         row = TaskContext.get().partitionId() << 40
-        with released():
+        with released(tokens.forget):
             for batch in batches:
-                for rows in chunks(batch, "_text"):
+                for rows in chunks(batch, "_text", LOOKUP_BYTES):
                     texts = [t or "" for t in rows.column("_text").to_pylist()]
-                    found = [_aligned_text(tokens, t, a, b) for t, (a, b) in zip(texts, tokens.ids(texts), strict=True)]
+                    found = [_aligned_text(tokens, a, b) for a, b in tokens.ids(texts)]
                     columns = list(zip(*found, strict=True))
                     own = rows.drop_columns(["_text"])
                     yield pa.RecordBatch.from_arrays(

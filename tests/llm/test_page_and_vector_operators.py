@@ -88,13 +88,16 @@ def test_alignment_of_random_ends():
         assert links == {(i, j) for i, x in enumerate(spans[0]) for j, y in enumerate(spans[1]) if max(x[0], y[0]) < min(x[1], y[1])}
 
 
-def test_long_texts_are_cut_without_a_change(pair, monkeypatch):
+def test_words_have_the_tokens_of_the_whole_text(pair, monkeypatch):
+    assert pair.ranked is not None
     rng = random.Random(5)
-    text = "".join(rng.choices(["word", " ", "  ", "\n", "Ünï", ". ", "42", " ▁", "'s", "漢"], k=3000))
-    whole = pair.ids([text])
-    monkeypatch.setattr(alignment, "PIECE_CHARS", 20)
-    assert len(list(alignment._cut(text))) > 20
-    assert pair.ids([text]) == whole
+    texts = ["".join(rng.choices(["word", " ", "  ", "\n", "Ünï", ". ", "42", "'s", "漢", " a", "_", "\u00a0", "don't", "!?"], k=3000)) for _ in range(6)]
+    texts += ["x" * 3000, "no-blank\n" * 500, "".join(map(chr, range(1, 0x2581)))]
+    for cached in (1 << 20, 10):
+        monkeypatch.setattr(alignment, "CACHED_WORDS", cached)
+        for text, (a, b) in zip(texts, pair.ids(texts), strict=True):
+            assert a.tolist() == pair.a.encode(" " + text, add_special_tokens=False).ids and b.tolist() == pair.b.encode(text)
+        pair.forget()
 
 
 # Vector codes
