@@ -12,13 +12,24 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelweave.session import materialize, ship_package
+from parcelweave import session
+from parcelweave.session import materialize
 
 __all__ = ["materialize", "ship_package", "carried", "restored", "chunks", "texts_of", "table", "crc_of_id", "schema_of",
-           "labelled_sample", "released"]
+           "labelled_sample", "released", "text_digest"]
 
 # Text bytes that one vectorised step handles at once; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
+# Spark's own bound of a batch that goes to or from a Python worker is 64 MB; a session that keeps it gets this one.
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+SPARKS_BATCH, OWN_BATCH = 64 << 20, str(4 << 20)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the Python workers and bound the batches they hold."""
+    session.ship_package(spark)
+    if spark.conf.get(BATCH_SETTING) in (f"{SPARKS_BATCH}b", str(SPARKS_BATCH)):
+        spark.conf.set(BATCH_SETTING, OWN_BATCH)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +41,11 @@ def crc_of_id(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
 
 
+def text_digest(text: str) -> Column:
+    """128 bits that tell texts apart; null has none, and is told from the empty text."""
+    return F.coalesce(F.unhex(F.md5(F.col(text).cast("binary"))), F.lit(b""))
+
+
 def carried(df: DataFrame, *apart: str, name: str = "_rest") -> Column:
     """All columns but `apart` as one struct, so that no name of the input can clash with an operator's own."""
     taken = {c.lower() for c in apart}
@@ -74,13 +90,13 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 @contextmanager
 def released(*forget) -> Iterator[None]:
     """Calls `forget` and gives memory back at the end of a task: its Python worker goes on to tasks of other stages."""
+    pa.set_memory_pool(pa.system_memory_pool())  # what the C library frees can be trimmed
     try:
         yield
     finally:
         for call in forget:
             call()
         gc.collect()
-        pa.default_memory_pool().release_unused()
         _trim()
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelweave.llm.frames import carried, chunks, crc_of_id, restored, schema_of, ship_package
+from parcelweave.llm.frames import carried, chunks, crc_of_id, released, restored, schema_of, ship_package
 
 PROFILE_GRAMS = 300
 # Documents of a language that its profile is learned from: those first in the order of the id's hash.
@@ -176,15 +176,18 @@ def predict(
     drop = () if with_text else ("_text",)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [ranks.predict(t.as_py()) for t in batch.column("_text")]
-            # A score above 0 needs a letter, so only the others are looked at again.
-            lettered = [x > 0 or with_text and has_letter(t.as_py()) for (_, x), t in zip(found, batch.column("_text"), strict=True)]
-            own = batch.drop_columns(list(drop)) if drop else batch
-            yield pa.RecordBatch.from_arrays(
-                [*own.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64()),
-                 pa.array(lettered, pa.bool_())],
-                names=[*own.schema.names, "_lang", "_score", "_letter"])
+        with released():
+            for batch in batches:
+                for rows in chunks(batch, "_text"):
+                    texts = rows.column("_text").to_pylist()
+                    found = [ranks.predict(t) for t in texts]
+                    # A score above 0 needs a letter, so only the others are looked at again.
+                    lettered = [x > 0 or with_text and has_letter(t) for (_, x), t in zip(found, texts, strict=True)]
+                    own = rows.drop_columns(list(drop)) if drop else rows
+                    yield pa.RecordBatch.from_arrays(
+                        [*own.columns, pa.array([x for x, _ in found], pa.string()),
+                         pa.array([x for _, x in found], pa.float64()), pa.array(lettered, pa.bool_())],
+                        names=[*own.schema.names, "_lang", "_score", "_letter"])
 
     slim = docs.select(F.col(text).alias("_text"), carried(docs, text))
     out = slim.mapInArrow(score, schema_of(slim, drop, "_lang string, _score double, _letter boolean"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from parcelweave.llm.frames import carried, chunks, restored, schema_of, ship_package
+from parcelweave.llm.frames import carried, chunks, released, restored, schema_of, ship_package
 
 SEQUENCE_TOKENS = 4096
 MAX_SEGMENTS = 256
@@ -192,7 +192,7 @@ def pack_pieces(
                 [*(c.chunk(0) for c in own.columns), *map(pa.array, facts.T.copy()), pa.array(sequence), pa.array(offset)],
                 names=[*own.schema.names, "_start", "_length", "_crc", "_all", "_loss", "_sequence", "_offset"])
 
-        try:
+        with released(*(tokens.forget for tokens in _LOADED.values())):
             for batch in batches:
                 for rows in chunks(batch, text, LOOKUP_BYTES):
                     ids, masks = pieces_of(rows)
@@ -213,11 +213,6 @@ def pack_pieces(
                         waiting, held = [], 0
             if held:
                 yield settle()
-        finally:
-            # A Python worker goes on to tasks of other stages, which need its memory.
-            for tokens in _LOADED.values():
-                tokens.forget()
-            pa.default_memory_pool().release_unused()
 
     new = "_start bigint, _length bigint, _crc bigint, _all bigint, _loss bigint, _sequence bigint, _offset bigint"
     return docs.mapInArrow(run, schema_of(docs, (text,), new))

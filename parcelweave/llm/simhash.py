@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelweave.llm.components import components
-from parcelweave.llm.frames import carried, chunks, materialize, restored, schema_of, ship_package, texts_of
+from parcelweave.llm.frames import carried, chunks, materialize, released, restored, schema_of, ship_package, text_digest, texts_of
 from parcelweave.llm.words import split_words
 
 SHINGLE_WORDS = 3
@@ -54,11 +54,12 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE_WOR
     ship_package(docs.sparkSession)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows in chunks(batch, text):
-                found = pa.array(_majorities(texts_of(rows, text), shingle, seed).view(np.int64))
-                kept = rows.drop_columns([text])
-                yield pa.RecordBatch.from_arrays([*kept.columns, found], names=[*kept.schema.names, "_fp"])
+        with released():
+            for batch in batches:
+                for rows in chunks(batch, text):
+                    found = pa.array(_majorities(texts_of(rows, text), shingle, seed).view(np.int64))
+                    kept = rows.drop_columns([text])
+                    yield pa.RecordBatch.from_arrays([*kept.columns, found], names=[*kept.schema.names, "_fp"])
 
     return docs.mapInArrow(score, schema_of(docs, (text,), "_fp bigint"))
 
@@ -123,11 +124,11 @@ def deduplicated(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS,
     max_bits: int = MAX_BITS, seed: int = SEED,
 ) -> DataFrame:
-    """One document of each component, unchanged: the smallest id, of repeated ids the least text hash, of equal rows one.
+    """One document of each component, unchanged: the smallest id, of repeated ids the least text digest (128 bits), of equal rows one.
 
     Null ids count as the largest. The texts are shuffled once, for the join with the chosen rows.
     """
-    keys = {"_none": F.col(doc_id).isNull(), "_id": F.coalesce(F.col(doc_id), F.lit(0)), "_tag": F.hash(text)}
+    keys = {"_none": F.col(doc_id).isNull(), "_id": F.coalesce(F.col(doc_id), F.lit(0)), "_tag": text_digest(text)}
     rows = docs.select(*[v.alias(k) for k, v in keys.items()], F.struct("*").alias("_row"))
     prints = materialize(fingerprints(
         docs.select(*[v.alias(k) for k, v in keys.items()], F.col(text).alias("_text")), "_text", shingle, seed),

@@ -3,7 +3,7 @@
 Every window of `window` words has a minimiser: the least hash among its runs of `MER_WORDS` words. Consecutive windows
 that share one minimiser occurrence are one packed string, whose bucket is that hash. Equal windows have equal
 minimisers, so they meet in one bucket, and no occurrence covers two equal windows, so a minimiser that occurs once in
-the corpus has no repeated window. Strings of one bucket with one 64-bit hash are equal: a string that occurs again is
+the corpus has no repeated window. Strings of one bucket with one 128-bit digest are equal: a string that occurs again is
 repeated as a whole, in however many copies. Of the different strings of a bucket one each travels there, where windows
 are sorted by hash and equal neighbours are settled on their bytes.
 
@@ -21,14 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelweave.llm.frames import carried, chunks, materialize, restored, schema_of, ship_package, texts_of
+from parcelweave.llm.frames import carried, chunks, materialize, released, restored, schema_of, ship_package, text_digest, texts_of
 from parcelweave.llm.words import Words, split_words, window_hashes, word_hashes
 
 WINDOW_WORDS = 35
 MER_WORDS = 5
 HOT_SPANS = 2_000
-# Packed strings that one sorting step handles at once, plus the rest of its last bucket.
-SORT_ROWS = 8_192
+# Bytes of packed strings that one sorting step handles at once, plus the rest of its last bucket.
+SORT_BYTES = 2 << 20
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -63,50 +63,51 @@ def _spans(words: Words, window: int, mer: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _minimisers(docs: DataFrame, window: int, mer: int) -> DataFrame:
-    """(bucket, name, _id, _tag, at): minimiser and hash of the packed string of each super-k-mer, whose first word times
+    """(bucket, name, _id, _tag, at): minimiser and digest of the packed string of each super-k-mer, whose first word times
     64 plus its number of windows is `at`."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows in chunks(batch, "_text"):
-                words = split_words(texts_of(rows, "_text"))
-                text, at, n, value = _spans(words, window, mer)
-                first = words.first[text] + at
-                data, name = words.data, xxhash.xxh3_64_intdigest
-                names = np.fromiter((name(data[a:b]) for a, b in zip(
-                    words.starts[first].tolist(), words.ends[first + n + window - 2].tolist(), strict=True)),
-                    dtype=np.uint64, count=len(first))
-                of = pa.array(text)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(value), pa.array(names.view(np.int64)), rows.column("_id").take(of),
-                     rows.column("_tag").take(of), pa.array(at * 64 + n)], names=["bucket", "name", "_id", "_tag", "at"])
+        with released():
+            for batch in batches:
+                for rows in chunks(batch, "_text"):
+                    words = split_words(texts_of(rows, "_text"))
+                    text, at, n, value = _spans(words, window, mer)
+                    first = words.first[text] + at
+                    data, name = words.data, xxhash.xxh3_128_digest
+                    names = [name(data[a:b]) for a, b in zip(
+                        words.starts[first].tolist(), words.ends[first + n + window - 2].tolist(), strict=True)]
+                    of = pa.array(text)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(value), pa.array(names, pa.binary()), rows.column("_id").take(of),
+                         rows.column("_tag").take(of), pa.array(at * 64 + n)], names=["bucket", "name", "_id", "_tag", "at"])
 
     kept = docs.select("_id", "_tag", "_text")
-    return kept.mapInArrow(find, f"bucket bigint, name bigint, {schema_of(kept, ('_text',))}, at bigint")
+    return kept.mapInArrow(find, f"bucket bigint, name binary, {schema_of(kept, ('_text',))}, at bigint")
 
 
 def _pack(met: DataFrame, window: int) -> DataFrame:
     """(bucket, packed, times, _id, _tag, word) for the super-k-mers listed in `spans`."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows in chunks(batch, "_text"):
-                words = split_words(texts_of(rows, "_text"))
-                lists = rows.column("spans")
-                sizes = _lengths(lists)
-                text = np.repeat(np.arange(len(sizes)), sizes)
-                flat = lists.flatten()
-                at = flat.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
-                first = words.first[text] + at // 64
-                last = first + at % 64 + window - 2
-                data = words.data
-                packed = [data[a:b] for a, b in zip(
-                    words.starts[first].tolist(), words.ends[last].tolist(), strict=True)]
-                of = pa.array(text)
-                yield pa.RecordBatch.from_arrays(
-                    [flat.field(0), pa.array(packed, pa.binary()), flat.field(2), rows.column("_id").take(of),
-                     rows.column("_tag").take(of), pa.array(at // 64)],
-                    names=["bucket", "packed", "times", "_id", "_tag", "word"])
+        with released():
+            for batch in batches:
+                for rows in chunks(batch, "_text"):
+                    words = split_words(texts_of(rows, "_text"))
+                    lists = rows.column("spans")
+                    sizes = _lengths(lists)
+                    text = np.repeat(np.arange(len(sizes)), sizes)
+                    flat = lists.flatten()
+                    at = flat.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
+                    first = words.first[text] + at // 64
+                    last = first + at % 64 + window - 2
+                    data = words.data
+                    packed = [data[a:b] for a, b in zip(
+                        words.starts[first].tolist(), words.ends[last].tolist(), strict=True)]
+                    of = pa.array(text)
+                    yield pa.RecordBatch.from_arrays(
+                        [flat.field(0), pa.array(packed, pa.binary()), flat.field(2), rows.column("_id").take(of),
+                         rows.column("_tag").take(of), pa.array(at // 64)],
+                        names=["bucket", "packed", "times", "_id", "_tag", "word"])
 
     own = schema_of(met.select("_id", "_tag"))
     return met.mapInArrow(pack, f"bucket bigint, packed binary, times bigint, {own}, word bigint")
@@ -116,21 +117,22 @@ def _digests(strings: DataFrame, window: int) -> DataFrame:
     """(digest, times, _id, _tag, word) for each window of distinct packed strings."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows in chunks(batch, "packed"):
-                words = split_words(texts_of(rows, "packed"))
-                n = np.diff(words.first) - window + 1
-                text = np.repeat(np.arange(len(n)), n)
-                nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                first = words.first[text] + nth
-                data, make = words.data, xxhash.xxh3_128_digest
-                found = [make(data[a:b]) for a, b in zip(
-                    words.starts[first].tolist(), words.ends[first + window - 1].tolist(), strict=True)]
-                of = rows.select(["times", "_id", "_tag"]).take(pa.array(text))
-                word = rows.column("word").to_numpy()[text] + nth
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found, pa.binary()), *of.columns, pa.array(word)],
-                    names=["digest", "times", "_id", "_tag", "word"])
+        with released():
+            for batch in batches:
+                for rows in chunks(batch, "packed"):
+                    words = split_words(texts_of(rows, "packed"))
+                    n = np.diff(words.first) - window + 1
+                    text = np.repeat(np.arange(len(n)), n)
+                    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    first = words.first[text] + nth
+                    data, make = words.data, xxhash.xxh3_128_digest
+                    found = [make(data[a:b]) for a, b in zip(
+                        words.starts[first].tolist(), words.ends[first + window - 1].tolist(), strict=True)]
+                    of = rows.select(["times", "_id", "_tag"]).take(pa.array(text))
+                    word = rows.column("word").to_numpy()[text] + nth
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(found, pa.binary()), *of.columns, pa.array(word)],
+                        names=["digest", "times", "_id", "_tag", "word"])
 
     return strings.mapInArrow(digest, f"digest binary, {schema_of(strings.select('times', '_id', '_tag'))}, word bigint")
 
@@ -185,7 +187,7 @@ def _repeated(packed: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray,
 def _counted(packed: DataFrame, window: int) -> DataFrame:
     """(_id, _tag, low, high): ranges of words covered by windows that occur again in their bucket.
 
-    Rows arrive sorted by bucket; whole buckets are sorted together, some thousand rows at a time.
+    Rows arrive sorted by bucket; whole buckets are sorted together, a few megabytes at a time.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,17 +204,18 @@ def _counted(packed: DataFrame, window: int) -> DataFrame:
                 [*(c.combine_chunks() for c in chosen.columns), pa.array(low), pa.array(low + n + window - 1)],
                 names=["_id", "_tag", "low", "high"])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, SORT_ROWS):
-                held.append(batch.slice(at, SORT_ROWS))
-                rows = pa.Table.from_batches(held)
-                bucket = rows.column("bucket").to_numpy()
-                cut = int(np.searchsorted(bucket, bucket[-1]))
-                if cut:
-                    yield settle(rows.slice(0, cut))
-                    held = rows.slice(cut).to_batches()
-        if held:
-            yield settle(pa.Table.from_batches(held))
+        with released():
+            for batch in batches:
+                for step in chunks(batch, "packed", SORT_BYTES):
+                    held.append(step)
+                    rows = pa.Table.from_batches(held)
+                    bucket = rows.column("bucket").to_numpy()
+                    cut = int(np.searchsorted(bucket, bucket[-1]))
+                    if cut:
+                        yield settle(rows.slice(0, cut))
+                        held = rows.slice(cut).to_batches()
+            if held:
+                yield settle(pa.Table.from_batches(held))
 
     return packed.mapInArrow(count, f"{schema_of(packed.select('_id', '_tag'))}, low bigint, high bigint")
 
@@ -221,31 +224,32 @@ def _kept(met: DataFrame, as_is: bool) -> DataFrame:
     """The text without the words of its ranges, and both counts."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows in chunks(batch, "_text"):
-                texts = texts_of(rows, "_text")
-                words = split_words(texts)
-                ranges = rows.column("ranges")
-                sizes = _lengths(ranges)
-                base = np.repeat(words.first[:-1], sizes)
-                flat = ranges.flatten()
-                steps = np.zeros(len(words.starts) + 1, dtype=np.int64)
-                np.add.at(steps, base + flat.field(0).to_numpy(zero_copy_only=False), 1)
-                np.add.at(steps, base + flat.field(1).to_numpy(zero_copy_only=False), -1)
-                stays = np.cumsum(steps)[:-1] == 0
-                left = np.concatenate(([0], np.cumsum(stays)))
-                lengths = words.ends - words.starts + 1
-                data = np.frombuffer(words.data, dtype=np.uint8)[np.repeat(stays, lengths)].tobytes()
-                bounds = np.concatenate(([0], np.cumsum(lengths * stays)))[words.first].tolist()
-                kept = [data[a:max(a, b - 1)] for a, b in zip(bounds, bounds[1:], strict=False)]
-                n = np.diff(words.first)
-                gone = n - np.diff(left[words.first])
-                if as_is:
-                    kept = [k if g else t for k, g, t in zip(kept, gone.tolist(), texts, strict=True)]
-                own = rows.drop_columns(["_text", "ranges"])
-                yield pa.RecordBatch.from_arrays(
-                    [*own.columns, pa.array(n), pa.array(gone), pa.array(kept, pa.binary()).cast(pa.string())],
-                    names=[*own.schema.names, "_n", "_gone", "_kept"])
+        with released():
+            for batch in batches:
+                for rows in chunks(batch, "_text"):
+                    texts = texts_of(rows, "_text")
+                    words = split_words(texts)
+                    ranges = rows.column("ranges")
+                    sizes = _lengths(ranges)
+                    base = np.repeat(words.first[:-1], sizes)
+                    flat = ranges.flatten()
+                    steps = np.zeros(len(words.starts) + 1, dtype=np.int64)
+                    np.add.at(steps, base + flat.field(0).to_numpy(zero_copy_only=False), 1)
+                    np.add.at(steps, base + flat.field(1).to_numpy(zero_copy_only=False), -1)
+                    stays = np.cumsum(steps)[:-1] == 0
+                    left = np.concatenate(([0], np.cumsum(stays)))
+                    lengths = words.ends - words.starts + 1
+                    data = np.frombuffer(words.data, dtype=np.uint8)[np.repeat(stays, lengths)].tobytes()
+                    bounds = np.concatenate(([0], np.cumsum(lengths * stays)))[words.first].tolist()
+                    kept = [data[a:max(a, b - 1)] for a, b in zip(bounds, bounds[1:], strict=False)]
+                    n = np.diff(words.first)
+                    gone = n - np.diff(left[words.first])
+                    if as_is:
+                        kept = [k if g else t for k, g, t in zip(kept, gone.tolist(), texts, strict=True)]
+                    own = rows.drop_columns(["_text", "ranges"])
+                    yield pa.RecordBatch.from_arrays(
+                        [*own.columns, pa.array(n), pa.array(gone), pa.array(kept, pa.binary()).cast(pa.string())],
+                        names=[*own.schema.names, "_n", "_gone", "_kept"])
 
     return met.mapInArrow(cut, schema_of(met, ("_text", "ranges"), "_n bigint, _gone bigint, _kept string"))
 
@@ -266,7 +270,7 @@ def remove_repeats(
     if not 0 < mer <= window or window - mer + 1 > 63:
         raise ValueError("a window holds 1 to 63 runs of mer words")
     ship_package(docs.sparkSession)
-    slim = docs.select(F.col(doc_id).alias("_id"), F.hash(text).alias("_tag"), F.col(text).alias("_text"),
+    slim = docs.select(F.col(doc_id).alias("_id"), text_digest(text).alias("_tag"), F.col(text).alias("_text"),
                        carried(docs, doc_id, text))
     spans = _minimisers(slim, window, mer)
     buckets = materialize(spans.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "minimisers")
@@ -282,7 +286,7 @@ def remove_repeats(
         F.collect_list(F.when(F.col("n") > hot_spans, span)).alias("hot")), "span-lists")
 
     def with_docs(found: DataFrame, how: str) -> DataFrame:
-        """Joins on id and text hash, a null id being an id; the shuffled documents are the same in each join."""
+        """Joins on id and text digest, a null id being an id; rows that agree in both have the same ranges."""
         found = found.withColumnsRenamed({"_id": "_id2", "_tag": "_tag2"})
         on = slim["_id"].eqNullSafe(found["_id2"]) & (slim["_tag"] == found["_tag2"])
         return slim.join(found, on, how).drop("_id2", "_tag2")

@@ -12,16 +12,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelweave.llm.frames import carried, restored, schema_of, ship_package
+from parcelweave.llm.frames import carried, released, restored, schema_of, ship_package
 from parcelweave.llm.words import mix
 
 # Cells of the sketch that is the fingerprint: they peel some 85 differing digests, more than two versions of a text of
@@ -40,6 +41,11 @@ MOST_CHARS = 96
 # Ranges of the document order for each shuffle partition, and at most.
 RANGES_A_PARTITION = 4
 MAX_RANGES = 20_000
+# Characters of texts, and cells of sketches, that one vectorised step handles at once.
+CHUNK_CHARS = 1 << 19
+CHUNK_CELLS = 1 << 19
+# A null id takes part as the least one, and its place among the ranges is beyond that of any other.
+LEAST, NO_ID = -(1 << 63), 2.0**64
 
 STOPS = [ord(c) for c in ".!?"]
 WIDE_STOPS = [ord(c) for c in "。！？"]
@@ -201,35 +207,168 @@ class Version:
         return (total - only) / (total + only) if total else 1.0
 
 
-def _facts(text: str, following: Version, own: Version) -> tuple:
-    half = len(text) // 2
-    edited = Version(text[:len(text) - half] + following.text[:half])
-    return (len(text), hashlib.sha256(edited.text.encode("utf-8", "surrogatepass")).hexdigest(), str(own.sketch()),
-            str(edited.sketch()), own.likeness(edited), own.likeness(following))
+def _gather(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begins[k], begins[k] + 1, ... (sizes[k] of them) for each k."""
+    return np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+class Texts:
+    """The digests of many texts at once: those of text i are keys[past[i]:past[i + 1]]."""
+
+    def __init__(self, texts: list[str]):
+        joined = "\n".join(texts)  # a line feed is in no piece
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        starts, ends = _borders(points) if len(points) else (np.empty(0, np.int64), np.empty(0, np.int64))
+        first = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+        of = np.searchsorted(first, starts, "right") - 1
+        width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        at = np.concatenate(([0], np.cumsum(width)))
+        data, digest = joined.encode("utf-8", "surrogatepass"), xxhash.xxh64_intdigest
+        spans = list(zip(at[starts].tolist(), at[ends].tolist(), strict=True))
+        self.keys = np.fromiter((digest(data[a:b]) for a, b in spans), dtype=np.uint64, count=len(spans))
+        # Equal pieces of a text are told apart by their number, which is the seed of their digest.
+        order = np.lexsort((self.keys, of))
+        again = (np.diff(of[order], prepend=-1) == 0) & (np.diff(self.keys[order], prepend=np.uint64(0)) == 0)
+        nth = np.arange(len(order)) - np.maximum.accumulate(np.where(again, 0, np.arange(len(order)))) if len(order) else order
+        for i, n in zip(order[nth > 0].tolist(), nth[nth > 0].tolist(), strict=True):
+            a, b = spans[i]
+            self.keys[i] = digest(data[a:b], n)
+        self.past = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(texts)))))
+        self.counts = np.diff(self.past)
+
+    def tables(self, which: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts, keys and checks of the sketches of some texts, one after the other."""
+        n = self.counts[which]
+        keys = self.keys[_gather(self.past[which], n)]
+        at = _cells(keys, np.repeat(np.arange(len(which)), n), cells).ravel()
+        counts = np.bincount(at, minlength=len(which) * cells).astype(np.int32)
+        sums, checks = np.zeros(len(counts), dtype=np.uint64), np.zeros(len(counts), dtype=np.uint32)
+        np.bitwise_xor.at(sums, at, np.tile(keys, TABLES))
+        np.bitwise_xor.at(checks, at, np.tile(_checks(keys), TABLES))
+        return counts, sums, checks
+
+
+def _cells(keys: np.ndarray, of: np.ndarray, cells: int) -> np.ndarray:
+    """The cell of each digest in each table, for sketches that lie one after the other."""
+    part = cells // TABLES
+    return (mix(keys ^ SALTS) % np.uint64(part)).view(np.int64) + OFFSETS * part + of * cells
+
+
+def _peeled(counts: np.ndarray, keys: np.ndarray, checks: np.ndarray, cells: int) -> np.ndarray:
+    """How many digests peeling recovers from each of the subtracted sketches, -1 where cells are left over."""
+    n = len(counts) // cells
+    found = np.zeros(n, dtype=np.int64)
+    look = np.flatnonzero(np.abs(counts) == 1)
+    for _ in range(cells + 1):
+        pure = look[(np.abs(counts[look]) == 1) & (_checks(keys[look]) == checks[look])]
+        if not len(pure):
+            break
+        of, own, signs = pure // cells, keys[pure], counts[pure]
+        order = np.lexsort((own, of))
+        of, own, signs = of[order], own[order], signs[order]
+        fresh = np.ones(len(of), dtype=bool)
+        fresh[1:] = (of[1:] != of[:-1]) | (own[1:] != own[:-1])
+        of, own, signs = of[fresh], own[fresh], signs[fresh]
+        found += np.bincount(of, minlength=n)
+        look = _cells(own, of, cells).ravel()
+        np.subtract.at(counts, look, np.tile(signs, TABLES))
+        np.bitwise_xor.at(keys, look, np.tile(own, TABLES))
+        np.bitwise_xor.at(checks, look, np.tile(_checks(own), TABLES))
+    left = (counts != 0) | (keys != 0)
+    found[left.reshape(n, cells).any(axis=1)] = -1
+    return found
+
+
+def likenesses(a: Texts, b: Texts, pairs: np.ndarray) -> np.ndarray:
+    """Shared pieces over all of text pairs[k, 0] of `a` and pairs[k, 1] of `b`, as `Version.likeness` gives them.
+
+    All pairs are tried with sketches of CELLS cells; those that do not peel, or whose numbers of digests differ by more
+    than the cells could ever give back, go on to the next size that `Version.differing` takes.
+    """
+    n_a, n_b = a.counts[pairs[:, 0]], b.counts[pairs[:, 1]]
+    total = n_a + n_b
+    only = np.full(len(pairs), -1, dtype=np.int64)
+    size = np.full(len(pairs), CELLS, dtype=np.int64)
+    open_ = np.arange(len(pairs))
+    while len(open_):
+        cells = int(size[open_].min())
+        now = open_[size[open_] == cells]
+        tried = now[np.abs(n_a[now] - n_b[now]) <= cells]
+        step = max(1, CHUNK_CELLS // cells)
+        for at in range(0, len(tried), step):
+            some = tried[at:at + step]
+            first, second = a.tables(pairs[some, 0], cells), b.tables(pairs[some, 1], cells)
+            only[some] = _peeled(first[0] - second[0], first[1] ^ second[1], first[2] ^ second[2], cells)
+        failed = now[only[now] < 0]
+        size[failed] *= GROWTH
+        while (small := size[failed] < ROOM * total[failed]).any():
+            size[failed[small]] *= GROWTH
+        for k in failed[size[failed] > 64 * total[failed] + CELLS].tolist():  # digests that share all cells
+            x, y = (t.keys[t.past[i]:t.past[i + 1]] for t, i in zip((a, b), pairs[k].tolist(), strict=True))
+            only[k] = len(np.setxor1d(x, y))
+        open_ = open_[only[open_] < 0]
+    return np.where(total > 0, (total - only) / np.maximum(total + only, 1), 1.0)
+
+
+def _stored(texts: Texts, n: int) -> list[str]:
+    """The fingerprint column of the first `n` texts."""
+    out: list[str] = []
+    step = max(1, CHUNK_CELLS // CELLS)
+    for at in range(0, n, step):
+        which = np.arange(at, min(n, at + step))
+        cells = np.empty(len(which) * CELLS, dtype=CELL)
+        cells["n"], cells["key"], cells["check"] = texts.tables(which, CELLS)
+        data, size = cells.tobytes(), CELLS * CELL.itemsize
+        out += [base64.b64encode(data[i:i + size]).decode() for i in range(0, len(data), size)]
+    return out
+
+
+def _facts(texts: list[str], pairs: list[tuple[int, int]]) -> list[list]:
+    """The new columns for each pair (text, the text after it in the order)."""
+    edited = [texts[i][:len(texts[i]) - len(texts[i]) // 2] + texts[j][:len(texts[i]) // 2] for i, j in pairs]
+    used = [i for i, _ in pairs] + [j for _, j in pairs]
+    place = {i: k for k, i in enumerate(dict.fromkeys(used))}
+    own, new = Texts([texts[i] for i in place]), Texts(edited)
+    of = np.array([(place[i], place[j]) for i, j in pairs], dtype=np.int64)
+    stored = _stored(own, len(place))
+    return [[len(texts[i]) for i, _ in pairs],
+            [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited],
+            [stored[i] for i in of[:, 0].tolist()], _stored(new, len(edited)),
+            likenesses(own, new, np.stack([of[:, 0], np.arange(len(pairs))], axis=1)).tolist(), likenesses(own, own, of).tolist()]
 
 
 def _ranges(docs: DataFrame) -> DataFrame:
-    """`docs` with `_range`, numbered in descending order of `_key`; the first row of a range is also given to the one
-    before it (to the last one, for the first), marked by `_guest`.
+    """`docs` with `_range`, numbered in the order of descending `_key` and rising `_tag`, and `_guest`, 0; the first row
+    of each range is also given to the range before it (to the last one, for the first), with `_guest` 1.
 
-    Borders are quantiles of the ids. One number per range goes through the driver.
+    Borders are quantiles of the ids; an id that fills several quantiles gets ranges of its own, by its tags. One number
+    per range goes through the driver.
     """
     spark = docs.sparkSession
     n = min(MAX_RANGES, RANGES_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    as_double = docs.withColumn("_at", -F.col("_key").cast("double"))
-    borders = sorted(set(as_double.approxQuantile("_at", [i / n for i in range(1, n)], 1 / (4 * n))))
+    as_double = docs.withColumn("_at", F.when(F.col("_key") == LEAST, NO_ID).otherwise(-F.col("_key").cast("double")))
+    quantiles = Counter(as_double.approxQuantile("_at", [i / n for i in range(1, n)], 1 / (4 * n)))
+    # Beyond 2^53 a double may stand for several ids.
+    hot = {at: times + 1 for at, times in quantiles.items() if times > 1 and (abs(at) < 2.0**53 or at == NO_ID)}
+    borders = sorted({*quantiles, *(float(np.nextafter(at, np.inf)) for at in hot)})
     splits = [float("-inf"), *borders, float("inf")]
     if len(splits) < 3:
         splits.insert(1, 0.0)
-    ranged = Bucketizer(splits=splits, inputCol="_at", outputCol="_range").transform(as_double).withColumn(
-        "_range", F.col("_range").cast("int")).drop("_at")
-    firsts = sorted((r["_range"], r["first"]) for r in ranged.groupBy("_range").agg(F.max("_key").alias("first")).collect())
-    hosts = [(firsts[i][1], firsts[i - 1][0]) for i in range(len(firsts))]
-    guests = spark.createDataFrame(hosts, "_first bigint, _host int")
-    both = F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("g")), F.struct(F.col("_host").alias("r"), F.lit(1).alias("g")))
-    return ranged.join(F.broadcast(guests), F.col("_key") == F.col("_first"), "left").withColumn(
-        "_place", F.explode(F.when(F.col("_host").isNull(), F.slice(both, 1, 1)).otherwise(both))).withColumns(
-        {"_range": F.col("_place")["r"], "_guest": F.col("_place")["g"]}).drop("_first", "_host", "_place")
+    shares = spark.createDataFrame([(splits.index(at), times) for at, times in hot.items()], "_wide int, _shares int")
+    share = F.least(F.floor((F.col("_tag").cast("double") / 2.0**64 + 0.5) * F.col("_shares")), F.col("_shares") - 1)
+    ranged = Bucketizer(splits=splits, inputCol="_at", outputCol="_wide").transform(as_double).withColumn(
+        "_wide", F.col("_wide").cast("int")).join(F.broadcast(shares), "_wide", "left").withColumn(
+        "_range", F.col("_wide").cast("long") * MAX_RANGES + F.coalesce(share, F.lit(0))).drop("_at", "_wide", "_shares")
+    highest = ranged.groupBy("_range").agg(F.max("_key").alias("_key"))
+    firsts = ranged.join(F.broadcast(highest), ["_range", "_key"]).groupBy("_range", "_key").agg(F.min("_tag").alias("_tag"))
+    found = sorted((r["_range"], r["_key"], r["_tag"]) for r in firsts.collect())
+    hosts = [(key, tag, number, found[i - 1][0]) for i, (number, key, tag) in enumerate(found)]
+    names = "_key bigint, _tag bigint, _range bigint, _host bigint"
+    guests = ranged.join(F.broadcast(spark.createDataFrame(hosts, names)), ["_key", "_tag", "_range"]).groupBy("_host").agg(
+        F.first(F.struct(*docs.columns)).alias("row"))  # rows of one id and text are alike
+    own: list[Column] = [F.col(c) for c in docs.columns]
+    return ranged.select(*own, "_range", F.lit(0).alias("_guest")).union(
+        guests.select("row.*", F.col("_host").alias("_range"), F.lit(1).alias("_guest")))
 
 
 def fingerprint_versions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -238,35 +377,47 @@ def fingerprint_versions(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     The edited text of a document replaces its last floor(n / 2) code points by the first as many (or all) of the next
     document in descending id order, nulls last; the last is followed by the first. Rows of one id go by text hash.
     Null is the empty text: no piece, likeness 1 to another empty one and 0 to all others. Rows are dealt in
-    ranges of the order and streamed, two texts at a time. An empty table gives an empty result. An input column named
-    like a new one is replaced.
+    ranges of the order (of one id that holds very many rows, of its text hashes) and streamed, some hundred thousand
+    characters or two texts at a time. An empty table gives an empty result. An input column named like a new one is
+    replaced.
     """
     ship_package(docs.sparkSession)
-    least = -(1 << 63)
-    slim = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(least)).alias("_key"), F.xxhash64(text).alias("_tag"),
+    slim = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LEAST)).alias("_key"), F.xxhash64(text).alias("_tag"),
                        F.coalesce(F.col(text), F.lit("")).alias("_text"), carried(docs, text))
     dealt = _ranges(slim).repartition("_range").sortWithinPartitions("_range", "_guest", F.desc("_key"), "_tag")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: tuple[pa.RecordBatch, int, Version] | None = None
-        for batch in batches:
-            rows, facts = [], []
-            own = batch.select(["_rest"])
-            columns = zip(batch.column("_range").to_pylist(), batch.column("_guest").to_pylist(), batch.column("_text"), strict=True)
-            for i, (number, guest, value) in enumerate(columns):
-                if guest and (waiting is None or waiting[1] != number):
-                    continue  # a further row of the guest's id
-                version = Version(value.as_py())
-                if waiting is not None and waiting[1] == number:
-                    rows.append(waiting[0])
-                    facts.append(_facts(waiting[2].text, version, waiting[2]))
-                waiting = None if guest else (own.slice(i, 1), number, version)
-            if rows:
-                table = pa.Table.from_batches(rows).combine_chunks()
-                kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays(
-                    [table.column(0).chunk(0), *(pa.array(c, k) for c, k in zip(zip(*facts, strict=True), kinds, strict=True))],
-                    names=["_rest", "_n", "_sha", "_own", "_edited", "_near", "_next"])
+        # Rows that wait for the text after them: own columns, number of the range, text.
+        held: list[tuple[pa.RecordBatch, int, str]] = []
+        chars = 0
+
+        def settle() -> pa.RecordBatch | None:
+            pairs = [(i, i + 1) for i in range(len(held) - 1) if held[i][0] is not None and held[i][1] == held[i + 1][1]]
+            if not pairs:
+                return None
+            rows = pa.Table.from_batches([held[i][0] for i, _ in pairs]).combine_chunks()
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+            facts = _facts([t for _, _, t in held], pairs)
+            return pa.RecordBatch.from_arrays(
+                [rows.column(0).chunk(0), *(pa.array(c, k) for c, k in zip(facts, kinds, strict=True))],
+                names=["_rest", "_n", "_sha", "_own", "_edited", "_near", "_next"])
+
+        with released():
+            for batch in batches:
+                own = batch.select(["_rest"])
+                columns = zip(batch.column("_range").to_pylist(), batch.column("_guest").to_pylist(), batch.column("_text"), strict=True)
+                for i, (number, guest, value) in enumerate(columns):
+                    text = value.as_py()
+                    held.append((None if guest else own.slice(i, 1), number, text))
+                    chars += len(text)
+                    if chars > CHUNK_CHARS and len(held) > 1:
+                        made = settle()
+                        if made is not None:
+                            yield made
+                        held, chars = held[-1:], len(text)
+            made = settle()
+            if made is not None:
+                yield made
 
     schema = f"{schema_of(dealt.select('_rest'))}, _n bigint, _sha string, _own string, _edited string, _near double, _next double"
     out = dealt.mapInArrow(run, schema)
