@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelweave.functions import normalize as N
 from parcelweave.functions.text import similarity, trigram_codes
 from parcelweave.operators.portfolio import parcels_with_owner
-from parcelweave.operators.set_join import similarity_pairs
-from parcelweave.operators.text_match import text_match
+from parcelweave.operators.set_join import SetIndex
+from parcelweave.operators.text_match import TextIndex
 from parcelweave.session import materialize
 
 SIMILARITY_THRESHOLD = 0.3
-# Where the search over all places starts; most addresses have five places above it.
-FIRST_THRESHOLD = 0.5
+# Similarities at which a search for the five best places stops for those it has settled.
+STEPS = (0.7, 0.5, SIMILARITY_THRESHOLD)
 TOP_ROWS = 5
 
 
@@ -53,18 +56,40 @@ def _best_places(matches: DataFrame) -> DataFrame:
     return matches.withColumn("_rank", F.rank().over(order)).filter(F.col("_rank") <= TOP_ROWS).drop("_rank")
 
 
-def match_places(asked: DataFrame, places: DataFrame) -> DataFrame:
+@dataclass
+class PlaceIndex:
+    """The distinct places of a parcel table with their word and trigram indexes, written once for many requests."""
+
+    places: DataFrame
+    cities: DataFrame
+    words: TextIndex
+    in_city: SetIndex
+    anywhere: SetIndex
+
+    @classmethod
+    def build(cls, parcels: DataFrame) -> PlaceIndex:
+        places = materialize(parcels.filter(F.col("address").isNotNull()).select("address", "city").distinct(), "places")
+        sets = _sets(places, "address")
+        return cls(
+            places, materialize(places.select("city").distinct(), "cities"), TextIndex.build(places.select(F.col("address").alias("doc")).distinct()),
+            SetIndex.build(places.filter("city is not null").select(F.col("address").alias("id"), F.col("city").alias("grp")).join(
+                sets, "id"), SIMILARITY_THRESHOLD),
+            SetIndex.build(sets, SIMILARITY_THRESHOLD))
+
+
+def match_places(asked: DataFrame, index: PlaceIndex) -> DataFrame:
     """(street, asked_city, address, city, city_hit, sim): for each asked pair the places among its five best.
 
-    Streets matching an address by words use those matches only. The others go by trigram similarity from 0.3 up, in
-    steps that stop for a pair once five places are certain: places in the asked city first, as they rank before all
-    others; then every place at 0.5 or more; and at 0.3 or more for what is left.
+    Streets matching an address by words use those matches only. The others go by trigram similarity from 0.3 up, places
+    in the asked city first, as they rank before all others, then everywhere. Both searches begin with the pairs of high
+    similarity and go down in steps; a pair is settled by the first step that gives it five places, since all places it
+    has not seen are less similar.
     """
     columns = ["street", "asked_city", "address", "city", "city_hit", "sim"]
-    hits = city_hits(asked, places).withColumn("city_hit", F.lit(1))
-    by_words = materialize(text_match(
-        asked.select(F.col("street").alias("query")).distinct(),
-        places.select(F.col("address").alias("doc")).distinct()).toDF("street", "address"), "address-words")
+    places = index.places
+    hits = materialize(city_hits(asked, index.cities).withColumn("city_hit", F.lit(1)), "address-cities")
+    by_words = materialize(index.words.match(asked.select(F.col("street").alias("query")).distinct()).toDF(
+        "street", "address"), "address-words")
 
     def at_places(pairs: DataFrame, who: DataFrame) -> DataFrame:
         return (
@@ -72,49 +97,69 @@ def match_places(asked: DataFrame, places: DataFrame) -> DataFrame:
             .withColumn("city_hit", F.coalesce("city_hit", F.lit(0))).select(columns)
         )
 
-    found = _best_places(at_places(
-        by_words.withColumn("sim", similarity(F.col("address"), F.col("street"))), asked))
-    missed = asked.join(by_words.select("street").distinct(), "street", "left_anti")
-
-    in_city = missed.join(hits, "asked_city").select("street", "asked_city", "city")
-    city_places = places.join(hits.select("city").distinct(), "city", "left_semi")
-    near = similarity_pairs(
-        _sets(in_city, "street", "city"), _sets(city_places, "address", "city"), SIMILARITY_THRESHOLD
-    ).toDF("city", "street", "address", "sim")
-    city_matches = materialize(_best_places(
-        near.join(in_city, ["street", "city"]).withColumn("city_hit", F.lit(1)).select(columns)), "address-city")
-
     def settled(matches: DataFrame) -> DataFrame:
         return matches.groupBy("street", "asked_city").agg(F.count(F.lit(1)).alias("n")).filter(
             F.col("n") >= TOP_ROWS).select("street", "asked_city")
 
-    found = found.unionByName(city_matches.join(settled(city_matches), ["street", "asked_city"], "left_semi"))
+    def by_steps(left: DataFrame, step) -> list[DataFrame]:
+        """Best places of the pairs that each step settles; the last one holds what there is for the others."""
+        done = []
+        for threshold in STEPS:
+            matches = materialize(_best_places(step(left, threshold)), "address-step")
+            if threshold == STEPS[-1]:
+                return [*done, matches]
+            done.append(matches.join(settled(matches), ["street", "asked_city"], "left_semi"))
+            left = materialize(left.join(settled(matches), ["street", "asked_city"], "left_anti"), "address-left")
+            if left.isEmpty():
+                return done
+
+    found = _best_places(at_places(
+        by_words.withColumn("sim", similarity(F.col("address"), F.col("street"))), asked))
+    missed = materialize(asked.join(by_words.select("street").distinct(), "street", "left_anti"), "address-missed")
+    if missed.isEmpty():
+        return found
+    wanted = materialize(missed.join(hits, "asked_city").select("street", "asked_city", "city"), "address-wanted")
+
+    def in_city(left: DataFrame, threshold: float) -> DataFrame:
+        own = wanted.join(left, ["street", "asked_city"], "left_semi")
+        near = index.in_city.pairs(city_probe, threshold, own.select(F.col("street").alias("id"), F.col("city").alias("grp")))
+        return near.toDF("city", "street", "address", "sim").join(own, ["street", "city"]).withColumn(
+            "city_hit", F.lit(1)).select(columns)
+
+    city_matches = found.limit(0)
+    if not wanted.isEmpty():
+        city_probe = index.in_city.probe(_sets(wanted, "street", "city"))
+        city_matches = materialize(reduce(DataFrame.unionByName, by_steps(
+            wanted.select("street", "asked_city").distinct(), in_city)), "address-city")
+        found = found.unionByName(city_matches.join(settled(city_matches), ["street", "asked_city"], "left_semi"))
     left = materialize(missed.join(settled(city_matches), ["street", "asked_city"], "left_anti"), "address-left")
-    all_places = _sets(places, "address")
-    for threshold in (FIRST_THRESHOLD, SIMILARITY_THRESHOLD):
-        near = similarity_pairs(_sets(left, "street"), all_places, threshold).toDF("street", "address", "sim")
-        # City places are known down to 0.3 already and rank first, so only the others are taken from this step.
-        others = at_places(near, left).filter("city_hit = 0")
-        known = city_matches.join(left, ["street", "asked_city"], "left_semi")
-        matches = materialize(_best_places(others.unionByName(known)), "address-step")
-        if threshold == SIMILARITY_THRESHOLD:
-            return found.unionByName(matches)
-        found = found.unionByName(matches.join(settled(matches), ["street", "asked_city"], "left_semi"))
-        left = materialize(left.join(settled(matches), ["street", "asked_city"], "left_anti"), "address-left")
-
-
-def ranked_matches(requests: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    if left.isEmpty():
+        return found
+    probe = index.anywhere.probe(_sets(left, "street"))
+
+    def anywhere(left: DataFrame, threshold: float) -> DataFrame:
+        near = index.anywhere.pairs(probe, threshold, left.select(F.col("street").alias("id"))).toDF("street", "address", "sim")
+        # City places are known down to the least similarity and rank first, so only the others are taken from here.
+        return at_places(near, left).filter("city_hit = 0").unionByName(
+            city_matches.join(left, ["street", "asked_city"], "left_semi"))
+
+    return reduce(DataFrame.unionByName, by_steps(left, anywhere), found)
+
+
+def ranked_matches(requests: DataFrame, tables: dict[str, DataFrame], index: PlaceIndex | None = None) -> DataFrame:
     """The five best rows per distinct (street, asked_city): city hit, similarity, edge confidence, ids.
 
     Ranking is done on distinct (address, city) pairs first, keeping ties; only those that can be among the five are
     joined to their parcels and owners.
     """
     asked = requests.select("street", "asked_city").distinct()
-    places = tables["parcels"].filter(F.col("address").isNotNull()).select("address", "city").distinct()
-    best_places = match_places(materialize(asked, "address-asked"), materialize(places, "places"))
-    owned = parcels_with_owner(
-        tables["parcels"].select("parcel_id", "address", "city", "state"),
-        tables["portfolio_edges"], tables["entities"])
+    index = index or PlaceIndex.build(tables["parcels"])
+    best_places = materialize(match_places(materialize(asked, "address-asked"), index), "address-best")
+    same = [F.col("address"), F.col("city")]
+    wanted = tables["parcels"].select("parcel_id", "address", "city", "state").alias("p").join(
+        best_places.select(*same).distinct().alias("b"),
+        (F.col("p.address") == F.col("b.address")) & F.col("p.city").eqNullSafe(F.col("b.city")), "left_semi")
+    owned = parcels_with_owner(wanted, tables["portfolio_edges"], tables["entities"])
     same_place = (F.col("m.address") == F.col("o.address")) & F.col("m.city").eqNullSafe(F.col("o.city"))
     rows = best_places.alias("m").join(owned.alias("o"), same_place).select(
         "street", "asked_city", "city_hit", "sim", "o.address", "o.city", "state", "parcel_id", "entity_id",
@@ -137,11 +182,16 @@ def choose_row(ranked: DataFrame) -> DataFrame:
         "street", "asked_city", "n_distinct_addresses", "r.parcel_id", "r.entity_id", "r.owner_name", "r.sim")
 
 
-def match_addresses(requests: DataFrame, tables: dict[str, DataFrame], as_of: Column) -> DataFrame:
-    """One row per request: status, parcel, owner_name, entity_id, freshness, n_distinct_addresses."""
+def match_addresses(
+    requests: DataFrame, tables: dict[str, DataFrame], as_of: Column, index: PlaceIndex | None = None,
+) -> DataFrame:
+    """One row per request: status, parcel, owner_name, entity_id, freshness, n_distinct_addresses.
+
+    `index` is a stored `PlaceIndex` of the parcels; without one it is built for this job.
+    """
     as_of = as_of.cast("timestamp")
     asked = parse_addresses(requests)
-    chosen = choose_row(ranked_matches(asked, tables))
+    chosen = materialize(choose_row(ranked_matches(asked, tables, index)), "address-chosen")
     parcels = tables["parcels"].select(
         F.col("parcel_id").alias("found_id"), N.property_struct().alias("parcel"), "owner_name_raw", "updated_at")
     found = F.col("found_id").isNotNull()

@@ -87,3 +87,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{workdir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+# Rows of a table made by `bucketed` that go to one bucket, and the most buckets Spark takes.
+ROWS_PER_BUCKET = 500_000
+MAX_BUCKETS = 100_000
+
+
+def bucketed(df: DataFrame, keys: list[str], name: str, rows: int) -> DataFrame:
+    """Write `df`, of about `rows` rows, as a table bucketed and sorted by `keys`, and read it.
+
+    Joins on the keys need no exchange of it. It is dealt to its buckets before it is written, one file each.
+    """
+    spark = df.sparkSession
+    table = f"parcelweave_{name}_{uuid.uuid4().hex}"
+    buckets = min(MAX_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_BUCKET)))
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option(
+        "path", f"{workdir(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)

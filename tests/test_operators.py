@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelweave.functions import geo, text
 from parcelweave.functions.token_set import token_key, token_set_score
-from parcelweave.operators import checks, contacts, matching, ownership, spatial, text_match, upsert
+from parcelweave.operators import checks, contacts, matching, ownership, set_join, spatial, text_match, upsert
 from parcelweave.operators.set_join import similarity_pairs
 from parcelweave.operators.skew import salted_join
 from parcelweave.operators.token_set_join import token_set_pairs
@@ -204,3 +204,67 @@ def test_table_checks_find_faults(spark):
     assert sorted((r["check"], r.column_name) for r in rows) == [
         ("allowed_value", "confidence"), ("allowed_value", "entity_type"), ("foreign_key", "entity_id"),
         ("not_null", "canonical_name"), ("unique", "entity_id")]
+
+
+def _jaccard(a, b):
+    return len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 0.0
+
+
+@pytest.mark.parametrize("least", [0.3, 1e-6])
+def test_set_index_equals_brute_force(spark, monkeypatch, least):
+    rng = random.Random(21)
+    sets = lambda n, first: [
+        (first + i, sorted({rng.randrange(12) if rng.random() < 0.5 else rng.randrange(400) for _ in range(rng.randrange(0, 14))}))
+        for i in range(n)]
+    stored, asked = sets(160, 0), sets(60, 1000) + [(2000, [9999]), (2001, [])]
+    stored += [(300 + i, stored[i][1]) for i in range(5)]
+    schema = "id bigint, tokens array<bigint>"
+    # Parts of three rows, and one time all joins dealt out by their pairs.
+    monkeypatch.setattr(set_join, "ROWS_PER_SPLIT", 3)
+    for in_place in (set_join.PAIRS_IN_PLACE, 0):
+        monkeypatch.setattr(set_join, "PAIRS_IN_PLACE", in_place)
+        index = set_join.SetIndex.build(spark.createDataFrame(stored, schema), least)
+        probe = index.probe(spark.createDataFrame(asked, schema))
+        for threshold in (0.9, 0.5, least):
+            got = sorted((r["l_id"], r["r_id"]) for r in index.pairs(probe, threshold).collect())
+            want = sorted((i, j) for i, a in asked for j, b in stored if _jaccard(a, b) >= threshold - 1e-9 and set(a) & set(b))
+            assert got == want
+        some = spark.createDataFrame([(1003,), (1010,), (7,)], "id bigint")
+        got = sorted((r["l_id"], r["r_id"]) for r in index.pairs(probe, least, some).collect())
+        assert got == [p for p in want if p[0] in (1003, 1010)]
+
+
+def test_set_index_compares_within_groups(spark):
+    schema = "id string, grp string, tokens array<bigint>"
+    stored = spark.createDataFrame([("a", "x", [1, 2, 3]), ("a", "y", [1, 2, 3]), ("b", "y", [1, 2, 4])], schema)
+    index = set_join.SetIndex.build(stored, 0.3)
+    probe = index.probe(spark.createDataFrame([("q", "y", [1, 2, 3]), ("q", "z", [1, 2, 3])], schema))
+    assert sorted(tuple(r) for r in index.pairs(probe, 0.5).collect()) == [("y", "q", "a", 1.0), ("y", "q", "b", 0.5)]
+
+
+def test_stored_indexes_are_read_without_an_exchange(spark):
+    """A join against stored postings exchanges the asked side only."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame([(f"word{i % 7} street {i}",) for i in range(60)], "doc string")
+        index = text_match.TextIndex.build(docs)
+        asked = spark.createDataFrame([("word3", 0)], "word string, part int")
+        plan = plan_of(index.postings.join(asked, ["word", "part"]))
+        assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+        sets = spark.createDataFrame([(i, [i % 5, i % 7 + 10, 50]) for i in range(60)], "id bigint, tokens array<bigint>")
+        postings = set_join.SetIndex.build(sets, 0.3).postings
+        tokens = spark.createDataFrame([(3, 0)], "token bigint, part int")
+        plan = plan_of(postings.join(tokens, ["token", "part"]))
+        assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_text_index_gives_what_one_search_gives(spark, monkeypatch):
+    monkeypatch.setattr(text_match, "ROWS_PER_PART", 2)
+    docs = spark.createDataFrame([(t,) for t in ("running shoes", "run fast", "the runs of shoes", "boots", "shoe run 12")], "doc string")
+    queries = spark.createDataFrame([(t,) for t in ("run shoe", "runs", "the", "boots 12", "12")], "query string")
+    got = {tuple(r) for r in text_match.TextIndex.build(docs).match(queries).collect()}
+    assert got == {tuple(r) for r in text_match.text_match(queries, docs).collect()}
+    assert {d for q, d in got if q == "run shoe"} == {"running shoes", "the runs of shoes", "shoe run 12"}
+    assert {d for q, d in got if q == "12"} == {"shoe run 12"} and not {q for q, _ in got} & {"the", "boots 12"}
