@@ -27,6 +27,7 @@ from tokenizers import Tokenizer
 from parcelweave.llm.frames import carried, chunks, released, restored, schema_of, ship_package
 
 SEQUENCE_TOKENS = 4096
+# Segments of a sequence of instruction data; plain documents may fill one with single tokens.
 MAX_SEGMENTS = 256
 MAX_LOSS_TOKENS = 4096
 END_ID = 2
@@ -220,7 +221,7 @@ def pack_pieces(
 
 def pack_documents(
     docs: DataFrame, vocabulary: str, text: str = "text", sequence_tokens: int = SEQUENCE_TOKENS,
-    max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS_TOKENS, end_id: int = END_ID,
+    max_segments: int = SEQUENCE_TOKENS, max_loss: int = MAX_LOSS_TOKENS, end_id: int = END_ID,
 ) -> DataFrame:
     """`docs` without its text, one row per piece: `start length ids_crc32 doc_tokens sequence_id offset`.
 
@@ -245,3 +246,42 @@ def pack_documents(
     return restored(out, docs.drop(text), {
         "start": F.col("_start"), "length": F.col("_length"), "ids_crc32": F.col("_crc"), "doc_tokens": F.col("_all"),
         "sequence_id": F.col("_sequence"), "offset": F.col("_offset")})
+
+
+def pack_windows(
+    windows: DataFrame, vocabulary: str, text: str = "formatted", loss: str = "loss", sequence_tokens: int = SEQUENCE_TOKENS,
+    max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS_TOKENS // 2, end_id: int = END_ID,
+) -> DataFrame:
+    """Instruction data, such as the windows of chat formatting, under all three limits.
+
+    `loss` lists the places [low, high), in code points of `text` and in order, whose tokens bear loss; `end_id` closes a
+    window and bears none. Text is tokenized up to each border, so that no token lies on both sides. Gives `windows`
+    without `text` and `loss`, one row per piece: `start length loss_tokens sequence_id offset`. A null text is empty, a
+    null mask bears no loss; a window over the token or the loss limit is cut at multiples of the smaller one.
+    """
+    ship_package(windows.sparkSession)
+    with open(vocabulary, encoding="utf-8") as f:
+        spec = windows.sparkSession.sparkContext.broadcast(f.read())
+    end = np.array([end_id], dtype="<u4")
+
+    def pieces_of(rows: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray | None]]:
+        parts, bears, upto = [], [], []
+        for whole, spans in zip(rows.column("_text").to_pylist(), rows.column("_spans").to_pylist(), strict=True):
+            whole, at = whole or "", 0
+            for span in spans or []:
+                parts += (whole[at:span["low"]], whole[span["low"]:span["high"]])
+                bears += (False, True)
+                at = span["high"]
+            parts.append(whole[at:])
+            bears.append(False)
+            upto.append(len(parts))
+        found = _tokens(spec.value).batch(parts)
+        masks = [np.full(len(ids), bear) for ids, bear in zip(found, bears, strict=True)]
+        own = [slice(a, b) for a, b in zip([0, *upto[:-1]], upto, strict=True)]
+        return [np.concatenate((*found[s], end)) for s in own], [np.concatenate((*masks[s], [False])) for s in own]
+
+    slim = windows.select(F.col(text).alias("_text"), F.col(loss).alias("_spans"), carried(windows, text, loss))
+    out = pack_pieces(slim, pieces_of, "_text", (sequence_tokens, max_segments, max_loss))
+    return restored(out, windows.drop(text, loss), {
+        "start": F.col("_start"), "length": F.col("_length"), "loss_tokens": F.col("_loss"),
+        "sequence_id": F.col("_sequence"), "offset": F.col("_offset")})

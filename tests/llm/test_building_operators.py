@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -96,6 +97,46 @@ def test_pieces_of_awkward_rows(spark, awkward):
     assert packing.pack_documents(plain.documents(spark, []), VOCABULARY).count() == 0
 
 
+def test_single_tokens_fill_a_sequence(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "CAST(NULL AS string) AS text").coalesce(1)
+    rows = packing.pack_documents(docs, VOCABULARY).collect()
+    assert sorted(r["offset"] for r in rows) == list(range(3000)) and len({r["sequence_id"] for r in rows}) == 1
+
+
+def test_masked_windows_under_three_limits(spark):
+    rng = random.Random(8)
+    said = [(c, t, ("user", "assistant")[t % 2], " ".join(rng.choice(["yes", "[no]", "per<haps", "Zoë"]) for _ in range(rng.randrange(90))))
+            for c in range(40) for t in range(6)]
+    windows = chat.format_windows(spark.createDataFrame(said, "conv_id bigint, turn bigint, role string, text string"))
+    limits = (600, 4, 150)
+    rows = packing.pack_windows(windows.coalesce(2), VOCABULARY, sequence_tokens=600, max_segments=4, max_loss=150).collect()
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    want = Counter()
+    for w in windows.collect():
+        at, masks = 0, []
+        for span in [*w["loss"], None]:
+            low, high = (span["low"], span["high"]) if span else (len(w["formatted"]), len(w["formatted"]))
+            masks += [False] * len(tokenizer.encode(w["formatted"][at:low], add_special_tokens=False).ids)
+            masks += [True] * len(tokenizer.encode(w["formatted"][low:high], add_special_tokens=False).ids)
+            at = high
+        masks.append(False)
+        for start in range(0, len(masks), 150):
+            own = masks[start:start + 150]
+            want[w["conv_id"], w["window"], start, len(own), sum(own)] += 1
+    assert Counter((r["conv_id"], r["window"], r["start"], r["length"], r["loss_tokens"]) for r in rows) == want
+    assert any(0 < r["loss_tokens"] < r["length"] for r in rows)
+    by_sequence = {}
+    for r in rows:
+        by_sequence.setdefault(r["sequence_id"], []).append(r)
+    for own in by_sequence.values():
+        assert len(own) <= limits[1] and sum(r["length"] for r in own) <= limits[0] and sum(r["loss_tokens"] for r in own) <= limits[2]
+        ends = sorted((r["offset"], r["length"]) for r in own)
+        assert [a for a, _ in ends] == [sum(n for _, n in ends[:i]) for i in range(len(ends))]
+    none = packing.pack_windows(windows.limit(1).selectExpr("conv_id", "CAST(NULL AS string) AS formatted", "CAST(NULL AS array<struct<low:bigint,high:bigint>>) AS loss"), VOCABULARY)
+    assert [(r["length"], r["loss_tokens"]) for r in none.collect()] == [(1, 0)]
+    assert packing.pack_windows(windows.where("false"), VOCABULARY).count() == 0
+
+
 # Mixing -----------------------------------------------------------------------------------------------------
 
 def test_seats_against_one_by_one(spark):
@@ -167,6 +208,34 @@ def test_mixed_documents_hold_what_is_taken(spark, awkward):
     assert found == +taken
 
 
+def _same_as_sql(docs):
+    import duckdb
+
+    documents = docs.select("doc_id", "text", "source").toPandas()  # noqa: F841
+    names = ["doc_id", "size", "source_size", "target", "taken"]
+    want = duckdb.sql(f"SELECT {', '.join(names)} FROM ({mixing.CHECK_SQL})").fetchall()
+    got = [tuple(r[n] for n in names) for r in mixing.mixed_sizes(docs).collect()]
+    near = lambda rows: Counter((i, a, b, round(t, 6), n) for i, a, b, t, n in rows)
+    assert near(got) == near(want)
+
+
+def test_mix_with_tiny_sources_against_sql(spark):
+    rng = random.Random(6)
+    tail = [(f"t{i}", rng.choice([1, 2, 5, 40, 300])) for i in range(12)]
+    rows = [(i, " ".join([f"w{i}"] * n), "en", source)
+            for i, (source, n) in enumerate([*tail, *tail, *[("big", 700)] * 30, ("blank", 0)])]
+    _same_as_sql(plain.documents(spark, rows, clashing=False))
+    _same_as_sql(plain.documents(spark, [(i, f"word{i} " * 500, "en", "ab"[i % 2]) for i in range(400)], clashing=False))
+
+
+def test_rows_of_one_id_spread_over_shards(spark):
+    for doc_id in (7, None):
+        rows = [(doc_id if i % 3 == 0 else i, f"w{i} " * 700, "en", "a") for i in range(900)]
+        sizes = mixing.sized(plain.documents(spark, rows, clashing=False)).cache()
+        places = mixing._placed(sizes, mixing.source_targets(sizes)).groupBy("shard").agg(F.sum("size").alias("n")).collect()
+        assert len(places) == 10 and max(p["n"] for p in places) < 2 * mixing.SHARD_WORDS
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mixed_sizes(plain.documents(spark, [])).count() == 0
     assert mixing.mixed_documents(plain.documents(spark, [])).count() == 0
