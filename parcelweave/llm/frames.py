@@ -109,10 +109,15 @@ def _trim() -> None:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: str, sample: int) -> DataFrame:
-    """(at, text, label) of the first `sample` labelled documents by the hash of their id; of several labels the largest."""
+    """(at, text, label) of the first `sample` labelled documents by the hash of their id, one row each.
+
+    Of several labels of an id the largest counts, of several texts the one with the least hash.
+    """
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(
         F.max(label).cast("double").alias("label"))
     ids = docs.select(F.col(doc_id).alias("id")).distinct().join(known, "id")
     chosen = ids.withColumn("at", F.xxhash64("id")).orderBy("at", "id").limit(sample)
-    return docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(
-        chosen, "id").select("at", "text", "label")
+    texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # At most `sample` ids and labels are shared; an id of many rows is folded to one where its rows are read.
+    return texts.join(F.broadcast(chosen), "id").groupBy("id", "at", "label").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text")).select("at", "text", "label")

@@ -99,7 +99,10 @@ class Lexicon:
 
     def __init__(self, weights: dict[str, float], cached: int = 300_000):
         self.weights, self.cached = weights, cached
-        self.plain = [t for t in weights if not t.endswith("-")]
+        self.plain: dict[int, list[str]] = {}
+        for term in weights:
+            if not term.endswith("-"):
+                self.plain.setdefault(len(term), []).append(term)
         self.known: dict[str, tuple[float, ...]] = {}
 
     def _hidden(self, core: str) -> float:
@@ -108,8 +111,9 @@ class Lexicon:
         tried = [spelled, LONG.sub(r"\1", spelled), LONG.sub(r"\1\1", spelled)]
         best = max(self.weights.get(t, 0.0) for t in tried)
         if not best and "*" in core:
-            masked = re.compile("".join("." if c == "*" else re.escape(c) for c in core))
-            best = max((self.weights[t] for t in self.plain if masked.fullmatch(t)), default=0.0)
+            alike = self.plain.get(len(core), ())
+            masked = re.compile("".join("." if c == "*" else re.escape(c) for c in core)) if alike else None
+            best = max((self.weights[t] for t in alike if masked.fullmatch(t)), default=0.0)
         return best
 
     def facts(self, word: str) -> tuple[float, ...]:
@@ -120,7 +124,7 @@ class Lexicon:
             start = max(self.weights.get(core[:n] + "-", 0.0) if len(core) > n else 0.0 for n in PREFIXES)
             mixed = not core.isalpha() and bool(INNER.search(core))
             stretched = bool(LONG.search(core)) and core.isalpha()
-            hidden = self._hidden(core) if (mixed or stretched) and len(core) <= 40 else 0.0
+            hidden = self._hidden(core) if mixed or stretched else 0.0
             shouted = len(core) > 1 and word.isupper()
             found = (whole, start, hidden, float(core in SECOND_PERSON), float(shouted), float(mixed), float(stretched))
             if len(self.known) >= self.cached:
