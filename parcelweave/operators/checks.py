@@ -47,20 +47,25 @@ def _row(check: str, table: str, column: str, n: Column) -> list[Column]:
 
 
 def check_tables(tables: dict[str, DataFrame]) -> DataFrame:
-    """(check, table_name, column_name, n_bad): repeated keys, nulls, orphans and values outside the allowed set."""
+    """(check, table_name, column_name, n_bad): repeated keys, nulls, orphans and values outside the allowed set.
+
+    The staging table has no constraints, so it has no rows here; a table that is not given is not checked.
+    """
     results = []
     for table, key in PRIMARY_KEYS.items():
         if table in tables:
             repeated = tables[table].groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
             results.append(repeated.agg(F.sum(F.col("n") - 1).alias("n")).select(
                 *_row("unique", table, ",".join(key), F.col("n"))))
-    for table, columns in NOT_NULL.items():
-        if table in tables:
-            # All null counts of a table come from one scan.
-            nulls = tables[table].agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
-            results.append(nulls.unpivot([], columns, "column_name", "n").select(
-                F.lit("not_null").alias("check"), F.lit(table).alias("table_name"), "column_name",
-                F.col("n").alias("n_bad")))
+    for table, df in tables.items():
+        # All null and value counts of a table come from one scan.
+        bad = {("not_null", c): F.col(c).isNull() for c in NOT_NULL.get(table, [])}
+        bad |= {("allowed_value", c): ~rule(F.col(c)) for (t, c), rule in VALUE_RULES.items() if t == table}
+        if bad:
+            counted = df.agg(*[F.count_if(wrong).alias(f"{check}:{c}") for (check, c), wrong in bad.items()])
+            results.append(counted.unpivot([], counted.columns, "_key", "n").select(
+                F.substring_index("_key", ":", 1).alias("check"), F.lit(table).alias("table_name"),
+                F.substring_index("_key", ":", -1).alias("column_name"), F.col("n").alias("n_bad")))
     for table, column, parent, parent_key in FOREIGN_KEYS:
         if table in tables and parent in tables:
             # Count per key value first: a hot key reaches the join as one row.
@@ -69,8 +74,4 @@ def check_tables(tables: dict[str, DataFrame]) -> DataFrame:
             orphans = used.join(tables[parent].select(F.col(parent_key).alias("k")), "k", "left_anti")
             results.append(orphans.agg(F.sum("n").alias("n")).select(
                 *_row("foreign_key", table, column, F.col("n"))))
-    for (table, column), rule in VALUE_RULES.items():
-        if table in tables:
-            bad = tables[table].agg(F.count_if(~rule(F.col(column))).alias("n"))
-            results.append(bad.select(*_row("allowed_value", table, column, F.col("n"))))
     return reduce(DataFrame.unionByName, results)

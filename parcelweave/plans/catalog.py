@@ -697,10 +697,11 @@ def _landed_contacts(a):
                     ).otherwise(F.array().cast("array<struct<name: string, title: string>>"))
     profile = c.filter(key % 2 == 0).select(entity, F.to_json(F.struct(
         F.concat(F.lit("Company "), "c_custkey").alias("name"), people.alias("people_also_viewed"))).alias("response"))
-    # Answers that are no JSON, null or empty give no contact.
+    # Answers that are no JSON, JSON null, missing or empty give no contact; one list is a text.
     turn = F.substring_index("entity_id", "_", -1).cast("long")
     profile = profile.withColumn("response", F.when(turn % 20 == 2, "{bad").when(turn % 20 == 12, "<html>no</html>").when(
-        turn % 20 == 4, F.lit(None)).when(turn % 20 == 14, " ").otherwise(F.col("response")))
+        turn % 20 == 4, F.lit(None)).when(turn % 20 == 14, " ").when(turn % 20 == 6, "null").when(turn % 20 == 16, F.concat(
+            F.lit('{"name": "Company '), turn, F.lit('", "people_also_viewed": "none"}'))).otherwise(F.col("response")))
     mail = F.struct(
         F.concat(F.lit("u"), "c_custkey", F.lit("@example.com")).alias("value"), F.lit("personal").alias("type"),
         (key % 101).cast("double").alias("confidence"),
@@ -728,7 +729,7 @@ _FOUND = """
               WHEN has_profile THEN 0.75 ELSE CAST(c_custkey % 101 AS DOUBLE) / 100 END AS DOUBLE) AS confidence,
          CASE WHEN has_profile AND has_email THEN 'proxycurl+hunter' WHEN has_profile THEN 'proxycurl'
               ELSE 'hunter' END AS source
-  FROM (SELECT *, c_custkey % 2 = 0 AND c_custkey % 20 NOT IN (2, 4, 12, 14) AS has_profile,
+  FROM (SELECT *, c_custkey % 2 = 0 AND c_custkey % 20 NOT IN (2, 4, 6, 12, 14) AS has_profile,
                c_custkey % 3 = 0 AND c_custkey % 4 <> 0 AND c_custkey % 30 <> 3 AS has_email,
                CASE WHEN c_custkey % 5 = 0 THEN c_name ELSE 'Company ' || c_custkey END AS profile_name
         FROM customer JOIN entities ON entity_id = 'sos_ny_' || c_custkey)
@@ -850,7 +851,9 @@ def upsert_entities(a):
         "entity_id", "canonical_name", "jurisdiction", "status", (F.col("updated_at") == as_of()).alias("touched"))
 
 
-@register("""SELECT parcel_id, address, city, state, zip FROM parcels WHERE owner_name_raw IS NULL
+@register("""SELECT parcel_id, address, city, state, zip,
+                    concat_ws(' ', nullif(city, ''), nullif(state, ''), nullif(zip, '')) AS locality
+             FROM parcels WHERE owner_name_raw IS NULL
              ORDER BY last_sale_date DESC, parcel_id LIMIT 500""")
 def enrichment_candidates(a):
     return R.enrichment_candidates(a.tables()["parcels"]).drop("ingested_at")
@@ -883,3 +886,78 @@ def table_checks(a):
     return checks.check_tables({
         "parcels": a.raw("parcels_staging"), "entities": a.raw("entities"),
         "beneficial_owners": a.raw("beneficial_owners")})
+
+
+# Faults planted in every constrained table: columns replaced by an expression, and the rows that are there twice.
+_FAULTS = {
+    "parcels": ({"city": "CASE WHEN length(address) % 3 = 0 THEN NULL ELSE city END"}, "length(address) % 5 = 0"),
+    "roads": ({"road_name": "CASE WHEN length(road_name) % 4 = 0 THEN NULL ELSE road_name END"}, "length(road_name) = 7"),
+    "entities": ({"entity_type": "CASE WHEN length(entity_id) % 2 = 0 THEN 'Club' ELSE entity_type END",
+                  "status": "CASE WHEN length(canonical_name) % 5 = 0 THEN 'lost' ELSE status END"},
+                 "length(canonical_name) % 4 = 1"),
+    "entity_aliases": ({"match_score": "match_score + 0.1", "entity_id": "CASE WHEN match_score > 0.9 THEN 'gone' ELSE entity_id END"},
+                       "match_score < 0.75"),
+    "beneficial_owners": ({"owner_name": "CASE WHEN length(entity_id) % 2 = 1 THEN NULL ELSE owner_name END",
+                           "parent_entity_id": "CASE WHEN length(entity_id) % 3 = 0 THEN 'gone' ELSE parent_entity_id END"},
+                          "parent_entity_id IS NULL"),
+    "portfolio_edges": ({"method": "CASE WHEN confidence < 0.8 THEN 'guess' ELSE method END",
+                         "parcel_id": "CASE WHEN length(parcel_id) % 2 = 0 THEN 'gone' ELSE parcel_id END"}, "confidence > 0.95"),
+    "contacts": ({"confidence": "confidence * 2 - 0.5", "name": "CASE WHEN confidence < 0.1 THEN NULL ELSE name END"},
+                 "confidence > 0.9"),
+    "query_log": ({"tool_name": "CASE WHEN length(entity_id) % 2 = 0 THEN NULL ELSE tool_name END"}, "length(entity_id) = 8"),
+}
+
+
+def _faulty_sql(table: str) -> str:
+    replaced, twice = _FAULTS[table]
+    new = ", ".join(f"{e} AS {c}" for c, e in replaced.items())
+    own = "edges" if table == "portfolio_edges" else table
+    return f"bad_{table} AS (SELECT * REPLACE ({new}) FROM (SELECT * FROM {own} UNION ALL SELECT * FROM {own} WHERE {twice}))"
+
+
+def _faults_sql() -> str:
+    def row(check: str, table: str, column: str, n: str, where: str = "") -> str:
+        return (f"SELECT '{check}' AS \"check\", '{table}' AS table_name, '{column}' AS column_name, "
+                f"CAST({n} AS BIGINT) AS n_bad FROM bad_{table} {where}")
+
+    keys = {"parcels": "parcel_id", "entities": "entity_id", "portfolio_edges": "entity_id,parcel_id", "contacts": "entity_id"}
+    filled = {"parcels": "parcel_id address city state zip property_type", "roads": "road_name state",
+              "entities": "entity_id canonical_name entity_type", "entity_aliases": "entity_id alias_name",
+              "beneficial_owners": "entity_id owner_name", "portfolio_edges": "entity_id parcel_id confidence method",
+              "contacts": "entity_id name", "query_log": "tool_name"}
+    links = {"portfolio_edges": ["entity_id", "parcel_id"], "entity_aliases": ["entity_id"],
+             "beneficial_owners": ["entity_id", "parent_entity_id"], "contacts": ["entity_id"]}
+    allowed = {("entities", "entity_type"): "NOT IN ('LLC', 'Trust', 'Corporation', 'Individual', 'Unknown')",
+               ("entities", "status"): "NOT IN ('active', 'dissolved', 'suspended', 'unknown')",
+               ("portfolio_edges", "method"): "NOT IN ('exact', 'fuzzy', 'graph')",
+               **{(t, c): "NOT BETWEEN 0 AND 1" for t, c in (
+                   ("portfolio_edges", "confidence"), ("contacts", "confidence"), ("entity_aliases", "match_score"))}}
+    rows = [row("unique", t, k, f"count(*) - count(DISTINCT ({k}))") for t, k in keys.items()]
+    rows += [row("not_null", t, c, f"count(*) - count({c})") for t, cs in filled.items() for c in cs.split()]
+    rows += [row("foreign_key", t, c, "count(*)", f"WHERE {c} NOT IN (SELECT {'parcel_id FROM bad_parcels' if c == 'parcel_id' else 'entity_id FROM bad_entities'})")
+             for t, cs in links.items() for c in cs]
+    rows += [row("allowed_value", t, c, "count(*)", f"WHERE {c} {rule}") for (t, c), rule in allowed.items()]
+    return CTES + ", " + ",\n".join(map(_faulty_sql, _FAULTS)) + "\n" + "\nUNION ALL ".join(rows)
+
+
+@register(_faults_sql())
+def table_faults(a):
+    """The checks over all constrained tables, with planted faults."""
+    def faulty(df, replaced, twice):
+        return df.unionByName(df.where(twice)).withColumns({c: F.expr(e) for c, e in replaced.items()})
+
+    tables = tables_of(a)
+    return checks.check_tables({name: faulty(tables[name], *faults) for name, faults in _FAULTS.items()})
+
+
+@register(CTES + _BEST + """
+SELECT entity_id, name AS alias_name, round(sim, 6) AS match_score, 'trgm' AS source
+FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, upper(name) ORDER BY name) AS once
+      FROM (SELECT name FROM named WHERE NOT EXISTS (SELECT 1 FROM entity_aliases WHERE upper(alias_name) = upper(name))
+            ORDER BY name LIMIT 500) JOIN best ON uname = upper(name))
+WHERE once = 1""")
+def resolve_work_set(a):
+    """One run's work set: the first 500 names without an alias."""
+    t = a.tables()
+    return R.resolve_names(t["parcels"], t["entities"], t["entity_aliases"], limit=500).select(
+        "entity_id", "alias_name", rounded("match_score", 6), "source")

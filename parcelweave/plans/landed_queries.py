@@ -284,7 +284,7 @@ def _property_answers(a):
             F.when(key % 5 == 0, F.concat(F.lit(" FULL "), "o_custkey", F.lit(" "))).alias("fullname"),
             F.when(key % 5 == 1, F.lit("")).otherwise("DOE").alias("lastname"),
             F.when(key % 5 == 1, F.lit("")).otherwise("JO").alias("firstname")).alias("owner1")).alias("owner"))
-    answer = F.when(key % 10 == 9, F.lit('{"property": []}')).when(key % 30 == 8, "{bad").when(
+    answer = F.when(key % 10 == 9, F.when(key % 30 == 29, "null").otherwise('{"property": []}')).when(key % 30 == 8, "{bad").when(
         key % 30 == 18, "<html>error</html>").when(key % 30 == 28, F.lit(None)).otherwise(
         F.to_json(F.struct(F.array(detail).alias("property"))))
     return o.select(F.concat(F.lit("p_"), key, F.lit("_1")).alias("parcel_id"), answer.alias("response"), key)
@@ -321,9 +321,11 @@ def property_details(a):
 
 @register("""SELECT kind, outcome, count(*) AS n FROM (
                SELECT 'property' AS kind, CASE WHEN o_orderkey % 30 IN (8, 18) THEN 'malformed'
-                        WHEN o_orderkey % 30 = 28 THEN 'empty' ELSE 'answered' END AS outcome FROM orders
+                        WHEN o_orderkey % 30 = 28 THEN 'empty' WHEN o_orderkey % 30 = 29 THEN 'null'
+                        ELSE 'answered' END AS outcome FROM orders
                UNION ALL SELECT 'profile', CASE WHEN c_custkey % 20 IN (2, 12) THEN 'malformed'
-                        WHEN c_custkey % 20 IN (4, 14) THEN 'empty' ELSE 'answered' END FROM customer WHERE c_custkey % 2 = 0
+                        WHEN c_custkey % 20 IN (4, 14) THEN 'empty' WHEN c_custkey % 20 = 6 THEN 'null'
+                        WHEN c_custkey % 20 = 16 THEN 'wrong_list' ELSE 'answered' END FROM customer WHERE c_custkey % 2 = 0
                UNION ALL SELECT 'email', CASE WHEN c_custkey % 30 = 3 THEN 'malformed' ELSE 'answered' END
                          FROM customer WHERE c_custkey % 3 = 0)
              GROUP BY ALL""")

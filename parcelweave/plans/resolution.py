@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelweave.functions import normalize as N
 from parcelweave.operators import contacts as C
 from parcelweave.operators import matching as M
 from parcelweave.operators import upsert as U
@@ -52,11 +53,12 @@ def recompute_edges(
 def enrichment_candidates(
     parcels: DataFrame, states: list[str] | None = None, limit: int | None = ENRICHMENT_LIMIT,
 ) -> DataFrame:
-    """Parcels without an owner, newest first, to ask the vendor for."""
+    """Parcels without an owner, newest first, to ask the vendor for by `address` and `locality`."""
     wanted = parcels.filter(F.col("owner_name_raw").isNull() & F.col("address").isNotNull())
     if states:
         wanted = wanted.filter(F.upper("state").isin([s.upper() for s in states]))
-    wanted = wanted.select("parcel_id", "address", "city", "state", "zip", "ingested_at")
+    wanted = wanted.select("parcel_id", "address", "city", "state", "zip", "ingested_at",
+                           N.vendor_match_key(F.col("city"), F.col("state"), F.col("zip")).alias("locality"))
     if limit is None:
         return wanted
     return wanted.orderBy(F.col("ingested_at").desc_nulls_last(), "parcel_id").limit(limit)

@@ -24,21 +24,39 @@ EMAIL_SEARCH = (
 )
 
 
+# Where each kind of answer holds its list.
+LISTS = {"property": "$.property", "profile": "$.people_also_viewed", "email": "$.data.emails"}
+
+
 def answer_state() -> Column:
-    """'empty', 'malformed' (text that is no JSON, such as an error page) or 'answered' for the column `response`."""
+    """'empty', 'malformed' (no JSON, such as an error page), 'null', 'mistyped' (JSON, but no object) or 'answered'.
+
+    The kind of the column `response` is looked at before any of its fields.
+    """
     blank = F.coalesce(N.trim_space(F.col("response")), F.lit("")) == ""
-    return F.when(blank, "empty").when(F.get_json_object("response", "$").isNull(), "malformed").otherwise("answered")
+    parsed = F.try_parse_json("response")
+    return F.when(blank, "empty").when(parsed.isNull(), "malformed").when(F.is_variant_null(parsed), "null").when(
+        F.schema_of_variant(parsed).startswith("OBJECT"), "answered").otherwise("mistyped")
 
 
 def answer_metrics(**answers: DataFrame) -> DataFrame:
-    """(kind, outcome, n): how many answers of each kind are empty, malformed or answered."""
-    counted = [df.groupBy(answer_state().alias("outcome")).agg(F.count(F.lit(1)).alias("n")).select(
+    """(kind, outcome, n): how many answers of each kind came in which state.
+
+    An answer whose list (`LISTS`) is something else is 'wrong_list'; its other fields are used.
+    """
+    def outcome(kind: str) -> Column:
+        found = F.try_variant_get(F.try_parse_json("response"), LISTS[kind], "variant")
+        listed = F.schema_of_variant(found).startswith("ARRAY") | F.is_variant_null(found)
+        state = answer_state()
+        return F.when((state == "answered") & found.isNotNull() & ~listed, "wrong_list").otherwise(state)
+
+    counted = [df.groupBy(outcome(kind).alias("outcome")).agg(F.count(F.lit(1)).alias("n")).select(
         F.lit(kind).alias("kind"), "outcome", "n") for kind, df in answers.items()]
     return reduce(DataFrame.unionByName, counted)
 
 
 def _read(schema: str) -> Column:
-    """The parsed answer; malformed and empty ones are null."""
+    """The parsed answer; null unless it is a JSON object."""
     return F.when(answer_state() == "answered", F.from_json("response", schema))
 
 

@@ -186,13 +186,14 @@ def test_ownership_chain_has_no_depth_limit(spark):
 
 def test_malformed_answers_give_no_contact(spark):
     answers = spark.createDataFrame(
-        [("a", "{bad"), ("b", "<html>x</html>"), ("c", None), ("d", " "), ("e", '{"name": "N"}'), ("f", "{}")],
+        [("a", "{bad"), ("b", "<html>x</html>"), ("c", None), ("d", " "), ("e", '{"name": "N"}'), ("f", "{}"),
+         ("g", " null "), ("h", "[]"), ("i", '{"name": "N", "people_also_viewed": 3}')],
         "entity_id string, response string")
     got = vendor.flatten_company_profiles(answers).collect()
-    assert sorted(r.entity_id for r in got) == ["e", "f"]
+    assert sorted(r.entity_id for r in got) == ["e", "f", "i"]
     assert vendor.flatten_email_searches(answers).count() == 0
     counts = {r.outcome: r.n for r in vendor.answer_metrics(profile=answers).collect()}
-    assert counts == {"malformed": 2, "empty": 2, "answered": 2}
+    assert counts == {"malformed": 2, "empty": 2, "answered": 2, "null": 1, "mistyped": 1, "wrong_list": 1}
 
 
 def test_table_checks_find_faults(spark):
