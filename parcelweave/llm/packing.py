@@ -33,10 +33,10 @@ MAX_LOSS_TOKENS = 4096
 END_ID = 2
 POOL_PIECES = 20_000
 # Entries of the token caches of one task; a cache starts anew when it is full.
-CACHED_WORDS = 200_000
-CACHED_PIECES = 400_000
+CACHED_WORDS = 50_000
+CACHED_PIECES = 150_000
 # Text bytes whose distinct words are looked up together.
-LOOKUP_BYTES = 4 << 20
+LOOKUP_BYTES = 1 << 20
 
 MAX_CACHED_CHARS = 64
 SPLITS_MORE = re.compile(r"[\x1c-\x1f]")
@@ -74,10 +74,11 @@ class WordTokens:
         return found
 
     def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self._piece(word)
         found = self.words.get(word)
         if found is None:
-            plain = word.isascii() and word.isalpha()
-            found = self._piece(word) if plain else b"".join(map(self._piece, self.pattern.findall(word)))
+            found = b"".join(map(self._piece, self.pattern.findall(word)))
             if len(self.words) >= CACHED_WORDS:
                 self.words.clear()
             if len(word) <= MAX_CACHED_CHARS:
