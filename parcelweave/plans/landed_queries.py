@@ -28,6 +28,12 @@ def _scratch(a, name: str) -> str:
     return f"{workdir(a.spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _stored(a, name: str) -> Tables:
+    """Empty domain tables in a database of their own."""
+    at = _scratch(a, name)
+    return Tables(a.spark, "parcelweave_" + at.rsplit("/", 1)[1].replace("-", "_"), at)
+
+
 # Address features -------------------------------------------------------------------------------------------
 
 def _feature_lines(a):
@@ -106,7 +112,7 @@ def _loaded(parcels):
 @register(CTES + _FEATURES + _LOADED)
 def load_addresses(a):
     """Staging reloaded and merged into stored parcels, twice with the same outcome."""
-    tables = Tables(a.spark, _scratch(a, "addresses"))
+    tables = _stored(a, "addresses")
     rows = addresses.parse_addresses(_feature_lines(a).select(
         "value", F.lit("f").alias("_file"), F.lit(0).alias("_block"), F.col("o_orderkey").alias("_row")))
     for _ in range(2):
@@ -119,7 +125,7 @@ def address_stream_refresh(a):
     """Address files taken in by the stream, merged into an empty parcels table."""
     root = _scratch(a, "refresh")
     _feature_lines(a).select("value").write.option("compression", "none").text(f"{root}/landed")
-    tables = Tables(a.spark, f"{root}/tables")
+    tables = _stored(a, "refreshed")
     query = streaming.refresh_addresses(
         tables, f"{root}/landed", f"{root}/checkpoint", as_of(), suffix=".txt")
     query.awaitTermination()
@@ -375,7 +381,7 @@ def stream_popularity(a):
              UNION ALL SELECT 'owner_profile', entity_id, NULL, 1 FROM entities""")
 def served_log(a):
     """Owners served by discovery and profiles served, appended to the query log and read back."""
-    tables, t = Tables(a.spark, _scratch(a, "log")), tables_of(a)
+    tables, t = _stored(a, "log"), tables_of(a)
     serving.log_discovery(tables, _discovered(a))
     serving.log_profiles(tables, profiles.profiles(t["entities"], t, as_of()), as_of())
     return tables.read("query_log").groupBy("tool_name", "entity_id", "corridor").agg(F.count(F.lit(1)).alias("n"))
@@ -384,7 +390,7 @@ def served_log(a):
 @register("""SELECT entity_id, parcel_id, confidence, method FROM edges""")
 def stored_recompute(a):
     """The portfolio job over stored tables: written, resolved and read back, twice, with the same outcome."""
-    tables = Tables(a.spark, _scratch(a, "tables"))
+    tables = _stored(a, "tables")
     domain = a.tables()
     for name in ("parcels", "entities", "entity_aliases"):
         tables.overwrite(name, domain[name])
@@ -398,7 +404,7 @@ SELECT coalesce(c.entity_id, f.entity_id) AS entity_id, coalesce(f.name, c.name)
 FROM contacts c FULL OUTER JOIN found f ON c.entity_id = f.entity_id""")
 def contact_refresh(a):
     """Every landed answer merged into the stored contacts, however many there are."""
-    tables, t = Tables(a.spark, _scratch(a, "contacts")), a.tables()
+    tables, t = _stored(a, "contacts"), a.tables()
     for name in ("entities", "contacts"):
         tables.overwrite(name, t[name])
     return R.refresh_contacts(tables, *_landed_contacts(a), as_of()).select("entity_id", "name", "confidence", "source")
@@ -407,7 +413,7 @@ def contact_refresh(a):
 @register("SELECT road_name, state, count(*) AS n FROM (SELECT DISTINCT road_name, state, lat1, lon1, lat2, lon2 FROM roads) GROUP BY ALL")
 def load_roads(a):
     """Roads loaded twice into a stored table; the second load adds nothing."""
-    tables = Tables(a.spark, _scratch(a, "roads"))
+    tables = _stored(a, "roads")
     rows = a.tables()["roads"].withColumn("road_key", F.sha2(F.to_json(F.struct("road_name", "state", "geom")), 256))
     for _ in range(2):
         R.load_roads(tables, rows, as_of())
@@ -419,7 +425,7 @@ SELECT parcel_id, owner_name_raw, lot_size_acres, property_type FROM parcels
 UNION ALL SELECT parcel_id, owner_name_raw, lot_size_acres, property_type FROM lots WHERE reject_reason IS NULL""")
 def load_tax_lots(a):
     """Tax lots merged into stored parcels, twice with the same outcome."""
-    tables = Tables(a.spark, _scratch(a, "lots"))
+    tables = _stored(a, "lots")
     tables.overwrite("parcels", a.tables()["parcels"])
     lots = tax_lots.parse_tax_lots(_raw_lots(a).select(
         "*", F.lit("f").alias("_file"), F.lit(0).alias("_block"), F.lit(0).alias("_row")))
@@ -430,8 +436,8 @@ def load_tax_lots(a):
 
 @register("""SELECT parcel_id, state FROM parcels WHERE state IN ('NJ', 'PA')""")
 def states_selected(a):
-    """Stored parcels of some states; the folders of the others are not read."""
-    tables = Tables(a.spark, _scratch(a, "states"))
+    """Stored parcels of some states; the partitions of the others are not read."""
+    tables = _stored(a, "states")
     tables.overwrite("parcels", a.tables()["parcels"])
     return tables.read("parcels", ["nj", "pa"]).select("parcel_id", "state")
 
@@ -443,8 +449,9 @@ UNION ALL SELECT 'added', (SELECT count(*) FROM lots WHERE reject_reason IS NULL
 UNION ALL SELECT 'rejected ' || reject_reason, count(*) FROM lots WHERE reject_reason IS NOT NULL GROUP BY 1""")
 def job_metrics(a):
     """What a tax-lot load did: rows before and after, rows added, rows rejected by reason."""
-    tables = Tables(a.spark, _scratch(a, "metrics"))
-    before = tables.overwrite("parcels", a.tables()["parcels"])
+    tables = _stored(a, "metrics")
+    before = a.tables()["parcels"]
+    tables.overwrite("parcels", before)
     lots = tax_lots.parse_tax_lots(_raw_lots(a).select(
         "*", F.lit("f").alias("_file"), F.lit(0).alias("_block"), F.lit(0).alias("_row")))
     after = R.load_tax_lots(tables, lots, as_of())
@@ -469,21 +476,26 @@ def registry_second_layout(a):
     return registry.standardize_registry(raw, "ia")
 
 
-@register("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'NY' WHEN 1 THEN 'NJ' ELSE 'XX' END AS road_state
-             FROM orders""")
+@register("""SELECT regexp_replace(address, '^[0-9]+ ', '') AS road, state AS road_state, count(*) AS n_parcels,
+                    max(lot_size_acres) AS max_acres FROM parcels GROUP BY ALL""")
 def corridor_state_names(a):
-    """Full state names, abbreviations and unknown text after the comma of a corridor."""
-    key = F.col("o_orderkey")
-    text = F.concat(F.lit("Broadway, "), F.when(key % 3 == 0, " new york ").when(key % 3 == 1, "New Jersey").otherwise("xx"))
-    return a.source("orders").select("o_orderkey", N.corridor_state(text).alias("road_state"))
-
-
-@register("""SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'active' WHEN 1 THEN 'active' WHEN 2 THEN 'dissolved'
-                    WHEN 3 THEN 'dissolved' WHEN 4 THEN 'suspended' WHEN 5 THEN 'suspended' ELSE 'unknown' END AS status
-             FROM orders""")
+    """Parcels counted by the corridor their landed text names, with full state names and abbreviations."""
+    named = F.when(F.col("state") == "NY", " new york ").when(F.col("state") == "NJ", "New Jersey").otherwise(F.lower("state"))
+    text = F.concat_ws(",", F.regexp_replace("address", "^[0-9]+", ""), named)
+    return a.tables()["parcels"].groupBy(
+        N.corridor_road(text).alias("road"), N.corridor_state(text).alias("road_state")).agg(
+        F.count(F.lit(1)).alias("n_parcels"), F.max("lot_size_acres").alias("max_acres"))
+
+
+@register("""SELECT user_id, count(*) AS n_notices, count(*) FILTER (status = 'dissolved') AS n_dissolved,
+                    arg_max(status, (ts, event_id)) AS status
+             FROM (SELECT *, CASE WHEN event_id % 8 < 2 THEN 'active' WHEN event_id % 8 < 4 THEN 'dissolved'
+                                  WHEN event_id % 8 < 6 THEN 'suspended' ELSE 'unknown' END AS status FROM events)
+             GROUP BY user_id""")
 def registry_statuses(a):
-    """Every known status text, an unknown and a missing one."""
+    """The last status of each entity from its status notices, whose texts are every known one, an unknown and a missing one."""
     texts = F.array(*[F.lit(t) for t in ("Active", "good standing", "DISSOLVED", "cancelled", "Suspended", "revoked", "other", None)])
-    key = F.col("o_orderkey")
-    return a.source("orders").select(
-        "o_orderkey", N.entity_status(F.element_at(texts, (key % 8 + 1).cast("int"))).alias("status"))
+    text = F.element_at(texts, (F.col("event_id") % 8 + 1).cast("int"))
+    return a.source("events").withColumn("status", N.entity_status(text)).groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n_notices"), F.count_if(F.col("status") == "dissolved").alias("n_dissolved"),
+        F.max_by("status", F.struct("ts", "event_id")).alias("status"))

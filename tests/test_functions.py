@@ -93,6 +93,8 @@ def test_route_number(spark, road, number):
 def test_corridor_and_address_split(spark):
     assert value(spark, N.corridor_state(F.lit("Route 1, new jersey"))) == "NJ"
     assert value(spark, N.corridor_state(F.lit("Broadway"))) == ""
+    assert value(spark, N.corridor_state(F.lit("Broadway,  new york "))) == "NY"
+    assert value(spark, N.corridor_state(F.lit("Broadway, xx"))) == "XX"
     assert value(spark, N.corridor_road(F.lit(" Broadway , NY"))) == "Broadway"
     assert value(spark, N.lookup_street(F.lit("1240 Highway 9, Woodbridge NJ"))) == "1240 Highway 9"
     assert value(spark, N.lookup_city(F.lit("1240 Highway 9, Woodbridge NJ"))) == "Woodbridge"
@@ -121,3 +123,10 @@ def test_distance_to_segment(spark):
         lat, lon, m_lat, m_lon, F.lit(40.001), F.lit(-74.01), F.lit(40.001), F.lit(-73.99))
     # One thousandth of a degree of latitude at 40 degrees north is 111.035 m on the ellipsoid.
     assert abs(value(spark, F.sqrt(d2)) - 111.035) < 0.01
+
+
+def test_entity_status(spark):
+    known = {"Active": "active", "good standing": "active", "DISSOLVED": "dissolved", "cancelled": "dissolved",
+             "Suspended": "suspended", "revoked": "suspended", "other": "unknown", None: "unknown"}
+    for text, status in known.items():
+        assert value(spark, N.entity_status(F.lit(text).cast("string"))) == status

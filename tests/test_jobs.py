@@ -1,6 +1,7 @@
 """Readers, stored tables and the composite jobs on hand-made files."""
 
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,10 @@ from parcelweave.sources.tables import Tables
 from parcelweave.streaming import jobs as streaming
 
 
+def stored_at(spark, folder):
+    return Tables(spark, f"parcelweave_{uuid.uuid4().hex}", str(folder))
+
+
 def as_of():
     return F.lit("2024-01-31").cast("timestamp")
 
@@ -55,16 +60,18 @@ def test_read_addresses(spark, landed_addresses):
 
 
 def test_stream_refresh_equals_batch_and_repeats_safely(spark, landed_addresses, tmp_path):
-    stored = Tables(spark, str(tmp_path / "stream"))
+    stored = stored_at(spark, tmp_path / "stream")
+    files = []
     for _ in range(2):
         streaming.refresh_addresses(
             stored, landed_addresses, str(tmp_path / "checkpoint"), as_of()).awaitTermination()
-    batch = Tables(spark, str(tmp_path / "batch"))
+        files.append({f.name for f in (tmp_path / "stream").rglob("*.parquet")})
+    batch = stored_at(spark, tmp_path / "batch")
     resolution.load_addresses(batch, addresses.read_addresses(spark, landed_addresses), as_of())
     columns = ["parcel_id", "address", "city", "state", "zip", "property_type"]
     rows = [sorted(map(tuple, t.read("parcels").select(columns).collect())) for t in (stored, batch)]
     assert rows[0] == rows[1] and len(rows[0]) == 6
-    assert stored.current_path("parcels").endswith("v000000001")  # the second run found no new file
+    assert files[0] == files[1]  # the second run found no new file
 
 
 def test_read_roads(spark, tmp_path):
@@ -185,7 +192,7 @@ def test_profiles(spark, small_world):
 
 
 def test_serving_writes_the_log(spark, small_world, tmp_path):
-    tables = Tables(spark, str(tmp_path / "served"))
+    tables = stored_at(spark, tmp_path / "served")
     for name, rows in small_world.items():
         tables.overwrite(name, rows)
     asked = spark.createDataFrame([("a", "Highway 9, New Jersey", "retail", 0.0, None, 10)],
@@ -198,7 +205,7 @@ def test_serving_writes_the_log(spark, small_world, tmp_path):
 
 
 def test_refresh_rewrites_only_the_states_it_touches(spark, tmp_path):
-    tables = Tables(spark, str(tmp_path / "t"))
+    tables = stored_at(spark, tmp_path / "t")
     old = spark.createDataFrame(
         [("p1", "NJ"), ("p2", "NY"), ("moved", "PA"), ("stays", "CT")], "parcel_id string, state string").withColumns({
             "address": F.lit("1 A"), "city": F.lit("X"), "zip": F.lit("1"), "property_type": F.lit("Retail")})
@@ -219,18 +226,38 @@ def test_refresh_rewrites_only_the_states_it_touches(spark, tmp_path):
         ("moved", "NJ"), ("p1", "NJ"), ("p2", "NY"), ("stays", "CT")]
 
 
-def test_appends_add_files_and_prune_drops_versions(spark, tmp_path):
-    tables = Tables(spark, str(tmp_path / "t"))
+def test_appends_add_files_and_overwrites_may_read_their_table(spark, tmp_path):
+    tables = stored_at(spark, tmp_path / "t")
     alias = lambda n: spark.createDataFrame([(f"e{n}", "A", 0.9, "trgm")], TABLES["entity_aliases"])
+    files = lambda: {f.name for f in (tmp_path / "t" / "entity_aliases").glob("*.parquet")}
+    kept = set()
     for n in range(3):
         tables.append("entity_aliases", alias(n))
-    folders = sorted(f.name for f in (tmp_path / "t" / "entity_aliases").iterdir())
-    assert folders == ["v000000001", "v000000001-000001", "v000000001-000002"]
-    assert tables.read("entity_aliases").count() == 3
-    tables.compact("entity_aliases")
-    tables.prune("entity_aliases")
-    assert [f.name for f in (tmp_path / "t" / "entity_aliases").iterdir()] == ["v000000002"]
-    assert tables.read("entity_aliases").count() == 3
+        assert kept < files()
+        kept = files()
+    tables.append("entity_aliases", tables.read("entity_aliases").filter("entity_id = 'e0'"))
+    assert tables.read("entity_aliases").count() == 4
+    after = tables.overwrite("entity_aliases", tables.read("entity_aliases").filter("entity_id <> 'e0'"))
+    assert sorted(r.entity_id for r in after.collect()) == ["e1", "e2"]
+    with pytest.raises(ValueError):
+        tables.overwrite("query_log", tables.read("query_log"))
+    with pytest.raises(KeyError):
+        tables.read("other")
+
+
+def test_stored_states(spark, tmp_path):
+    tables = stored_at(spark, tmp_path / "t")
+    rows = spark.createDataFrame(
+        [("a", "NJ"), ("b", "NY"), ("c", None), ("d", "O'X")], "parcel_id string, state string")
+    tables.overwrite("parcels", rows)
+    some = tables.read("parcels", ["nj"])
+    assert [r.parcel_id for r in some.collect()] == ["a"]
+    assert "PartitionFilters: [isnotnull(state" in some._jdf.queryExecution().toString()
+    tables.replace_states("parcels", rows.filter("parcel_id = 'a'").withColumn("city", F.lit("X")), ["NJ", "O'X"])
+    assert {(r.parcel_id, r.city, r.state) for r in tables.read("parcels").collect()} == {
+        ("a", "X", "NJ"), ("b", None, "NY"), ("c", None, None)}
+    tables.overwrite("parcels", rows.filter("parcel_id = 'b'"))  # a full overwrite leaves no state behind
+    assert [r.parcel_id for r in tables.read("parcels").collect()] == ["b"]
 
 
 def test_late_log_files_count(spark, tmp_path):
@@ -269,7 +296,7 @@ def test_address_match(spark, small_world):
 
 @pytest.mark.parametrize("method", ["trigram", "token_set"])
 def test_resolution_over_stored_tables(spark, small_world, tmp_path, method):
-    tables = Tables(spark, str(tmp_path / "t"))
+    tables = stored_at(spark, tmp_path / "t")
     misspelt = small_world["parcels"].withColumn("owner_name_raw", F.lit("Smith Captal Holdings LLC"))
     tables.overwrite("parcels", misspelt)
     tables.overwrite("entities", small_world["entities"])
