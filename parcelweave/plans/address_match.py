@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parcelweave.functions import normalize as N
 from parcelweave.functions.text import similarity, trigram_codes
-from parcelweave.operators.portfolio import parcels_with_owner
+from parcelweave.operators.portfolio import GroupedEdges, grouped_parcels, parcels_with_owner
 from parcelweave.operators.set_join import SetIndex
 from parcelweave.operators.text_match import TextIndex
 from parcelweave.session import materialize
@@ -146,6 +146,24 @@ def match_places(asked: DataFrame, index: PlaceIndex) -> DataFrame:
     return reduce(DataFrame.unionByName, by_steps(left, anywhere), found)
 
 
+def _likely_owned(wanted: DataFrame, edges: GroupedEdges) -> tuple[DataFrame, GroupedEdges]:
+    """The parcels and edges that can give one of the five best rows of a place: by confidence, parcel and entity.
+
+    A parcel has its best owner's confidence in the order of parcels, and only its five first owners count.
+    """
+    def first(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
+        w = Window.partitionBy(*key).orderBy(*order)
+        return rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= TOP_ROWS)
+
+    sure = F.col("confidence").desc_nulls_last()
+    owners = materialize(first(edges.owners, ["group_id"], sure, F.col("entity_id")), "address-owners")
+    best = owners.filter("_n = 1").select("group_id", "confidence")
+    parcels = first(grouped_parcels(wanted, edges).join(best, "group_id", "left"), ["address", "city"], sure, F.col("parcel_id"))
+    parcels = materialize(parcels.select(*wanted.columns, "group_id"), "address-parcels")
+    return parcels.select(wanted.columns), GroupedEdges(
+        parcels.select("group_id", "parcel_id").distinct().join(owners.select("group_id"), "group_id", "left_semi"), owners.drop("_n"))
+
+
 def ranked_matches(requests: DataFrame, tables: dict[str, DataFrame], index: PlaceIndex | None = None) -> DataFrame:
     """The five best rows per distinct (street, asked_city): city hit, similarity, edge confidence, ids.
 
@@ -159,7 +177,10 @@ def ranked_matches(requests: DataFrame, tables: dict[str, DataFrame], index: Pla
     wanted = tables["parcels"].select("parcel_id", "address", "city", "state").alias("p").join(
         best_places.select(*same).distinct().alias("b"),
         (F.col("p.address") == F.col("b.address")) & F.col("p.city").eqNullSafe(F.col("b.city")), "left_semi")
-    owned = parcels_with_owner(wanted, tables["portfolio_edges"], tables["entities"])
+    edges = tables["portfolio_edges"]
+    if isinstance(edges, GroupedEdges):
+        wanted, edges = _likely_owned(wanted, edges)
+    owned = parcels_with_owner(wanted, edges, tables["entities"])
     same_place = (F.col("m.address") == F.col("o.address")) & F.col("m.city").eqNullSafe(F.col("o.city"))
     rows = best_places.alias("m").join(owned.alias("o"), same_place).select(
         "street", "asked_city", "city_hit", "sim", "o.address", "o.city", "state", "parcel_id", "entity_id",
