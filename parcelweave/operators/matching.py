@@ -45,8 +45,8 @@ def alias_edges(parcels: DataFrame, aliases: DataFrame, **salting) -> DataFrame:
         "entity_id", "parcel_id", "confidence", F.lit("fuzzy").alias("method"))
 
 
-def grouped_edges(parcels: DataFrame, entities: DataFrame, aliases: DataFrame, **salting) -> GroupedEdges:
-    """Exact and alias edges merged, kept by owner name: parcels of a name and entities of a name, never their product.
+def grouped_edges(parcels: DataFrame, entities: DataFrame, aliases: DataFrame | None = None, **salting) -> GroupedEdges:
+    """Exact and alias edges (without `aliases` exact ones alone) merged, kept by owner name: parcels of a name and entities of a name, never their product.
 
     A parcel id with one row has one name, so the best edge per entity and parcel is the best owner per entity and name.
     Ids that are missing or have several rows may hold several names; their edges are merged one by one, and each such
@@ -56,9 +56,10 @@ def grouped_edges(parcels: DataFrame, entities: DataFrame, aliases: DataFrame, *
     repeated = materialize(
         owned.filter("parcel_id is not null").groupBy("parcel_id").count().filter("count > 1").select("parcel_id"), "repeated-ids")
     exact = _exact_names(entities).withColumns({"confidence": F.lit(1.0), "method": F.lit("exact"), "_turn": F.lit(0)})
-    fuzzy = _alias_names(aliases).withColumns({"method": F.lit("fuzzy"), "_turn": F.lit(1)})
+    named = exact if aliases is None else exact.unionByName(
+        _alias_names(aliases).withColumns({"method": F.lit("fuzzy"), "_turn": F.lit(1)}))
     owners = pick_first(
-        exact.unionByName(fuzzy).filter("name_key is not null"), ["name_key", "entity_id"],
+        named.filter("name_key is not null"), ["name_key", "entity_id"],
         [F.col("confidence").desc_nulls_last(), F.col("_turn")]).drop("_turn")
     owners = materialize(owners, "name-owners")
     names = materialize(owners.select("name_key").distinct().withColumn("group_id", F.monotonically_increasing_id()), "owner-names")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelweave.operators.skew import salted_join
+from parcelweave.session import materialize
 
 
 @dataclass
@@ -35,6 +36,16 @@ class GroupedEdges:
         owners = self.owners.join(ids.select("entity_id"), "entity_id", "left_semi").select(self.owners.columns)
         return GroupedEdges(self.members.join(owners.select("group_id"), "group_id", "left_semi"), owners)
 
+    def split(self, name: str, value: Column) -> GroupedEdges:
+        """Groups whose parcels agree in `value`, an expression over `parcel_id`; their owners have it as column `name`."""
+        valued = self.members.withColumn(name, value)
+        parts = materialize(valued.select("group_id", name).distinct().withColumn(
+            "part_id", F.monotonically_increasing_id()), "group-parts")
+        own = parts.select(F.col("group_id").alias("_group"), F.col(name).alias("_value"), "part_id")
+        members = valued.join(own, (F.col("group_id") == F.col("_group")) & F.col(name).eqNullSafe(F.col("_value")))
+        owners = self.owners.join(parts, "group_id").drop("group_id").withColumnRenamed("part_id", "group_id")
+        return GroupedEdges(members.select(F.col("part_id").alias("group_id"), "parcel_id"), owners)
+
     def count_by(self, *columns: str) -> DataFrame:
         """Number of edges `n` by columns of the owners."""
         sizes = self.members.groupBy("group_id").agg(F.count(F.lit(1)).alias("_size"))

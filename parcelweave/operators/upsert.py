@@ -11,6 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelweave.operators.portfolio import Edges, GroupedEdges
+from parcelweave.session import materialize
+
 CONTACT_LIFETIME = "30 days"
 
 ADDRESS_COLUMNS = ["address", "city", "state", "zip", "lat", "lon", "source"]
@@ -136,11 +139,35 @@ def upsert_entities(entities: DataFrame, registry: DataFrame, as_of: Column) ->
     return _merge(entities, registry, ["entity_id"], columns, "full_outer")
 
 
-def merge_edges(old: DataFrame, *new: DataFrame) -> DataFrame:
+def _merge_groups(old: GroupedEdges, new: GroupedEdges) -> GroupedEdges:
+    """Parcels that come from the same group on either side are one group, whose owners are merged once for all of them.
+
+    Parcels and owners travel, never their product. A group has a parcel, so owners of groups are no more than edges.
+    """
+    sides = [e.members.select(F.col("parcel_id").alias(f"_{s}"), F.col("group_id").alias(f"{s}_group"), F.lit(True).alias(f"{s}_in"))
+             for e, s in ((old, "old"), (new, "new"))]
+    paired = sides[0].join(sides[1], F.col("_old").eqNullSafe(F.col("_new")), "full_outer")
+    paired = materialize(paired.select(
+        "old_group", "new_group", F.when(F.col("old_in"), F.col("_old")).otherwise(F.col("_new")).alias("parcel_id")), "merged-parcels")
+    pairs = materialize(paired.select("old_group", "new_group").distinct().withColumn(
+        "group_id", F.monotonically_increasing_id()), "merged-groups")
+    both = [e.owners.select(F.col("group_id").alias(f"{s}_group"), "entity_id", "confidence", "method", F.lit(i).alias("_turn")).join(
+        pairs, f"{s}_group").select("group_id", "entity_id", "confidence", "method", "_turn") for i, (e, s) in enumerate(((old, "old"), (new, "new")))]
+    owners = pick_first(both[0].unionByName(both[1]), ["group_id", "entity_id"],
+                        [F.col("confidence").desc_nulls_last(), F.col("_turn")]).drop("_turn")
+    own = pairs.toDF("_o", "_n", "group_id")
+    members = paired.join(own, F.col("old_group").eqNullSafe(F.col("_o")) & F.col("new_group").eqNullSafe(F.col("_n")))
+    return GroupedEdges(materialize(members.select("group_id", "parcel_id"), "edge-members"), materialize(owners, "edge-owners"))
+
+
+def merge_edges(old: Edges, *new: Edges) -> Edges:
     """Edges with the greatest confidence seen; the method changes only for a strictly greater confidence.
 
-    Later inputs count as merged later, so on equal confidence the earlier one keeps its method.
+    Later inputs count as merged later, so on equal confidence the earlier one keeps its method. Inputs are all flat or
+    all grouped, and so is the result.
     """
+    if isinstance(old, GroupedEdges):
+        return reduce(_merge_groups, new, old)
     cols = ["entity_id", "parcel_id", "confidence", "method"]
     ranked = [df.select(*cols, F.lit(i).alias("_turn")) for i, df in enumerate((old, *new))]
     edges = reduce(DataFrame.unionByName, ranked)

@@ -184,10 +184,11 @@ def portfolio_recompute(a):
 @register("""SELECT entity_id, parcel_id, CAST(1.0 AS DOUBLE) AS confidence,
                     CASE WHEN length(parcel_id) % 2 = 0 THEN 'graph' ELSE 'exact' END AS method FROM exact_edges""")
 def merge_edges(a):
-    new = matching.exact_edges(a.tables()["parcels"], a.tables()["entities"])
-    even = F.length("parcel_id") % 2 == 0
-    old = new.withColumns({"confidence": F.when(even, 1.0).otherwise(0.8), "method": F.lit("graph")})
-    return upsert.merge_edges(old, new)
+    new = matching.grouped_edges(a.tables()["parcels"], a.tables()["entities"])
+    old = new.split("even", F.length("parcel_id") % 2 == 0)
+    old.owners = old.owners.withColumns({
+        "confidence": F.when(F.col("even"), 1.0).otherwise(0.8), "method": F.lit("graph")}).drop("even")
+    return upsert.merge_edges(old, new).flat()
 
 
 @register("""SELECT parcel_id, state, city, entity_id, canonical_name AS owner_name, confidence

@@ -83,3 +83,16 @@ def test_corridors_of_both_forms(spark, tables, grouped, flat):
     assert rows(discovery.top_parcels(by_group, owners)) == rows(discovery.top_parcels(one_by_one, owners))
     columns = ["request_id", "entity_id", "parcel_id", "lot"]
     assert rows(discovery.capped(by_group, asked).select(columns)) == rows(discovery.capped(one_by_one, asked).select(columns))
+
+
+def test_merge_of_grouped_edges(spark, tables, flat):
+    """Old edges of some parcels, with several confidences in one group, merged into new ones without making them flat."""
+    new = matching.grouped_edges(tables["parcels"], tables["entities"], tables["entity_aliases"])
+    only = matching.grouped_edges(tables["parcels"].filter("parcel_id is null or parcel_id > 'p2'"), tables["entities"])
+    old = only.split("even", F.length("parcel_id") % 2 == 0)
+    old.owners = old.owners.withColumns({"confidence": F.when(F.col("even"), 1.0).otherwise(0.8), "method": F.lit("graph")}).drop("even")
+    merged = upsert.merge_edges(old, new)
+    assert rows(merged.flat()) == rows(upsert.merge_edges(old.flat(), flat))
+    assert rows(upsert.merge_edges(new, old).flat()) == rows(upsert.merge_edges(flat, old.flat()))
+    assert merged.members.count() == flat.select("parcel_id").distinct().count()
+    assert merged.owners.count() < flat.count()
