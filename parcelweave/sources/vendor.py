@@ -28,15 +28,26 @@ EMAIL_SEARCH = (
 LISTS = {"property": "$.property", "profile": "$.people_also_viewed", "email": "$.data.emails"}
 
 
-def answer_state() -> Column:
-    """'empty', 'malformed' (no JSON, such as an error page), 'null', 'mistyped' (JSON, but no object) or 'answered'.
+def with_parsed(answers: DataFrame) -> DataFrame:
+    """Answers with their parsed JSON as `_parsed`, a column of its own, so that it is parsed once for all that use it."""
+    return answers.withColumn("_parsed", F.try_parse_json("response"))
+
+
+def _state() -> Column:
+    """The state of an answer `with_parsed`. JSON is an object if it begins with a brace after JSON's white space."""
+    blank = F.coalesce(N.trim_space(F.col("response")), F.lit("")) == ""
+    return F.when(blank, "empty").when(F.col("_parsed").isNull(), "malformed").when(
+        F.is_variant_null("_parsed"), "null").when(
+        F.ltrim("response", F.lit(" \t\r\n")).startswith("{"), "answered").otherwise("mistyped")
+
+
+def with_state(answers: DataFrame) -> DataFrame:
+    """Answers with `state` beside `_parsed`: 'empty', 'malformed' (no JSON, such as an error page), 'null', 'mistyped'
+    (JSON, but no object) or 'answered'.
 
     The kind of the column `response` is looked at before any of its fields.
     """
-    blank = F.coalesce(N.trim_space(F.col("response")), F.lit("")) == ""
-    parsed = F.try_parse_json("response")
-    return F.when(blank, "empty").when(parsed.isNull(), "malformed").when(F.is_variant_null(parsed), "null").when(
-        F.schema_of_variant(parsed).startswith("OBJECT"), "answered").otherwise("mistyped")
+    return with_parsed(answers).withColumn("state", _state())
 
 
 def answer_metrics(**answers: DataFrame) -> DataFrame:
@@ -45,27 +56,29 @@ def answer_metrics(**answers: DataFrame) -> DataFrame:
     An answer whose list (`LISTS`) is something else is 'wrong_list'; its other fields are used.
     """
     def outcome(kind: str) -> Column:
-        found = F.try_variant_get(F.try_parse_json("response"), LISTS[kind], "variant")
-        listed = F.schema_of_variant(found).startswith("ARRAY") | F.is_variant_null(found)
-        state = answer_state()
-        return F.when((state == "answered") & found.isNotNull() & ~listed, "wrong_list").otherwise(state)
+        # Missing or an array, or JSON null; only what is neither an array nor missing is looked at twice.
+        listed = F.try_variant_get("_parsed", LISTS[kind], "array<variant>").isNotNull()
+        other = F.try_variant_get("_parsed", LISTS[kind], "variant")
+        wrong = (F.col("state") == "answered") & ~listed & other.isNotNull() & ~F.is_variant_null(other)
+        return F.when(wrong, "wrong_list").otherwise(F.col("state"))
 
-    counted = [df.groupBy(outcome(kind).alias("outcome")).agg(F.count(F.lit(1)).alias("n")).select(
+    counted = [with_state(df.select("response")).groupBy(outcome(kind).alias("outcome")).agg(F.count(F.lit(1)).alias("n")).select(
         F.lit(kind).alias("kind"), "outcome", "n") for kind, df in answers.items()]
     return reduce(DataFrame.unionByName, counted)
 
 
-def _read(schema: str) -> Column:
-    """The parsed answer; null unless it is a JSON object."""
-    return F.when(answer_state() == "answered", F.from_json("response", schema))
+def _read(answers: DataFrame, schema: str) -> DataFrame:
+    """Answers with `state` and their fields as `_r`, null unless the answer is a JSON object; read once for all fields."""
+    return with_state(answers).drop("_parsed").withColumn(
+        "_r", F.when(F.col("state") == "answered", F.from_json("response", schema)))
 
 
 def flatten_property_detail(answers: DataFrame) -> DataFrame:
     """(parcel_id, response) → enrichment attributes and the answer's `state`; `found` is false without a property."""
-    p = F.get(_read(PROPERTY_DETAIL)["property"], F.lit(0))
+    p = F.get("_r.property", F.lit(0))
     owner = p["owner"]["owner1"]
-    return answers.select(
-        "parcel_id", p.isNotNull().alias("found"), answer_state().alias("state"),
+    return _read(answers, PROPERTY_DETAIL).select(
+        "parcel_id", p.isNotNull().alias("found"), "state",
         N.vendor_owner_name(owner["fullname"], owner["firstname"], owner["lastname"]).alias("owner_name_raw"),
         N.vendor_property_type(p["summary"]["proptype"], p["summary"]["propSubType"]).alias("property_type"),
         N.vendor_lot_acres(p["lot"]["lotsize1"], p["lot"]["lotsize2"]).alias("lot_size_acres"),
@@ -77,9 +90,8 @@ def flatten_property_detail(answers: DataFrame) -> DataFrame:
 
 def flatten_company_profiles(answers: DataFrame) -> DataFrame:
     """(entity_id, response) → person and company name; one row per entity."""
-    r = _read(COMPANY_PROFILE)
-    person = F.get(r["people_also_viewed"], F.lit(0))
-    rows = answers.select("entity_id", r.alias("r"), person.alias("p")).filter("r is not null").select(
+    person = F.get("_r.people_also_viewed", F.lit(0))
+    rows = _read(answers, COMPANY_PROFILE).select("entity_id", F.col("_r").alias("r"), person.alias("p")).filter("r is not null").select(
         "entity_id", F.col("p.name").alias("person_name"), F.col("p.title").alias("person_title"),
         F.col("r.name").alias("company_name"))
     return pick_first(rows, ["entity_id"], [F.col(c).asc_nulls_last() for c in rows.columns[1:]])
@@ -87,8 +99,8 @@ def flatten_company_profiles(answers: DataFrame) -> DataFrame:
 
 def flatten_email_searches(answers: DataFrame) -> DataFrame:
     """(entity_id, response) → first e-mail found; entities without one have no row."""
-    top = F.get(_read(EMAIL_SEARCH)["data"]["emails"], F.lit(0))
-    rows = answers.select("entity_id", top.alias("m")).filter("m is not null").select(
+    top = F.get("_r.data.emails", F.lit(0))
+    rows = _read(answers, EMAIL_SEARCH).select("entity_id", top.alias("m")).filter("m is not null").select(
         "entity_id", "m.first_name", "m.last_name", "m.position", F.col("m.value").alias("email"),
         F.col("m.confidence").alias("email_confidence"))
     return pick_first(rows, ["entity_id"], [F.col("email_confidence").desc_nulls_last(), F.col("email")])

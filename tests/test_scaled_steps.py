@@ -34,3 +34,16 @@ def test_letter_shapes_drop_only_pairs_that_cannot_score(spark):
     assert set_join.overlap_pairs(sets, sets, "size", "1", "l_shape = r_shape").filter("l_id <> r_id").count() == 0
 
 
+def test_answers_are_parsed_once(spark):
+    texts = ['{"property": []}', ' \n{"property": {}}', '{"property": "x"}', '{"property": null}', '{"a": 1}', "[1]", "3", '"{"', "null",
+             " null ", "{bad", "<html>", " ", "", None, "{}", "\t{}"]
+    answers = spark.createDataFrame([(f"p{i}", t) for i, t in enumerate(texts)], "parcel_id string, response string")
+    counted = vendor.answer_metrics(property=answers)
+    assert {(r.outcome, r.n) for r in counted.collect()} == {
+        ("answered", 5), ("wrong_list", 2), ("mistyped", 3), ("null", 2), ("malformed", 2), ("empty", 3)}
+    assert plan(counted).lower().count("parsejson(") == 1
+    details = vendor.flatten_property_detail(answers)
+    assert plan(details).lower().count("parsejson(") == 1 and plan(details).lower().count("from_json(") == 1
+    assert details.filter("found").count() == 0 and details.filter("state = 'answered'").count() == 7
+
+
