@@ -47,3 +47,20 @@ def test_answers_are_parsed_once(spark):
     assert details.filter("found").count() == 0 and details.filter("state = 'answered'").count() == 7
 
 
+def test_requests_that_ask_for_the_same_are_looked_up_once(spark, monkeypatch):
+    asked = discovery.parse_requests(spark.createDataFrame(
+        [(f"r{i}" if i else None, "Route 9, NJ", "Retail", 0.0, None, i + 1) for i in range(6)],
+        "request_id string, corridor string, property_type string, lot_size_min_acres double, lot_size_max_acres double, max_results int"))
+    parcels = spark.createDataFrame([(f"p{i}", 40.0, -74.0, 1.0, "Retail") for i in range(3)],
+                                    "parcel_id string, lat double, lon double, lot_size_acres double, property_type string")
+    roads = spark.createDataFrame([("Route 9", "NJ", [(-74.0, 40.0), (-74.0, 40.01)])],
+                                  "road_name string, state string, geom array<struct<lon: double, lat: double>>")
+    edges = portfolio.GroupedEdges(
+        parcels.select(F.lit(0).cast("long").alias("group_id"), "parcel_id"),
+        spark.createDataFrame([(0, f"e{i}", 1.0, "exact") for i in range(4)], "group_id long, entity_id string, confidence double, method string"))
+    looked_up, plainly = [], discovery._corridor_parcels
+    monkeypatch.setattr(discovery, "_corridor_parcels", lambda wanted, *rest: looked_up.append(wanted.count()) or plainly(wanted, *rest))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    got = rows(discovery.corridor_candidates(asked, parcels, roads, edges))
+    assert len(got) == 6 * 3 * 4 and looked_up == [1]
+    assert got == rows(discovery.corridor_candidates(asked, parcels, roads, edges.flat()))
