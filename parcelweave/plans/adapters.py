@@ -224,13 +224,14 @@ class Adapted:
         for parent, key in ((part, "l_partkey"), (supplier, "l_suppkey")):
             orphans = lines.filter(F.col(key).isNotNull()).select(key).distinct().join(parent.select(key), key, "left_anti")
             kept = kept.filter(F.col(key).isNotNull()).join(materialize(orphans, "adapted-orphans"), key, "left_anti")
-        kept = kept.select(F.expr("'p_' || l_orderkey || '_' || l_linenumber AS parcel_id"), *lines.columns)
-        first = pick_first(kept, ["parcel_id"], [F.col("l_shipdate").desc(), *[F.col(c) for c in ranked_by]])
-        joined = first.drop("l_tax").join(supplier, "l_suppkey").join(part, "l_partkey")
+        # Numbers of one parcel id are one pair of keys; where either is missing the id is, and such rows are one group.
+        known = F.col("l_orderkey").isNotNull() & F.col("l_linenumber").isNotNull()
+        kept = kept.select("*", *[F.when(known, F.col(c)).alias(f"_{c}") for c in ("l_orderkey", "l_linenumber")])
+        first = pick_first(kept, ["_l_orderkey", "_l_linenumber"], [F.col("l_shipdate").desc(), *[F.col(c) for c in ranked_by]])
+        joined = first.drop("l_tax", "_l_orderkey", "_l_linenumber").join(supplier, "l_suppkey").join(part, "l_partkey")
         # The template's own expressions, so that both give the same rows.
         columns = PARCELS_STAGING[:PARCELS_STAGING.index("l_orderkey, l_linenumber, l_partkey")].rstrip().rstrip(",")
-        return self.spark.sql(columns.replace("'p_' || l_orderkey || '_' || l_linenumber AS parcel_id", "parcel_id")
-                              + " FROM {joined}", joined=joined).select(*PARCEL_COLUMNS)
+        return self.spark.sql(columns + " FROM {joined}", joined=joined).select(*PARCEL_COLUMNS)
 
     def tables(self) -> LazyTables:
         """The domain tables in their declared shape, without edges."""

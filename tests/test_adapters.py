@@ -60,3 +60,8 @@ def test_tables_are_made_when_asked_for(spark, folder):
     assert set(made._tables) == {"entities"}
     assert sorted(made.tables()) == sorted(adapters.LazyTables({}) | dict.fromkeys(
         ["parcels", "roads", "entities", "entity_aliases", "beneficial_owners", "contacts", "query_log"]))
+
+
+def test_parcels_are_ranked_on_numbers(spark, folder):
+    ranked = Adapted(spark, folder)._parcels()._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(_l_orderkey" in ranked and "windowspecdefinition(parcel_id" not in ranked
