@@ -73,11 +73,8 @@ def grouped_edges(parcels: DataFrame, entities: DataFrame, aliases: DataFrame |
     if not several.isEmpty():
         edges = merge_edges(salted_join(several, owners, ["name_key"], **salting))
         # Groups of names are numbered from 0 up, these from -1 down.
-        ids = materialize(edges.select("parcel_id").distinct().withColumn(
-            "group_id", -1 - F.monotonically_increasing_id()), "repeated-groups")
-        members = members.unionByName(ids.select("group_id", "parcel_id"))
-        numbered = edges.withColumnRenamed("parcel_id", "_id").join(ids, F.col("_id").eqNullSafe(F.col("parcel_id")))
-        owners_of = owners_of.unionByName(numbered.select("group_id", "entity_id", "confidence", "method"))
+        one_by_one = GroupedEdges.of_flat(edges)
+        members, owners_of = members.unionByName(one_by_one.members), owners_of.unionByName(one_by_one.owners)
     return GroupedEdges(materialize(members, "edge-members"), materialize(owners_of, "edge-owners"))
 
 

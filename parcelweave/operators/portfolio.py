@@ -26,6 +26,14 @@ class GroupedEdges:
     members: DataFrame
     owners: DataFrame
 
+    @classmethod
+    def of_flat(cls, edges: DataFrame) -> GroupedEdges:
+        """Flat edges, every row kept; each parcel id is a group of its own, numbered from -1 down."""
+        ids = materialize(edges.select("parcel_id").distinct().withColumn(
+            "group_id", -1 - F.monotonically_increasing_id()), "repeated-groups")
+        numbered = edges.withColumnRenamed("parcel_id", "_id").join(ids, F.col("_id").eqNullSafe(F.col("parcel_id")))
+        return cls(ids.select("group_id", "parcel_id"), numbered.select("group_id", "entity_id", "confidence", "method"))
+
     def flat(self) -> DataFrame:
         """All edges, one row each; the product is made by the join that ends here and not exchanged again."""
         return salted_join(self.members, self.owners, ["group_id"]).select(
@@ -46,10 +54,35 @@ class GroupedEdges:
         owners = self.owners.join(parts, "group_id").drop("group_id").withColumnRenamed("part_id", "group_id")
         return GroupedEdges(members.select(F.col("part_id").alias("group_id"), "parcel_id"), owners)
 
+    def weighted(self) -> tuple[DataFrame, DataFrame]:
+        """Members and owners, each row with the number of edges it is in as `n_edges`; rows in none are left out."""
+        sizes = [df.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_edges")) for df in (self.owners, self.members)]
+        return self.members.join(sizes[0], "group_id"), self.owners.join(sizes[1], "group_id")
+
     def count_by(self, *columns: str) -> DataFrame:
-        """Number of edges `n` by columns of the owners."""
-        sizes = self.members.groupBy("group_id").agg(F.count(F.lit(1)).alias("_size"))
-        return self.owners.join(sizes, "group_id").groupBy(*columns).agg(F.coalesce(F.sum("_size"), F.lit(0)).alias("n"))
+        """Number of edges `n` by columns of the owners, or by `parcel_id`."""
+        members, owners = self.weighted()
+        return (members if columns == ("parcel_id",) else owners).groupBy(*columns).agg(
+            F.coalesce(F.sum("n_edges"), F.lit(0)).alias("n"))
+
+    def count_repeated(self) -> DataFrame:
+        """One row `n`: edges beyond the first of their entity and parcel id, also where groups break their rules.
+
+        A parcel id in one group has the group's different owners; only ids in several groups meet their owners one by one.
+        """
+        per_id = self.members.groupBy("parcel_id").agg(F.min("group_id").alias("_first"), F.max("group_id").alias("_last"))
+        several = F.col("_first") != F.col("_last")
+        found = materialize(per_id.groupBy(
+            several.alias("several"), F.when(several, F.col("parcel_id")).alias("_id"), F.when(~several, F.col("_first")).alias("group_id")
+        ).agg(F.count(F.lit(1)).alias("n_ids")), "edge-ids")
+        owners = self.owners.select("group_id", "entity_id").distinct()
+        alone = found.filter("not several").join(owners.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_owners")), "group_id")
+        shared = self.members.join(found.filter("several").select("_id"), F.col("parcel_id").eqNullSafe(F.col("_id")))
+        shared = materialize(shared.select("group_id", "parcel_id").distinct(), "shared-ids")
+        pairs = salted_join(shared, owners, ["group_id"]).select("parcel_id", "entity_id").distinct()
+        counts = self.count_by().unionByName(alone.agg((-F.sum(F.col("n_ids") * F.col("n_owners"))).alias("n"))).unionByName(
+            pairs.agg((-F.count(F.lit(1))).alias("n")))
+        return counts.agg(F.sum("n").alias("n"))
 
 
 Edges = DataFrame | GroupedEdges

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from parcelweave.operators import matching, portfolio, upsert
+from parcelweave.operators import checks, matching, portfolio, upsert
 from parcelweave.plans import address_match, discovery
 from parcelweave.plans.resolution import recompute_edges
 
@@ -96,3 +96,21 @@ def test_merge_of_grouped_edges(spark, tables, flat):
     assert rows(upsert.merge_edges(new, old).flat()) == rows(upsert.merge_edges(flat, old.flat()))
     assert merged.members.count() == flat.select("parcel_id").distinct().count()
     assert merged.owners.count() < flat.count()
+
+
+def test_checks_of_grouped_edges(tables, grouped, monkeypatch):
+    """Faults planted on groups: owners that come twice, missing or wrong values, parcel ids in several groups; counted without flat edges."""
+    faulty = portfolio.GroupedEdges(
+        grouped.members.unionByName(grouped.members.where("parcel_id in ('p3', 'p5')")).withColumn("parcel_id", F.expr(
+            "CASE WHEN parcel_id > 'p3' THEN 'gone' WHEN parcel_id IN ('p0', 'p20') THEN NULL ELSE parcel_id END")),
+        grouped.owners.unionByName(grouped.owners.where("confidence > 0.85")).withColumns({
+            "method": F.expr("CASE WHEN entity_id = 'e7' THEN NULL WHEN confidence < 0.9 THEN 'guess' ELSE method END"),
+            "confidence": F.expr("confidence + if(entity_id IN ('e2', 'e5'), 1, 0)")}))
+    others = {"entities": tables["entities"].filter("entity_id <> 'e4'").selectExpr(
+        "*", "'LLC' AS entity_type", "'active' AS status"), "parcels": tables["parcels"].filter("parcel_id <> 'p1'").selectExpr("*", "'' AS zip")}
+    for edges in (grouped, faulty):
+        want = rows(checks.check_tables(others | {"portfolio_edges": edges.flat().cache()}))
+        with monkeypatch.context() as m:
+            m.setattr(portfolio.GroupedEdges, "flat", lambda self: pytest.fail("made flat"))
+            assert rows(checks.check_tables(others | {"portfolio_edges": edges})) == want
+    assert {r[0] for r in want if r[2] > 0 and r[3] == "portfolio_edges"} == {"unique", "not_null", "foreign_key", "allowed_value"}
