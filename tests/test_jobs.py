@@ -318,3 +318,31 @@ def test_upserts_are_idempotent(spark, small_world):
         assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
     with pytest.raises(ValueError):
         upsert.upsert_parcels(parcels, new, "other", as_of())
+
+
+def test_stored_edges_are_groups(spark, tmp_path):
+    """Edges of a name with many parcels and many entities take the room of both; view, merges, appends and old flat tables give flat rows."""
+    tables = stored_at(spark, tmp_path / "t")
+    schema = TABLES["portfolio_edges"]
+    old = [("e1", "p1", 0.5, "graph"), ("e2", "p2", None, "graph"), ("x", "p1", 1.0, "graph"), ("x", None, 0.3, "graph"), ("x", "q", 0.3, "graph")]
+    sql = lambda: sorted(map(tuple, spark.sql(f"SELECT * FROM `{tables.database}`.portfolio_edges").collect()), key=repr)
+    # A flat table as earlier versions wrote it.
+    spark.sql(f"CREATE TABLE `{tables.database}`.portfolio_edges ({schema.replace(': ', ':')}) USING parquet")
+    spark.createDataFrame(old, schema).write.insertInto(f"`{tables.database}`.portfolio_edges")
+    assert sorted(map(tuple, tables.read("portfolio_edges").collect()), key=repr) == sorted(old, key=repr) == sql()
+
+    tables.overwrite("parcels", spark.createDataFrame([(f"p{i}", "NJ", "Acme") for i in range(30)] + [(None, "NJ", "Acme")],
+                                                      "parcel_id string, state string, owner_name_raw string"))
+    tables.overwrite("entities", spark.createDataFrame([(f"e{i}", "ACME") for i in range(20)], "entity_id string, canonical_name string"))
+    new = {(f"e{i}", p, 1.0, "exact") for i in range(20) for p in [f"p{k}" for k in range(30)] + [None]}
+    merged = sorted(map(tuple, resolution.recompute_portfolio(tables, "merge").collect()), key=repr)
+    assert merged == sorted([*new, *old[2:]], key=repr) == sql()
+    assert sorted(map(tuple, tables.read_all()["portfolio_edges"].flat().collect()), key=repr) == merged
+    rebuilt = sorted(map(tuple, resolution.recompute_portfolio(tables, "rebuild").collect()), key=repr)
+    assert rebuilt == sorted(new, key=repr) == sql()
+    # 31 parcels; 20 owners for the name and 20 for the missing id, which is a group of its own.
+    assert spark.table(tables.name("portfolio_groups")).count() == 31 + 40
+    tables.append("portfolio_edges", spark.createDataFrame([("x", "p1", 0.2, "fuzzy")], schema))
+    assert sql() == sorted([*new, ("x", "p1", 0.2, "fuzzy")], key=repr)
+    kept = tables.overwrite("portfolio_edges", tables.read("portfolio_edges").filter("parcel_id IN ('p1', 'p2')"))
+    assert kept.count() == 41 == len(sql())
