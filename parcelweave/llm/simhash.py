@@ -69,7 +69,8 @@ def linked_fingerprints(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFr
 
     A fingerprint has at most 2,080 others within two bits, so the output stays in proportion to the input. A pair is
     written once per half: for the wildcard that hides the differing bit, or for wildcard 0 if the half is equal. A
-    crowded variant is split between tasks by the skew handling of the join.
+    crowded variant is split between tasks by the skew handling of the join. Both sides are shuffled in any case: Spark
+    sizes them by the fingerprints in front of `explode`, and would broadcast 64 rows for each through the driver.
     """
     if not 0 <= max_bits <= 2:
         raise ValueError("halves with one wildcard cover distances up to 2 bits")
@@ -80,7 +81,7 @@ def linked_fingerprints(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFr
     b = variants.selectExpr("variant", "_fp AS v")
     wildcard = "CAST(shiftright(variant, 32) AS INT)"
     differing = f"CASE WHEN {wildcard} < 32 THEN (u ^ v) & 4294967295L ELSE shiftrightunsigned(u ^ v, 32) END"
-    return a.join(b, "variant").where(
+    return a.join(b.hint("merge"), "variant").where(
         f"u < v AND bit_count(u ^ v) <= {max_bits} AND "
         f"({differing} = shiftleft(1L, {wildcard} % 32) OR ({differing} = 0 AND {wildcard} % 32 = 0))",
     ).select("u", "v").distinct()

@@ -88,6 +88,14 @@ def test_links_within_two_bits_against_all_pairs(spark):
         simhash.linked_fingerprints(table, 3)
 
 
+def test_variants_do_not_pass_through_the_driver(spark):
+    """64 rows a fingerprint, which Spark sizes as one: few enough for a broadcast by that size, not by their own."""
+    links = simhash.linked_fingerprints(spark.range(100).selectExpr("xxhash64(id) AS _fp"))
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+    links.collect()
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+
+
 def test_empty_documents(spark):
     none = plain.documents(spark, [])
     assert simhash.near_duplicates(none).count() == 0 and simhash.deduplicated(none).count() == 0
