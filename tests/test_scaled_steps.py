@@ -64,3 +64,33 @@ def test_requests_that_ask_for_the_same_are_looked_up_once(spark, monkeypatch):
     got = rows(discovery.corridor_candidates(asked, parcels, roads, edges))
     assert len(got) == 6 * 3 * 4 and looked_up == [1]
     assert got == rows(discovery.corridor_candidates(asked, parcels, roads, edges.flat()))
+
+
+def test_pairs_of_asks_and_parcels_are_not_stored(spark, monkeypatch):
+    """48 asks for the same 60 parcels, some near several segments: counted and ranked without a table of their pairs."""
+    asked = discovery.parse_requests(spark.createDataFrame(
+        [(f"r{i}", "Route 9, NJ", "Retail", i / 100, None, 4) for i in range(48)],
+        "request_id string, corridor string, property_type string, lot_size_min_acres double, lot_size_max_acres double, max_results int"))
+    parcels = spark.createDataFrame([(f"p{i}", 40.0 + i % 9 / 1000, -74.0, float(i % 5 + 1), "Retail") for i in range(60)],
+                                    "parcel_id string, lat double, lon double, lot_size_acres double, property_type string")
+    roads = spark.createDataFrame([("Route 9", "NJ", [(-74.0, 40.0 + k / 1000) for k in range(12)])],
+                                  "road_name string, state string, geom array<struct<lon: double, lat: double>>")
+    edges = portfolio.GroupedEdges(
+        parcels.selectExpr("CAST(substr(parcel_id, 2) AS BIGINT) % 30 AS group_id", "parcel_id"),
+        spark.range(30).selectExpr("id AS group_id", "concat('e', id div 2) AS entity_id", "1.0D AS confidence", "'exact' AS method"))
+    wanted = discovery.corridor_candidates(asked, parcels, roads, edges.flat()).cache()
+    assert wanted.count() == 48 * 60
+    written, plainly = {}, discovery.materialize
+
+    def counting(df, name):
+        table = plainly(df, name)
+        written[name] = max(written.get(name, 0), table.count())
+        return table
+
+    monkeypatch.setattr(discovery, "materialize", counting)
+    candidates = discovery.grouped_candidates(asked, parcels, roads, edges)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for got, want in zip(discovery.rank_owners(candidates, asked), discovery.rank_owners(wanted, asked)):
+        assert rows(got) == rows(want)
+    # Ranked owners' own parcels are found from their groups.
+    assert max(n for name, n in written.items() if name != "corridor-chosen") <= 48 * 60 / 2
