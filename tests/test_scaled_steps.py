@@ -1,13 +1,17 @@
 """Steps that must not do their work twice or exchange more than they need."""
 
+import os
 import random
+import uuid
 
 from pyspark.sql import functions as F
 
+from parcelweave import session
 from parcelweave.functions.token_set import token_set_score
 from parcelweave.operators import portfolio, set_join, token_set_join
 from parcelweave.plans import discovery
 from parcelweave.sources import vendor
+from parcelweave.sources.tables import Tables
 
 
 def plan(df):
@@ -94,3 +98,13 @@ def test_pairs_of_asks_and_parcels_are_not_stored(spark, monkeypatch):
         assert rows(got) == rows(want)
     # Ranked owners' own parcels are found from their groups.
     assert max(n for name, n in written.items() if name != "corridor-chosen") <= 48 * 60 / 2
+
+
+def test_a_stored_table_leaves_no_shuffle_or_second_copy(spark, tmp_path):
+    plain = spark.conf.get(session.SHUFFLE_CLEANUP)
+    stored = Tables(spark, f"parcelweave_{uuid.uuid4().hex}", str(tmp_path / "room"))
+    folder, name = session.workdir(spark), uuid.uuid4().hex
+    rows = spark.range(50).selectExpr("concat('p', id) AS parcel_id", "if(id % 2 = 0, 'NJ', 'NY') AS state", f"'{name}' AS address")
+    before = set(os.listdir(folder))
+    assert stored.overwrite("parcels", rows.repartition(3, "parcel_id")).where(f"address = '{name}'").count() == 50
+    assert set(os.listdir(folder)) == before and spark.conf.get(session.SHUFFLE_CLEANUP) == plain
